@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from gradeloom.functions.lets import let
 from gradeloom.functions.levels import LEVELS, parse_level
 from gradeloom.functions.text import strip
 
@@ -21,13 +22,12 @@ def keyed_level_pattern(key: str) -> str:
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
-    hit = F.regexp_extract(text, pattern, group)
-    return F.when(hit != "", hit)
+    return let(F.regexp_extract(text, pattern, group), lambda hit: F.when(hit != "", hit))
 
 
 def _one(key: Column, value: Column) -> Column:
     """A one-entry map, null when the value is."""
-    return F.when(value.isNotNull(), F.create_map(key, value))
+    return let(value, lambda v: F.when(v.isNotNull(), F.create_map(key, v)))
 
 
 def parse_answer(text: Column) -> Column:
@@ -36,11 +36,15 @@ def parse_answer(text: Column) -> Column:
     Tried in turn: the first flat JSON object, a label key with a level even
     when the object is left open, any open key/value pair, a bare level.
     """
+    return let(text, _cascade)
+
+
+def _cascade(text: Column) -> Column:
     flat = F.regexp_replace(strip(_found(text, FLAT_OBJECT, 0)), STRAY_BEFORE_BRACE, "}")
     whole = F.from_json(flat, "map<string,string>")
     keyed = [_one(F.lit(k), F.upper(_found(text, keyed_level_pattern(k), 1))) for k in LABEL_KEYS]
-    value = F.trim(_found(text, ANY_PAIR, 2))
-    tidy = F.when(value.rlike(r"(?i)^[A-C][12]$"), F.upper(value)).otherwise(value)
+    level_or_text = lambda v: F.when(v.rlike(r"(?i)^[A-C][12]$"), F.upper(v)).otherwise(v)
+    tidy = let(F.trim(_found(text, ANY_PAIR, 2)), level_or_text)
     loose = _one(_found(text, ANY_PAIR, 1), tidy)
     bare = _one(F.lit("score"), _found(text, BARE_LEVEL, 1))
     return F.coalesce(whole, *keyed, loose, bare)
@@ -48,9 +52,12 @@ def parse_answer(text: Column) -> Column:
 
 def label_from_keys(parsed: Column, levels=LEVELS) -> Column:
     """Level named by the first label key present, or by a single entry."""
+    return let(let(parsed, _picked), lambda v: parse_level(v, levels))
+
+
+def _picked(parsed: Column) -> Column:
     has = [F.map_contains_key(parsed, k) for k in LABEL_KEYS]
     picked = F.when(has[0], F.element_at(parsed, F.lit(LABEL_KEYS[0])))
     for key, present in zip(LABEL_KEYS[1:], has[1:]):
         picked = picked.when(present, F.element_at(parsed, F.lit(key)))
-    picked = picked.when(F.size(parsed) == 1, F.get(F.map_values(parsed), F.lit(0)))
-    return parse_level(picked, levels)
+    return picked.when(F.size(parsed) == 1, F.get(F.map_values(parsed), F.lit(0)))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from gradeloom.functions.levels import LEVELS
-from gradeloom.functions.lets import double_literals
+from gradeloom.functions.lets import double_literals, let
 
 
 def total(p: Column) -> Column:
@@ -51,7 +51,7 @@ def is_distribution(p: Column, low: float = 0.99, high: float = 1.01) -> Column:
 
 
 def one_hot(ord_: Column, n: int = len(LEVELS)) -> Column:
-    return F.array(*[F.when(ord_ == k, F.lit(1.0)).otherwise(F.lit(0.0)) for k in range(n)])
+    return let(ord_, lambda o: F.array(*[F.when(o == k, F.lit(1.0)).otherwise(F.lit(0.0)) for k in range(n)]))
 
 
 def from_map(m: Column, levels=LEVELS) -> Column:

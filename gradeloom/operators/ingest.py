@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.answers import label_from_keys, parse_answer
+from gradeloom.functions.lets import let
 from gradeloom.functions.levels import LEVELS, ordinal
 from gradeloom.functions.probs import from_map, one_hot
 from gradeloom.operators.scale import require
@@ -27,9 +28,8 @@ def soft_arrays(texts: DataFrame, column: str = "value", levels=LEVELS) -> DataF
 def labels_from_answers(answers: DataFrame, answer: str = "answer", levels=LEVELS) -> DataFrame:
     """Adds ``label`` (null when unreadable) and ``parsed``."""
     require(answers, answer)
-    found = answers.withColumn("_map", parse_answer(F.col(answer)))
-    found = found.withColumn("label", label_from_keys(F.col("_map"), levels)).withColumn("parsed", F.col("_map").isNotNull())
-    return found.drop("_map")
+    both = lambda m: F.struct(label_from_keys(m, levels).alias("label"), m.isNotNull().alias("parsed"))
+    return answers.withColumn("_found", let(parse_answer(F.col(answer)), both)).select("*", "_found.*").drop("_found")
 
 
 def answers_to_probs(answers: DataFrame, answer: str = "answer", levels=LEVELS) -> DataFrame:

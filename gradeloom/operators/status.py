@@ -46,5 +46,6 @@ def latest_status(log: DataFrame) -> DataFrame:
 
 def duration_seconds(log: DataFrame, by: str = "step") -> DataFrame:
     """Seconds between the first and the last line."""
-    span = F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    span = micros(F.max("ts")) - micros(F.min("ts"))
     return log.groupBy(by).agg((span / F.lit(1e6)).alias("seconds"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("filters", "joins")
+MODULES = ("decisions", "metrics", "reports", "splits", "answers")
 
 
 def _load() -> None:

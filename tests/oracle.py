@@ -39,6 +39,8 @@ def kind(type_name: str) -> str:
         return "bigint"
     if t in ("varchar", "string"):
         return "string"
+    if t == "timestamp_ntz":
+        return "timestamp"
     return t.split("(")[0]
 
 

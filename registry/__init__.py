@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decisions", "metrics", "reports", "splits", "answers")
+MODULES = ("tfidf", "surprisal")
 
 
 def _load() -> None:

@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.lets import int_range, let
 from gradeloom.functions.text import word_tokens
+from gradeloom.session import fresh_path, written
 from gradeloom.operators.scale import bounded, count_above, log_bucket, require, skew_join, top_n_per_group
 
 UNKNOWN = "<UNK>"
@@ -36,15 +37,15 @@ class NgramModels:
 
     unigrams: DataFrame  # model, token, n, n_total, n_vocab
     bigrams: DataFrame  # model, context, token, n, n_context
+    heads: DataFrame  # model, context, n_context
     params: LmParams = LmParams()
 
 
-def model_rows(corpus: DataFrame, group: str | None, general: str | None = "general") -> DataFrame:
-    """``(model, tokens)``: each text trains its group's model and the general one."""
-    names = [F.lit(general)] if general else []
-    if group:
-        names.append(F.concat(F.lit("lm_"), F.col(group).cast("string")))
-    return corpus.select(F.explode(F.array(*names)).alias("model"), word_tokens(F.col("text")).alias("tokens"))
+def model_rows(corpus: DataFrame, group: str) -> DataFrame:
+    """``(model, tokens)``: each text trains the model of its group."""
+    require(corpus, group, "text")
+    name = F.concat(F.lit("lm_"), F.col(group).cast("string"))
+    return corpus.select(name.alias("model"), word_tokens(F.col("text")).alias("tokens"))
 
 
 def pairs_of(tokens: Column) -> Column:
@@ -58,20 +59,49 @@ def pairs_of(tokens: Column) -> Column:
     )
 
 
-def fit_lm(rows: DataFrame, params: LmParams = LmParams()) -> NgramModels:
+def _with_general(counts: DataFrame, keys: list[str], general: str | None) -> DataFrame:
+    """Adds a model of all groups by summing their counts, not by reading texts twice."""
+    if general is None:
+        return counts
+    whole = counts.groupBy(*keys).agg(F.sum("n").alias("n")).select(F.lit(general).alias("model"), *keys, "n")
+    return counts.unionByName(whole)
+
+
+def fit_lm(rows: DataFrame, params: LmParams = LmParams(), general: str | None = "general") -> NgramModels:
     """Count tables from ``(model, tokens)``; both counts combine before the shuffle."""
     require(rows, "model", "tokens")
     words = rows.select("model", F.explode("tokens").alias("token")).groupBy("model", "token").agg(
         F.count(F.lit(1)).alias("n")
     )
+    words = _with_general(words, ["token"], general)
     sizes = words.groupBy("model").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("n_vocab"))
     unigrams = words.join(sizes, "model")
     pairs = rows.select("model", F.inline(pairs_of(F.col("tokens")))).groupBy("model", "context", "token").agg(
         F.count(F.lit(1)).alias("n")
     )
+    pairs = _with_general(pairs, ["context", "token"], general)
     heads = pairs.groupBy("model", "context").agg(F.sum("n").alias("n_context"))
     bigrams = pairs.join(heads, ["model", "context"])
-    return NgramModels(unigrams, bigrams, params)
+    return NgramModels(unigrams, bigrams, heads, params)
+
+
+def store_lm(lm: NgramModels, path: str) -> None:
+    """Write the count tables; a fitted model is these files."""
+    lm.unigrams.write.parquet(f"{path}/unigrams")
+    lm.bigrams.write.parquet(f"{path}/bigrams")
+    stored = lm.bigrams.sparkSession.read.parquet(f"{path}/bigrams")
+    stored.groupBy("model", "context").agg(F.max("n_context").alias("n_context")).write.parquet(f"{path}/heads")
+
+
+def load_lm(spark: SparkSession, path: str, params: LmParams = LmParams()) -> NgramModels:
+    return NgramModels(*[spark.read.parquet(f"{path}/{t}") for t in ("unigrams", "bigrams", "heads")], params)
+
+
+def fitted_lm(rows: DataFrame, params: LmParams = LmParams()) -> NgramModels:
+    """Fit, store in the shared folder, and use the stored tables from then on."""
+    path = fresh_path(rows.sparkSession, "lm")
+    store_lm(fit_lm(rows, params), path)
+    return load_lm(rows.sparkSession, path, params)
 
 
 def unigram_prob(n: Column, n_total: Column, n_vocab: Column, alpha: float) -> Column:
@@ -105,8 +135,10 @@ def scored_pairs(texts: DataFrame, max_tokens: int | None = None, mode: str = "i
 def pair_probs(pairs: DataFrame, lm: NgramModels, models: list[str]) -> DataFrame:
     """Probability of each distinct ``(context, token)`` under each model.
 
-    Count tables are joined to distinct pairs only, never to running text:
-    ``(model, context, token, n_rows, n_token, n_pair, n_context, pu, prob)``.
+    Count tables are joined to distinct pairs only, never to running text, so a
+    pair weighs one row however often it occurs; what skew is left (contexts
+    with very many continuations) is split by the adaptive skew join.
+    Columns: ``model, context, token, n_rows, n_token, n_pair, n_context, pu, prob``.
     """
     distinct = pairs.groupBy("context", "token").agg(F.count(F.lit(1)).alias("n_rows"))
     asked = distinct.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
@@ -115,11 +147,9 @@ def pair_probs(pairs: DataFrame, lm: NgramModels, models: list[str]) -> DataFram
     )
     sizes = bounded(sizes, len(models))
     words = lm.unigrams.select("model", "token", F.col("n").alias("n_token"))
-    heads = lm.bigrams.groupBy("model", "context").agg(F.max("n_context").alias("n_context"))
     seen = lm.bigrams.select("model", "context", "token", F.col("n").alias("n_pair"))
     found = asked.join(seen, ["model", "context", "token"], "left")
-    found = skew_join(found, heads, ["model", "context"], ["token"])
-    found = skew_join(found, words, ["model", "token"], ["context"])
+    found = found.join(lm.heads, ["model", "context"], "left").join(words, ["model", "token"], "left")
     found = found.join(sizes, "model").fillna(0, ["n_pair", "n_token"])
     pu = unigram_prob(F.col("n_token"), F.col("n_total"), F.col("n_vocab"), lm.params.alpha)
     found = found.withColumn("pu", pu)
@@ -149,8 +179,9 @@ def surprisal_columns(prob: Column) -> list[Column]:
 
 
 def score_texts(texts: DataFrame, lm: NgramModels, models: list[str], max_tokens: int | None = None, mode: str = "immediate_context") -> DataFrame:
+    """Probabilities and surprisal of every scored token of ``texts``."""
     pairs = scored_pairs(texts, max_tokens, mode)
-    return score_tokens(pairs, pair_probs(pairs, lm, models))
+    return score_tokens(pairs, written(pair_probs(pairs, lm, models), "pair-probs"))
 
 
 STATS = (
@@ -259,7 +290,7 @@ def token_ranks(probs: DataFrame, lm: NgramModels) -> DataFrame:
 
     after = lm.bigrams.join(asked.select("model", "context").distinct(), ["model", "context"], "left_semi")
     words = lm.unigrams.select("model", "token", unigram_prob(F.col("n"), F.col("n_total"), F.col("n_vocab"), alpha).alias("pu"))
-    after = skew_join(after, words, ["model", "token"], ["context"], "inner").select(
+    after = after.join(words, ["model", "token"]).select(
         "model", "context", mix(F.col("pu"), F.col("n"), F.col("n_context"), lam).alias("high"), floor_of(F.col("pu")).alias("low")
     )
     group, at = ["model", "context"], asked.select("model", "context", "prob")
@@ -284,10 +315,9 @@ def top_continuations(contexts: DataFrame, lm: NgramModels, k: int = 5) -> DataF
     words = lm.unigrams.select("model", "token", unigram_prob(F.col("n"), F.col("n_total"), F.col("n_vocab"), alpha).alias("pu"))
     frequent = top_n_per_group(words, ["model"], [F.col("pu").desc(), F.col("token")], k, ["token"]).drop("rank")
     asked = contexts.select("model", "context").distinct()
-    heads = lm.bigrams.groupBy("model", "context").agg(F.max("n_context").alias("n_context"))
-    asked = asked.join(heads, ["model", "context"], "left")
+    asked = asked.join(lm.heads, ["model", "context"], "left")
     seen = lm.bigrams.select("model", "context", "token", "n", "n_context").join(asked.select("model", "context"), ["model", "context"], "left_semi")
-    seen = skew_join(seen, words, ["model", "token"], ["context"], "inner")
+    seen = seen.join(words, ["model", "token"])
     listed = frequent.groupBy("model").agg(F.collect_list(F.struct("token", "pu")).alias("words"))  # k entries per model
     always = asked.join(listed, "model").select("model", "context", "n_context", F.inline("words"))
     always = always.select("model", "context", "token", F.lit(0).cast("bigint").alias("n"), "n_context", "pu")

@@ -49,9 +49,9 @@ def text_lines(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFr
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One document per file: ``(name, text)``."""
-    files = spark.read.option("wholetext", "true").text(path)
-    return files.select(file_stem(F.input_file_name()).alias("name"), F.col("value").alias("text"))
+    """One document per file: ``(name, text)`` plus any partition columns."""
+    files = spark.read.text(path, wholetext=True)
+    return files.withColumn("name", file_stem(F.input_file_name())).withColumnRenamed("value", "text")
 
 
 def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tfidf", "surprisal")
+MODULES = ("sources", "filters", "joins", "tfidf", "surprisal", "splits", "fits", "decisions", "metrics", "reports", "streams", "answers")
 
 
 def _load() -> None:

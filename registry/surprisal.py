@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import TOKEN_CLASSES, token_class
 from gradeloom.operators import longtext as L, surprisal as S
 from gradeloom.plans.surprisal_features import extract, token_records
+from gradeloom.session import written
 from gradeloom.sources import sinks
 from registry.base import SAMPLES_SQL, TURNS_SQL, query, rounded_out, samples, turns, with_sql
 
@@ -37,7 +38,7 @@ scored AS (SELECT sample_id, pos, context, token, model, prob, -log2(prob + 1e-1
 
 
 def _lm(spark, sf) -> S.NgramModels:
-    return S.fit_lm(S.model_rows(samples(spark, sf), "grp"))
+    return S.fitted_lm(S.model_rows(samples(spark, sf), "grp"))
 
 
 def _scored(spark, sf, models=GENERAL, **rule):
@@ -46,18 +47,20 @@ def _scored(spark, sf, models=GENERAL, **rule):
 
 @query("lm_fit", with_sql(LM_SQL, "SELECT model, context, token, n, n_context FROM bi JOIN heads USING (model, context)"))
 def lm_fit(spark, sf):
-    return _lm(spark, sf).bigrams.select("model", "context", "token", "n", "n_context")
+    return S.fit_lm(S.model_rows(samples(spark, sf), "grp")).bigrams.select("model", "context", "token", "n", "n_context")
 
 
 @query("lm_unigrams", with_sql(LM_SQL, "SELECT model, token, n, n_total, n_vocab FROM uni JOIN sizes USING (model)"))
 def lm_unigrams(spark, sf):
-    return _lm(spark, sf).unigrams.select("model", "token", "n", "n_total", "n_vocab")
+    return S.fit_lm(S.model_rows(samples(spark, sf), "grp")).unigrams.select("model", "token", "n", "n_total", "n_vocab")
 
 
 @query("lm_train_split", with_sql(LM_SQL, "SELECT model, count(*)::BIGINT AS n_texts, sum(len(ts))::BIGINT AS n_tokens FROM mrows GROUP BY model"))
 def lm_train_split(spark, sf):
     rows = S.model_rows(samples(spark, sf), "grp")
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.size("tokens")).alias("n_tokens"))
+    per_model = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.size("tokens")).alias("n_tokens"))
+    whole = per_model.agg(F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))
+    return per_model.unionByName(whole.select(F.lit("general").alias("model"), "n_texts", "n_tokens"))
 
 
 @query("token_prob", with_sql(LM_SQL, "SELECT sample_id, pos, context, token, round(prob, 9) AS prob FROM scored WHERE model = 'general'"))
@@ -74,32 +77,43 @@ def token_surprisal(spark, sf):
 RANK_SQL = (
     LM_SQL
     + """,
-ctx AS (SELECT DISTINCT context FROM pairs),
-every AS (SELECT c.context, w.token, CASE WHEN h.n_context IS NULL THEN w.pu ELSE (1.0::DOUBLE - 0.7::DOUBLE) * w.pu + 0.7::DOUBLE * (coalesce(b.n, 0)::DOUBLE / h.n_context) END AS prob
-   FROM ctx c CROSS JOIN (SELECT * FROM words WHERE model = 'general') w LEFT JOIN (SELECT * FROM heads WHERE model = 'general') h USING (context)
-   LEFT JOIN (SELECT * FROM bi WHERE model = 'general') b ON b.context = c.context AND b.token = w.token)"""
+g AS (SELECT context, token, prob, n_context IS NOT NULL AS seen FROM probs WHERE model = 'general'),
+levels AS (SELECT pu, count(*)::BIGINT AS n FROM words WHERE model = 'general' GROUP BY pu),
+everywhere AS (SELECT d.seen, d.prob, coalesce(sum(l.n), 0)::BIGINT AS n_all FROM (SELECT DISTINCT seen, prob FROM g) d
+   LEFT JOIN levels l ON CASE WHEN d.seen THEN (1.0::DOUBLE - 0.7::DOUBLE) * l.pu ELSE l.pu END > d.prob GROUP BY d.seen, d.prob),
+after_ AS (SELECT b.context, (1.0::DOUBLE - 0.7::DOUBLE) * w.pu AS low, (1.0::DOUBLE - 0.7::DOUBLE) * w.pu + 0.7::DOUBLE * (b.n::DOUBLE / h.n_context) AS high
+   FROM bi b JOIN words w ON w.model = 'general' AND w.token = b.token JOIN heads h ON h.model = 'general' AND h.context = b.context WHERE b.model = 'general'),
+local AS (SELECT d.context, d.prob, coalesce(sum((a.high > d.prob)::INTEGER), 0) - coalesce(sum((a.low > d.prob)::INTEGER), 0) AS n_local
+   FROM (SELECT DISTINCT context, prob FROM g) d LEFT JOIN after_ a ON a.context = d.context GROUP BY d.context, d.prob)"""
 )
 
 
 @query(
     "token_rank",
-    with_sql(
-        RANK_SQL,
-        """, ranked AS (SELECT context, token, rank() OVER (PARTITION BY context ORDER BY prob DESC) AS r FROM every)
-        SELECT context, p.token, r::BIGINT AS "rank" FROM (SELECT context, token, CASE WHEN w.token IS NULL THEN '<UNK>' ELSE token END AS known FROM (SELECT DISTINCT context, token FROM pairs) LEFT JOIN (SELECT token FROM words WHERE model = 'general') w USING (token)) p
-        JOIN ranked ON ranked.context = p.context AND ranked.token = p.known""".replace("SELECT context, p.token", "SELECT p.context, p.token"),
-    ).replace("\n, ranked", ", ranked"),
+    with_sql(RANK_SQL, 'SELECT g.context, g.token, (1 + n_all + n_local)::BIGINT AS "rank" FROM g JOIN everywhere USING (seen, prob) JOIN local ON local.context = g.context AND local.prob = g.prob'),
 )
 def token_rank(spark, sf):
     lm, pairs = _lm(spark, sf), S.scored_pairs(turns(spark, sf))
-    return S.token_ranks(S.pair_probs(pairs, lm, GENERAL), lm).drop("model")
+    return S.token_ranks(written(S.pair_probs(pairs, lm, GENERAL), "pair-probs"), lm).drop("model")
+
+
+TOPK_SQL = (
+    LM_SQL
+    + """,
+ctx AS (SELECT DISTINCT context FROM pairs),
+w AS (SELECT * FROM words WHERE model = 'general' AND n > 0),
+options AS (SELECT c.context, b.token, b.n FROM ctx c JOIN bi b ON b.model = 'general' AND b.context = c.context
+   UNION ALL SELECT c.context, t.token, 0 FROM ctx c CROSS JOIN (SELECT token FROM w ORDER BY pu DESC, token LIMIT 40) t),
+every AS (SELECT o.context, o.token, CASE WHEN h.n_context IS NULL THEN w.pu ELSE (1.0::DOUBLE - 0.7::DOUBLE) * w.pu + 0.7::DOUBLE * (o.n::DOUBLE / h.n_context) END AS prob
+   FROM (SELECT context, token, max(n) AS n FROM options GROUP BY ALL) o JOIN w USING (token) LEFT JOIN (SELECT * FROM heads WHERE model = 'general') h USING (context))"""
+)
 
 
 @query(
     "token_topk",
     with_sql(
-        RANK_SQL,
-        """SELECT context, "rank", token, round(prob, 9) AS prob FROM (SELECT context, token, prob, (row_number() OVER (PARTITION BY context ORDER BY prob DESC, token))::INTEGER AS "rank" FROM every WHERE token <> '<UNK>') WHERE "rank" <= 5""",
+        TOPK_SQL,
+        """SELECT context, "rank", token, round(prob, 9) AS prob FROM (SELECT context, token, prob, (row_number() OVER (PARTITION BY context ORDER BY prob DESC, token))::INTEGER AS "rank" FROM every) WHERE "rank" <= 5""",
     ),
 )
 def token_topk(spark, sf):
@@ -130,8 +144,8 @@ def token_record_rows(spark, sf):
     )
 
 
-AGG = """count(s.loss)::BIGINT AS total_tokens, round(coalesce(avg(perplexity), 0), 4) AS mean_perplexity, round(coalesce(quantile_cont(perplexity, 0.5), 0), 4) AS median_perplexity,
-  round(coalesce(stddev_pop(perplexity), 0), 4) AS std_perplexity, round(coalesce(min(perplexity), 0), 4) AS min_perplexity, round(coalesce(max(perplexity), 0), 4) AS max_perplexity,
+AGG = """count(s.loss)::BIGINT AS total_tokens, round(coalesce(avg(perplexity), 0), 3) AS mean_perplexity, round(coalesce(quantile_cont(perplexity, 0.5), 0), 3) AS median_perplexity,
+  round(coalesce(stddev_pop(perplexity), 0), 1) AS std_perplexity, round(coalesce(min(perplexity), 0), 3) AS min_perplexity, round(coalesce(max(perplexity), 0), 3) AS max_perplexity,
   round(coalesce(avg(entropy), 0), 6) AS mean_entropy, round(coalesce(stddev_pop(entropy), 0), 6) AS std_entropy"""
 
 
@@ -142,8 +156,8 @@ def _aggregated(spark, sf, models=GENERAL, **rule):
 
 
 def _agg_out(agg):
-    four = [c for c in S.STATS if c.endswith("perplexity")]
-    return agg.select("sample_id", "model", "total_tokens", *[F.round(c, 4 if c in four else 6).alias(c) for c in S.STATS])
+    digits = lambda c: 1 if c == "std_perplexity" else 3 if c.endswith("perplexity") else 6
+    return agg.select("sample_id", "model", "total_tokens", *[F.round(c, digits(c)).alias(c) for c in S.STATS])
 
 
 def _agg_sql(where: str = "", models: str = "model = 'general'") -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+import time
 
 import duckdb
 
@@ -12,6 +13,7 @@ import duckdb
 def connect(sf: str):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
+    con.execute("SET memory_limit = '8GB'")
     for path in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con
@@ -61,8 +63,11 @@ def sql_side(con, sql: str):
 
 
 def differences(df, con, sql: str) -> list[str]:
+    start = time.time()
     n1, t1, r1 = spark_side(df)
+    middle = time.time()
     n2, t2, r2 = sql_side(con, sql)
+    print(f"[{middle - start:5.1f} {time.time() - middle:5.1f}]", end=" ", flush=True)
     out = []
     if n1 != n2:
         return [f"columns {n1} != {n2}"]

@@ -31,13 +31,17 @@ class LmParams:
     lam: float = 0.7
 
 
+START = ""  # stands before the first token of a text; no token is empty
+
+
 @dataclass(frozen=True)
 class NgramModels:
     """Count tables of one or more models."""
 
-    unigrams: DataFrame  # model, token, n, n_total, n_vocab
-    bigrams: DataFrame  # model, context, token, n, n_context
+    bigrams: DataFrame  # model, context, token, n
+    unigrams: DataFrame  # model, token, n
     heads: DataFrame  # model, context, n_context
+    sizes: DataFrame  # model, n_total, n_vocab: one row per model
     params: LmParams = LmParams()
 
 
@@ -48,62 +52,92 @@ def model_rows(corpus: DataFrame, group: str) -> DataFrame:
     return corpus.select(name.alias("model"), word_tokens(F.col("text")).alias("tokens"))
 
 
-def pairs_of(tokens: Column) -> Column:
-    """Adjacent token pairs of one row as ``array<struct<pos, context, token>>``."""
+def pairs_of(tokens: Column, first: int = 1) -> Column:
+    """Adjacent token pairs of one row as ``array<struct<pos, context, token>>``.
+
+    ``first=0`` adds the first token, after the start mark.
+    """
     return let(
         tokens,
         lambda ts: F.transform(
-            int_range(1, F.size(ts) - 1),
-            lambda i: F.struct(i.alias("pos"), F.get(ts, i - 1).alias("context"), F.get(ts, i).alias("token")),
+            int_range(first, F.size(ts) - 1),
+            lambda i: F.struct(
+                i.alias("pos"), F.coalesce(F.get(ts, i - 1), F.lit(START)).alias("context"), F.get(ts, i).alias("token")
+            ),
         ),
     )
 
 
-def _with_general(counts: DataFrame, keys: list[str], general: str | None) -> DataFrame:
-    """Adds a model of all groups by summing their counts, not by reading texts twice."""
+def count_pairs(rows: DataFrame, general: str | None = "general") -> DataFrame:
+    """``(model, context, token, n)`` in one pass over the texts, start pairs included.
+
+    The model of all groups sums the group counts instead of reading texts twice.
+    """
+    require(rows, "model", "tokens")
+    keys = ["context", "token"]
+    pairs = rows.select("model", F.inline(pairs_of(F.col("tokens"), 0))).groupBy("model", *keys).agg(F.count(F.lit(1)).alias("n"))
     if general is None:
-        return counts
-    whole = counts.groupBy(*keys).agg(F.sum("n").alias("n")).select(F.lit(general).alias("model"), *keys, "n")
-    return counts.unionByName(whole)
+        return pairs
+    whole = pairs.groupBy(*keys).agg(F.sum("n").alias("n")).select(F.lit(general).alias("model"), *keys, "n")
+    return pairs.unionByName(whole)
+
+
+def models_from(pairs: DataFrame, params: LmParams = LmParams()) -> NgramModels:
+    """All count tables follow from the counted pairs."""
+    bigrams = pairs.filter(F.col("context") != START)
+    unigrams = pairs.groupBy("model", "token").agg(F.sum("n").alias("n"))
+    heads = bigrams.groupBy("model", "context").agg(F.sum("n").alias("n_context"))
+    sizes = unigrams.groupBy("model").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("n_vocab"))
+    return NgramModels(bigrams, unigrams, heads, sizes, params)
 
 
 def fit_lm(rows: DataFrame, params: LmParams = LmParams(), general: str | None = "general") -> NgramModels:
-    """Count tables from ``(model, tokens)``; both counts combine before the shuffle."""
-    require(rows, "model", "tokens")
-    words = rows.select("model", F.explode("tokens").alias("token")).groupBy("model", "token").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    words = _with_general(words, ["token"], general)
-    sizes = words.groupBy("model").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("n_vocab"))
-    unigrams = words.join(sizes, "model")
-    pairs = rows.select("model", F.inline(pairs_of(F.col("tokens")))).groupBy("model", "context", "token").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    pairs = _with_general(pairs, ["context", "token"], general)
-    heads = pairs.groupBy("model", "context").agg(F.sum("n").alias("n_context"))
-    bigrams = pairs.join(heads, ["model", "context"])
-    return NgramModels(unigrams, bigrams, heads, params)
+    """Models of ``(model, tokens)`` rows as one lazy plan."""
+    return models_from(count_pairs(rows, general), params)
+
 
+def store_lm(rows: DataFrame, path: str, general: str | None = "general") -> None:
+    """Fit and write the models: the texts are read once, for the pairs."""
+    count_pairs(rows, general).write.partitionBy("model").parquet(f"{path}/pairs")
+    lm = models_from(load_pairs(rows.sparkSession, path))
+    lm.unigrams.write.partitionBy("model").parquet(f"{path}/unigrams")
+    lm.heads.write.partitionBy("model").parquet(f"{path}/heads")
 
-def store_lm(lm: NgramModels, path: str) -> None:
-    """Write the count tables; a fitted model is these files."""
-    lm.unigrams.write.parquet(f"{path}/unigrams")
-    lm.bigrams.write.parquet(f"{path}/bigrams")
-    stored = lm.bigrams.sparkSession.read.parquet(f"{path}/bigrams")
-    stored.groupBy("model", "context").agg(F.max("n_context").alias("n_context")).write.parquet(f"{path}/heads")
+
+def load_pairs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("context string, token string, n bigint, model string").parquet(f"{path}/pairs")
 
 
 def load_lm(spark: SparkSession, path: str, params: LmParams = LmParams()) -> NgramModels:
-    return NgramModels(*[spark.read.parquet(f"{path}/{t}") for t in ("unigrams", "bigrams", "heads")], params)
+    """Stored models; scoring reads only the partitions of its models."""
+    lm = models_from(load_pairs(spark, path), params)
+    unigrams = spark.read.schema("token string, n bigint, model string").parquet(f"{path}/unigrams")
+    heads = spark.read.schema("context string, n_context bigint, model string").parquet(f"{path}/heads")
+    sizes = unigrams.groupBy("model").agg(F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("n_vocab"))
+    return NgramModels(lm.bigrams, unigrams, heads, sizes, params)
 
 
-def fitted_lm(rows: DataFrame, params: LmParams = LmParams()) -> NgramModels:
+def fitted_lm(rows: DataFrame, params: LmParams = LmParams(), general: str | None = "general") -> NgramModels:
     """Fit, store in the shared folder, and use the stored tables from then on."""
     path = fresh_path(rows.sparkSession, "lm")
-    store_lm(fit_lm(rows, params), path)
+    store_lm(rows, path, general)
     return load_lm(rows.sparkSession, path, params)
 
 
+def of_models(lm: NgramModels, models: list[str]) -> NgramModels:
+    chosen = F.col("model").isin(*models)
+    return NgramModels(
+        lm.bigrams.filter(chosen), lm.unigrams.filter(chosen), lm.heads.filter(chosen),
+        bounded(lm.sizes.filter(chosen), len(models)), lm.params,
+    )
+
+
+def word_probs(lm: NgramModels) -> DataFrame:
+    """``(model, token, pu)`` of the known words; ``lm.sizes`` has one row per model."""
+    pu = unigram_prob(F.col("n"), F.col("n_total"), F.col("n_vocab"), lm.params.alpha)
+    return lm.unigrams.join(lm.sizes, "model").select("model", "token", pu.alias("pu"))
+
+
 def unigram_prob(n: Column, n_total: Column, n_vocab: Column, alpha: float) -> Column:
     return (n + F.lit(alpha)) / (n_total + F.lit(alpha) * (n_vocab + 1))
 
@@ -140,17 +174,14 @@ def pair_probs(pairs: DataFrame, lm: NgramModels, models: list[str]) -> DataFram
     with very many continuations) is split by the adaptive skew join.
     Columns: ``model, context, token, n_rows, n_token, n_pair, n_context, pu, prob``.
     """
+    lm = of_models(lm, models)
     distinct = pairs.groupBy("context", "token").agg(F.count(F.lit(1)).alias("n_rows"))
     asked = distinct.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    sizes = lm.unigrams.filter(F.col("model").isin(*models)).groupBy("model").agg(
-        F.max("n_total").alias("n_total"), F.max("n_vocab").alias("n_vocab")
-    )
-    sizes = bounded(sizes, len(models))
     words = lm.unigrams.select("model", "token", F.col("n").alias("n_token"))
     seen = lm.bigrams.select("model", "context", "token", F.col("n").alias("n_pair"))
     found = asked.join(seen, ["model", "context", "token"], "left")
     found = found.join(lm.heads, ["model", "context"], "left").join(words, ["model", "token"], "left")
-    found = found.join(sizes, "model").fillna(0, ["n_pair", "n_token"])
+    found = found.join(lm.sizes, "model").fillna(0, ["n_pair", "n_token"])
     pu = unigram_prob(F.col("n_token"), F.col("n_total"), F.col("n_vocab"), lm.params.alpha)
     found = found.withColumn("pu", pu)
     prob = mix(F.col("pu"), F.col("n_pair"), F.col("n_context"), lm.params.lam)
@@ -272,36 +303,31 @@ def token_ranks(probs: DataFrame, lm: NgramModels) -> DataFrame:
     """
     lam, alpha = lm.params.lam, lm.params.alpha
     known = F.col("n_context").isNotNull()
-    floor_of = lambda pu: F.when(known, F.lit(1.0 - lam) * pu).otherwise(pu)
+    lowest = lambda pu: F.lit(1.0 - lam) * pu
     asked = probs.select("model", "context", "token", "prob", "n_context")
-    kinds = lm.unigrams.select(
-        "model", unigram_prob(F.col("n"), F.col("n_total"), F.col("n_vocab"), alpha).alias("pu")
-    ).groupBy("model", "pu").agg(F.count(F.lit(1)).alias("n_words"))
-    unknown = lm.unigrams.groupBy("model").agg(F.max("n_total").alias("n_total"), F.max("n_vocab").alias("n_vocab")).select(
-        "model", unigram_prob(F.lit(0), F.col("n_total"), F.col("n_vocab"), alpha).alias("pu"), F.lit(1).cast("bigint").alias("n_words")
-    )
-    kinds = kinds.unionByName(unknown)
+    words = word_probs(lm)
+    kinds = words.groupBy("model", "pu").agg(F.count(F.lit(1)).alias("n_words"))
+    unknown = unigram_prob(F.lit(0), F.col("n_total"), F.col("n_vocab"), alpha)
+    kinds = kinds.unionByName(lm.sizes.select("model", unknown.alias("pu"), F.lit(1).cast("bigint").alias("n_words")))
     levels = kinds.withColumn("seen", F.explode(F.array(F.lit(True), F.lit(False)))).select(
-        "model", "seen", F.when(F.col("seen"), F.lit(1.0 - lam) * F.col("pu")).otherwise(F.col("pu")).alias("prob"), "n_words"
+        "model", "seen", F.when(F.col("seen"), lowest(F.col("pu"))).otherwise(F.col("pu")).alias("prob"), "n_words"
     )
-    everywhere = count_above(
-        levels, asked.select("model", known.alias("seen"), "prob"), ["model", "seen"], "prob", "n_words", log_bucket(F.col("prob"))
-    ).withColumnRenamed("above", "n_all")
-
-    after = lm.bigrams.join(asked.select("model", "context").distinct(), ["model", "context"], "left_semi")
-    words = lm.unigrams.select("model", "token", unigram_prob(F.col("n"), F.col("n_total"), F.col("n_vocab"), alpha).alias("pu"))
-    after = after.join(words, ["model", "token"]).select(
-        "model", "context", mix(F.col("pu"), F.col("n"), F.col("n_context"), lam).alias("high"), floor_of(F.col("pu")).alias("low")
+    bucket = log_bucket(F.col("prob"))
+    places = asked.select("model", known.alias("seen"), "prob")
+    everywhere = count_above(levels, places, ["model", "seen"], "prob", "n_words", bucket).withColumnRenamed("above", "n_all")
+
+    contexts = asked.filter(known).select("model", "context", "n_context").distinct()
+    after = lm.bigrams.join(contexts, ["model", "context"]).join(words, ["model", "token"])
+    ends = F.array(
+        F.struct(mix(F.col("pu"), F.col("n"), F.col("n_context"), lam).alias("prob"), F.lit(1).alias("mass")),
+        F.struct(lowest(F.col("pu")).alias("prob"), F.lit(-1).alias("mass")),
     )
-    group, at = ["model", "context"], asked.select("model", "context", "prob")
-
-    def above(column: str, out: str) -> DataFrame:
-        mass = after.groupBy(*group, F.col(column).alias("prob")).agg(F.count(F.lit(1)).alias("n_words"))
-        return count_above(mass, at, group, "prob", "n_words", log_bucket(F.col("prob"))).withColumnRenamed("above", out)
+    group = ["model", "context"]
+    moved = after.select(*group, F.inline(ends)).groupBy(*group, "prob").agg(F.sum("mass").alias("n_words"))
+    here = count_above(moved, asked.select(*group, "prob"), group, "prob", "n_words", bucket).withColumnRenamed("above", "n_here")
 
-    ranked = asked.withColumn("seen", known).join(everywhere, ["model", "seen", "prob"])
-    ranked = ranked.join(above("high", "n_high"), group + ["prob"]).join(above("low", "n_low"), group + ["prob"])
-    rank = 1 + F.col("n_all") - F.col("n_low") + F.col("n_high")
+    ranked = asked.withColumn("seen", known).join(everywhere, ["model", "seen", "prob"]).join(here, group + ["prob"])
+    rank = 1 + F.col("n_all") + F.col("n_here")
     return ranked.select("model", "context", "token", rank.cast("bigint").alias("rank"))
 
 
@@ -311,13 +337,12 @@ def top_continuations(contexts: DataFrame, lm: NgramModels, k: int = 5) -> DataF
     A word never seen after the context can only be listed if it is one of the
     model's ``k`` most frequent words: those keep at least its probability.
     """
-    alpha, lam = lm.params.alpha, lm.params.lam
-    words = lm.unigrams.select("model", "token", unigram_prob(F.col("n"), F.col("n_total"), F.col("n_vocab"), alpha).alias("pu"))
+    lam = lm.params.lam
+    words = word_probs(lm)
     frequent = top_n_per_group(words, ["model"], [F.col("pu").desc(), F.col("token")], k, ["token"]).drop("rank")
     asked = contexts.select("model", "context").distinct()
     asked = asked.join(lm.heads, ["model", "context"], "left")
-    seen = lm.bigrams.select("model", "context", "token", "n", "n_context").join(asked.select("model", "context"), ["model", "context"], "left_semi")
-    seen = seen.join(words, ["model", "token"])
+    seen = lm.bigrams.join(asked.filter(F.col("n_context").isNotNull()), ["model", "context"]).join(words, ["model", "token"])
     listed = frequent.groupBy("model").agg(F.collect_list(F.struct("token", "pu")).alias("words"))  # k entries per model
     always = asked.join(listed, "model").select("model", "context", "n_context", F.inline("words"))
     always = always.select("model", "context", "token", F.lit(0).cast("bigint").alias("n"), "n_context", "pu")

@@ -47,12 +47,14 @@ def _scored(spark, sf, models=GENERAL, **rule):
 
 @query("lm_fit", with_sql(LM_SQL, "SELECT model, context, token, n, n_context FROM bi JOIN heads USING (model, context)"))
 def lm_fit(spark, sf):
-    return S.fit_lm(S.model_rows(samples(spark, sf), "grp")).bigrams.select("model", "context", "token", "n", "n_context")
+    lm = S.fit_lm(S.model_rows(samples(spark, sf), "grp"))
+    return lm.bigrams.join(lm.heads, ["model", "context"]).select("model", "context", "token", "n", "n_context")
 
 
 @query("lm_unigrams", with_sql(LM_SQL, "SELECT model, token, n, n_total, n_vocab FROM uni JOIN sizes USING (model)"))
 def lm_unigrams(spark, sf):
-    return S.fit_lm(S.model_rows(samples(spark, sf), "grp")).unigrams.select("model", "token", "n", "n_total", "n_vocab")
+    lm = S.fit_lm(S.model_rows(samples(spark, sf), "grp"))
+    return lm.unigrams.join(lm.sizes, "model").select("model", "token", "n", "n_total", "n_vocab")
 
 
 @query("lm_train_split", with_sql(LM_SQL, "SELECT model, count(*)::BIGINT AS n_texts, sum(len(ts))::BIGINT AS n_tokens FROM mrows GROUP BY model"))
@@ -94,7 +96,8 @@ local AS (SELECT d.context, d.prob, coalesce(sum((a.high > d.prob)::INTEGER), 0)
 )
 def token_rank(spark, sf):
     lm, pairs = _lm(spark, sf), S.scored_pairs(turns(spark, sf))
-    return S.token_ranks(written(S.pair_probs(pairs, lm, GENERAL), "pair-probs"), lm).drop("model")
+    probs = written(S.pair_probs(pairs, lm, GENERAL), "pair-probs")
+    return S.token_ranks(probs, S.of_models(lm, GENERAL)).drop("model")
 
 
 TOPK_SQL = (
@@ -119,7 +122,7 @@ every AS (SELECT o.context, o.token, CASE WHEN h.n_context IS NULL THEN w.pu ELS
 def token_topk(spark, sf):
     lm, pairs = _lm(spark, sf), S.scored_pairs(turns(spark, sf))
     asked = pairs.select(F.lit("general").alias("model"), "context").distinct()
-    return rounded_out(S.top_continuations(asked, lm, 5).drop("model"), 9)
+    return rounded_out(S.top_continuations(asked, S.of_models(lm, GENERAL), 5).drop("model"), 9)
 
 
 @query(

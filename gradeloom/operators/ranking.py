@@ -15,9 +15,15 @@ CRITERIA = ("accuracy", "adjacent_accuracy", "macro_f1", "weighted_f1", "micro_f
 STRATEGIES = ("argmax", "rounded_avg")
 
 
+def merit(criterion: str) -> Column:
+    """Sort value: unknown last; what differs only in the last bits of a
+    floating-point sum, whose order is not fixed, counts as equal."""
+    return F.coalesce(F.round(criterion, 9), F.lit(-1.0))
+
+
 def best_first(criterion: str) -> list[Column]:
-    """Descending, unknown values last, then by name."""
-    return [F.coalesce(F.col(criterion), F.lit(-1.0)).desc(), F.col("model"), F.col("dataset"), F.col("strategy")]
+    """Descending, then by name."""
+    return [merit(criterion).desc(), F.col("model"), F.col("dataset"), F.col("strategy")]
 
 
 def rank(metrics: DataFrame, criterion: str = "accuracy") -> DataFrame:
@@ -36,7 +42,7 @@ def top_by_criteria(metrics: DataFrame, n: int = 10, criteria=CRITERIA, strategi
     long = metrics.filter(F.col("strategy").isin(*strategies)).unpivot(
         ["model", "dataset", "strategy"], list(criteria), "criterion", "value"
     )
-    scope = W.partitionBy("criterion", "strategy").orderBy(F.coalesce("value", F.lit(-1.0)).desc(), "model", "dataset")
+    scope = W.partitionBy("criterion", "strategy").orderBy(merit("value").desc(), "model", "dataset")
     ranked = long.withColumn("rank", F.row_number().over(scope)).filter(F.col("rank") <= n)
     return ranked.select("criterion", "strategy", "rank", "model", "dataset", "value")
 
@@ -76,7 +82,7 @@ def dataset_detail(metrics: DataFrame, dataset: str, strategy: str = "argmax") -
     """One dataset's records, best weighted F1 first."""
     rows = metrics.filter((F.col("dataset") == dataset) & (F.col("strategy") == strategy))
     order = F.coalesce(F.when(F.col("weighted_f1") != 0, F.col("weighted_f1")), F.col("macro_f1"), F.lit(0.0))
-    place = F.row_number().over(W.partitionBy("dataset").orderBy(order.desc(), "model"))
+    place = F.row_number().over(W.partitionBy("dataset").orderBy(F.round(order, 9).desc(), "model"))
     return rows.select(
         place.alias("rank"), display_name(F.col("model")).alias("display_name"), "model", "n_samples",
         "accuracy", "adjacent_accuracy", "macro_f1", "weighted_f1",
@@ -86,7 +92,7 @@ def dataset_detail(metrics: DataFrame, dataset: str, strategy: str = "argmax") -
 def best_per_dataset(metrics: DataFrame, strategy: str = "argmax") -> DataFrame:
     """Best model by accuracy and by adjacent accuracy; first name on ties."""
     def best(column: str) -> Column:
-        return F.min_by(F.struct("model", column), F.struct(-F.coalesce(F.col(column), F.lit(0.0)), F.col("model")))
+        return F.min_by(F.struct("model", column), F.struct(-F.coalesce(F.round(column, 9), F.lit(0.0)), F.col("model")))
 
     rows = metrics.filter(F.col("strategy") == strategy).groupBy("dataset").agg(
         best("accuracy").alias("a"), best("adjacent_accuracy").alias("b"), F.count(F.lit(1)).alias("n_models")

@@ -11,7 +11,7 @@ def screen(scores: DataFrame, metric: str, threshold: float | None = None, perce
     One row per candidate configuration, so an unpartitioned ranking is small.
     """
     whole = W.partitionBy(F.lit(0))
-    ranked = scores.withColumn("rank", F.row_number().over(whole.orderBy(F.col("score").desc(), "feature_set")))
+    ranked = scores.withColumn("rank", F.row_number().over(whole.orderBy(F.round("score", 9).desc(), "feature_set")))
     ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(whole))
     below = F.lit(False) if threshold is None else F.col("score") < F.lit(float(threshold))
     cut = F.lit(0) if percentile is None else F.floor(F.col("_n") * F.lit(float(percentile)) / 100)
@@ -30,7 +30,7 @@ def survivors(screened: DataFrame, k: int) -> DataFrame:
 
 def best_trials(history: DataFrame) -> DataFrame:
     """Best trial per feature set with the number of trials; first trial on ties."""
-    best = F.min_by(F.struct("trial", "params", "score"), F.struct(-F.col("score"), F.col("trial")))
+    best = F.min_by(F.struct("trial", "params", "score"), F.struct(-F.round("score", 9), F.col("trial")))
     rows = history.groupBy("feature_set").agg(best.alias("b"), F.count(F.lit(1)).alias("n_trials"))
     return rows.select(
         "feature_set", F.col("b.trial").alias("best_trial"), F.col("b.params").alias("best_params"),
@@ -42,5 +42,5 @@ def final_ranking(chosen: DataFrame, best: DataFrame) -> DataFrame:
     """Survivors with tuned score, improvement and their new rank."""
     joined = chosen.select("feature_set", F.col("score").alias("stage1_score")).join(best, "feature_set")
     joined = joined.withColumn("improvement", F.col("best_score") - F.col("stage1_score"))
-    order = W.partitionBy(F.lit(0)).orderBy(F.col("best_score").desc(), "feature_set")
+    order = W.partitionBy(F.lit(0)).orderBy(F.round("best_score", 9).desc(), "feature_set")
     return joined.withColumn("final_rank", F.row_number().over(order))

@@ -9,7 +9,7 @@ from gradeloom.operators import ranking as R, screening as SC
 from registry.base import METRICS_SQL, metric_records, query, rounded_out, table, with_sql
 
 K3 = "model, dataset, strategy"
-RANK = "ORDER BY coalesce({c}, -1.0) DESC, model, dataset, strategy"
+RANK = "ORDER BY coalesce(round({c}, 9), -1.0) DESC, model, dataset, strategy"
 
 
 @query("rank_models", with_sql(METRICS_SQL, f"SELECT {K3}, round(macro_f1, 6) AS macro_f1, (row_number() OVER ({RANK.format(c='macro_f1')}))::INTEGER AS \"rank\" FROM metrics"))
@@ -33,7 +33,7 @@ TOP_SQL = " UNION ALL ".join(f"SELECT '{c}' AS criterion, strategy, model, datas
     with_sql(
         METRICS_SQL,
         f"""SELECT criterion, strategy, "rank", model, dataset, round(v, 6) AS "value" FROM (
-            SELECT *, (row_number() OVER (PARTITION BY criterion, strategy ORDER BY coalesce(v, -1.0) DESC, model, dataset))::INTEGER AS "rank" FROM ({TOP_SQL})) WHERE "rank" <= 10""",
+            SELECT *, (row_number() OVER (PARTITION BY criterion, strategy ORDER BY coalesce(round(v, 9), -1.0) DESC, model, dataset))::INTEGER AS "rank" FROM ({TOP_SQL})) WHERE "rank" <= 10""",
     ),
 )
 def top10_by_criterion(spark, sf):
@@ -76,7 +76,7 @@ def f1_pivot(spark, sf):
     "dataset_detail",
     with_sql(
         METRICS_SQL,
-        """SELECT (row_number() OVER (ORDER BY CASE WHEN weighted_f1 <> 0 THEN weighted_f1 ELSE coalesce(macro_f1, 0) END DESC, model))::INTEGER AS "rank",
+        """SELECT (row_number() OVER (ORDER BY round(CASE WHEN weighted_f1 <> 0 THEN weighted_f1 ELSE coalesce(macro_f1, 0) END, 9) DESC, model))::INTEGER AS "rank",
            CASE model WHEN 'train_logistic_005ebc16_tfidf' THEN 'Logistic Reg. tf-idf' WHEN 'train_multinomialnb_e2752d18_tfidf' THEN 'Naive Bayes tf-idf' ELSE 'XGBoost tf-idf' END AS display_name,
            model, n_samples, round(accuracy, 6) AS accuracy, round(adjacent_accuracy, 6) AS adjacent_accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1
            FROM metrics WHERE dataset = 'src5' AND strategy = 'argmax'""",
@@ -131,8 +131,8 @@ def overview_counts(spark, sf):
     with_sql(
         METRICS_SQL,
         """, m AS (SELECT * FROM metrics WHERE strategy = 'argmax'),
-        a AS (SELECT dataset, model, accuracy, row_number() OVER (PARTITION BY dataset ORDER BY accuracy DESC, model) AS r FROM m),
-        b AS (SELECT dataset, model, adjacent_accuracy, row_number() OVER (PARTITION BY dataset ORDER BY adjacent_accuracy DESC, model) AS r FROM m)
+        a AS (SELECT dataset, model, accuracy, row_number() OVER (PARTITION BY dataset ORDER BY round(accuracy, 9) DESC, model) AS r FROM m),
+        b AS (SELECT dataset, model, adjacent_accuracy, row_number() OVER (PARTITION BY dataset ORDER BY round(adjacent_accuracy, 9) DESC, model) AS r FROM m)
         SELECT a.dataset, a.model AS best_model, round(a.accuracy, 6) AS best_accuracy, b.model AS best_adjacent_model, round(b.adjacent_accuracy, 6) AS best_adjacent_accuracy,
           (SELECT count(*) FROM m WHERE m.dataset = a.dataset)::BIGINT AS n_models FROM a JOIN b ON a.dataset = b.dataset AND a.r = 1 AND b.r = 1""",
     ).replace("\n, m AS", ", m AS"),
@@ -143,7 +143,7 @@ def best_per_dataset(spark, sf):
 
 SCORES_SQL = 'scores AS (SELECT p_brand AS feature_set, avg(CASE WHEN p_size <= 20 THEN 1.0 ELSE 0.0 END) AS score FROM part GROUP BY 1)'
 SCREEN_SQL = SCORES_SQL + """,
-screened AS (SELECT feature_set, score, (row_number() OVER (ORDER BY score DESC, feature_set))::INTEGER AS "rank", count(*) OVER () AS n FROM scores),
+screened AS (SELECT feature_set, score, (row_number() OVER (ORDER BY round(score, 9) DESC, feature_set))::INTEGER AS "rank", count(*) OVER () AS n FROM scores),
 flagged AS (SELECT *, score < 0.35 AS below, "rank" > n - floor(n * 25.0 / 100) AS bottom FROM screened)"""
 
 
@@ -166,7 +166,7 @@ def screen_features(spark, sf):
 
 TRIALS_SQL = """,
 trials AS (SELECT p_brand AS feature_set, p_size AS trial, 'c=' || p_size AS params, avg(p_retailprice) / 2000.0 AS score FROM part GROUP BY p_brand, p_size),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY score DESC, trial) AS r, count(*) OVER (PARTITION BY feature_set)::BIGINT AS n_trials FROM trials) WHERE r = 1)"""
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY round(score, 9) DESC, trial) AS r, count(*) OVER (PARTITION BY feature_set)::BIGINT AS n_trials FROM trials) WHERE r = 1)"""
 
 
 def _trials(spark, sf):
@@ -185,7 +185,7 @@ def tuning_history(spark, sf):
         SCREEN_SQL + TRIALS_SQL,
         """, chosen AS (SELECT feature_set, score FROM flagged WHERE NOT (below OR bottom) ORDER BY "rank" LIMIT 8)
         SELECT feature_set, round(chosen.score, 6) AS stage1_score, best.trial AS best_trial, best.params AS best_params, round(best.score, 6) AS best_score, best.n_trials,
-          round(best.score - chosen.score, 6) AS improvement, (row_number() OVER (ORDER BY best.score DESC, feature_set))::INTEGER AS final_rank FROM chosen JOIN best USING (feature_set)""",
+          round(best.score - chosen.score, 6) AS improvement, (row_number() OVER (ORDER BY round(best.score, 9) DESC, feature_set))::INTEGER AS final_rank FROM chosen JOIN best USING (feature_set)""",
     ).replace("\n, chosen", ", chosen"),
 )
 def tune_top_k(spark, sf):

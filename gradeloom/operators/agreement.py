@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gradeloom.functions.levels import MAX_ORD
 from gradeloom.operators.metrics import KEYS, ratio
 from gradeloom.operators.scale import running_mass
+from gradeloom.session import written
 
 
 def _cells(cm: DataFrame, keys) -> DataFrame:
@@ -70,7 +71,7 @@ def continuous_errors(predictions: DataFrame, keys=("model", "dataset")) -> Data
     )
 
 
-def spearman(predictions: DataFrame, keys=("model", "dataset"), x: str = "true_ord", y: str = "expected_value", buckets: Column | None = None) -> DataFrame:
+def spearman(predictions: DataFrame, keys=("model", "dataset"), x: str = "true_ord", y: str = "expected_value") -> DataFrame:
     """Rank correlation with average ranks for ties.
 
     Ranks are looked up per distinct value: values are counted, mass above each
@@ -81,6 +82,7 @@ def spearman(predictions: DataFrame, keys=("model", "dataset"), x: str = "true_o
     pairs = predictions.groupBy(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    pairs = written(pairs, "rank-pairs")  # ranked along both axes and read once more
 
     def ranks(column: str) -> DataFrame:
         counted = pairs.groupBy(*keys, column).agg(F.sum("n").alias("n"))

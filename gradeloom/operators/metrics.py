@@ -32,17 +32,29 @@ def dense_confusion(cm: DataFrame, keys=KEYS, n: int = len(LEVELS)) -> DataFrame
     )
 
 
-def class_counts(cm: DataFrame, keys=KEYS, mass: str = "n") -> DataFrame:
-    """``(keys, ord, tp, n_pred, support)`` per label seen as truth or prediction."""
+def class_counts(cm: DataFrame, keys=KEYS, mass: str = "n", extra: dict[str, Column] | None = None) -> DataFrame:
+    """``(keys, ord, tp, n_pred, support)`` per label seen as truth or prediction.
+
+    ``extra`` adds sums over the cells of a true label, so that one chain of
+    aggregates can serve several metrics. A label off the scale has a null
+    ``ord``.
+    """
     m = F.col(mass)
     zero = F.lit(0).cast(cm.schema[mass].dataType)
     hit = F.when(F.col("true_ord") == F.col("pred_ord"), m).otherwise(zero)
+    more = extra or {}
     sides = F.array(
-        F.struct(F.col("true_ord").alias("ord"), hit.alias("tp"), zero.alias("n_pred"), m.alias("support")),
-        F.struct(F.col("pred_ord").alias("ord"), zero.alias("tp"), m.alias("n_pred"), zero.alias("support")),
+        F.struct(
+            F.col("true_ord").alias("ord"), hit.alias("tp"), zero.alias("n_pred"), m.alias("support"),
+            *[c.cast("double").alias(n) for n, c in more.items()],
+        ),
+        F.struct(
+            F.col("pred_ord").alias("ord"), zero.alias("tp"), m.alias("n_pred"), zero.alias("support"),
+            *[F.lit(0.0).alias(n) for n in more],
+        ),
     )
-    parts = cm.select(*keys, F.inline(sides)).filter(F.col("ord").isNotNull())
-    return parts.groupBy(*keys, "ord").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("support").alias("support"))
+    sums = [F.sum(c).alias(c) for c in ("tp", "n_pred", "support", *more)]
+    return cm.select(*keys, F.inline(sides)).groupBy(*keys, "ord").agg(*sums)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -55,7 +67,7 @@ def class_report(cm: DataFrame, keys=KEYS, mass: str = "n", labels: str = "union
 
     ``labels``: ``union`` of truth and prediction, or ``truth`` only.
     """
-    counts = class_counts(cm, keys, mass)
+    counts = class_counts(cm, keys, mass).filter(F.col("ord").isNotNull())
     if labels == "truth":
         counts = counts.filter(F.col("support") > 0)
     precision, recall = ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("support"))
@@ -109,31 +121,58 @@ def ordinal_scores(cm: DataFrame, keys=KEYS, mass: str = "n", top: int = MAX_ORD
     )
 
 
-def metric_set(cm: DataFrame, keys=KEYS, mass: str = "w") -> DataFrame:
-    """The ten selectable metrics, weighted, in one row per group."""
-    base = accuracy(cm, keys, mass).drop("n_samples")
-    nominal = averages(class_report(cm, keys, mass), keys).select(
-        *keys,
-        F.col("macro_f1").alias("f1_macro"),
-        F.col("weighted_f1").alias("f1_weighted"),
-        F.col("micro_f1").alias("f1_micro"),
-        F.col("macro_precision").alias("precision_macro"),
-        F.col("macro_recall").alias("recall_macro"),
+def _scored_classes(cm: DataFrame, keys, mass: str, extra: dict[str, Column]) -> DataFrame:
+    counts = class_counts(cm, keys, mass, extra)
+    return counts.select(
+        "*",
+        ratio(F.col("tp"), F.col("n_pred")).alias("precision"),
+        ratio(F.col("tp"), F.col("support")).alias("recall"),
+        ratio(2 * F.col("tp"), F.col("n_pred") + F.col("support")).alias("f1"),
+    )
+
+
+def metric_set(cm: DataFrame, keys=KEYS, mass: str = "w", top: int = MAX_ORD) -> DataFrame:
+    """The ten selectable metrics, weighted, in one row per group and one pass."""
+    d, m = _gap(), F.col(mass)
+    extra = {
+        "near": m * (d <= 1).cast("int"), "linear": m * (1.0 - d / F.lit(float(top))),
+        "quadratic": m * (1.0 - (d * d) / F.lit(float(top * top))), "squared": m * d * d,
+    }
+    rows = _scored_classes(cm, keys, mass, extra)
+    known, support = F.col("ord").isNotNull(), F.sum("support")
+    over = lambda c: F.avg(F.when(known, F.col(c)))
+    return rows.groupBy(*keys).agg(
+        ratio(F.sum("tp"), support).alias("accuracy"),
+        over("f1").alias("f1_macro"),
+        ratio(F.sum(F.col("f1") * F.col("support")), support).alias("f1_weighted"),
+        ratio(2 * F.sum("tp"), F.sum(F.col("n_pred") + F.col("support"))).alias("f1_micro"),
+        over("precision").alias("precision_macro"),
+        over("recall").alias("recall_macro"),
+        ratio(F.sum("near"), support).alias("ordinal_accuracy"),
+        ratio(F.sum("linear"), support).alias("ordinal_distance_linear"),
+        ratio(F.sum("quadratic"), support).alias("ordinal_distance_quadratic"),
+        (1.0 - ratio(F.sum("squared"), support) / F.lit(float(top * top))).alias("ordinal_mse"),
     )
-    ordinal = ordinal_scores(cm, keys, mass).drop("mae", "mse", "rmse")
-    return base.join(nominal, list(keys)).join(ordinal, list(keys))
 
 
 def report_metrics(cm: DataFrame, keys=KEYS) -> DataFrame:
-    """The metric record of every (model, dataset, strategy).
+    """The metric record of every (model, dataset, strategy), in one pass.
 
     F1 averages cover the labels present in the truth and are 0 when fewer than
-    two of them are.
+    two of them are; the accuracies count every truth, known label or not.
     """
-    acc, adj = accuracy(cm, keys), adjacent_accuracy(cm, keys)
-    avg = averages(class_report(cm, keys, labels="truth"), keys)
-    only = lambda c: F.when(F.col("n_labels") > 1, F.col(c)).otherwise(F.lit(0.0)).alias(c)
-    avg = avg.select(*keys, only("macro_f1"), only("weighted_f1"), only("micro_f1"))
-    return acc.join(adj, list(keys)).join(avg, list(keys)).select(
-        *keys, "accuracy", "adjacent_accuracy", "macro_f1", "weighted_f1", "micro_f1", "n_samples"
+    near = F.col("n") * F.coalesce((_gap() <= 1).cast("int"), F.lit(0))
+    rows = _scored_classes(cm, keys, "n", {"near": near})
+    label = F.col("ord").isNotNull() & (F.col("support") > 0)
+    of_label = lambda c: F.when(label, c)
+    several = lambda value, name: F.when(F.count_if(label) > 1, value).otherwise(F.lit(0.0)).alias(name)
+    weighted = ratio(F.sum(of_label(F.col("f1") * F.col("support"))), F.sum(of_label(F.col("support"))))
+    micro = ratio(2 * F.sum(of_label(F.col("tp"))), F.sum(of_label(F.col("n_pred") + F.col("support"))))
+    return rows.groupBy(*keys).agg(
+        ratio(F.sum("tp"), F.sum("support")).alias("accuracy"),
+        ratio(F.sum("near"), F.sum("support")).alias("adjacent_accuracy"),
+        several(F.avg(of_label(F.col("f1"))), "macro_f1"),
+        several(weighted, "weighted_f1"),
+        several(micro, "micro_f1"),
+        F.sum("support").alias("n_samples"),
     )

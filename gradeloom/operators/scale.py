@@ -122,21 +122,22 @@ def hash_order(seed: int, key: Column) -> Column:
 def take_by_hash(df: DataFrame, group: list[str], key: str, quota: DataFrame, seed: int, prefix: int = 3) -> DataFrame:
     """Adds ``taken``: true for the first ``quota`` rows per group in hash order.
 
-    A histogram over ``16**prefix`` hash prefixes places the cut; only rows of
-    the one prefix that holds a group's cut are ranked, all others are decided
-    by comparing prefixes. ``quota`` is (group..., quota) with one row per group.
+    A histogram over ``16**prefix`` hash prefixes finds the prefix that holds a
+    group's last taken row; only rows of that prefix are ranked to find the row
+    itself. The result is one comparison per row: rows are neither shuffled nor
+    read in full more than once. ``quota`` is (group..., quota), one row per group.
     """
-    keyed = df.withColumn("_hash", hash_order(seed, F.col(key))).withColumn("_prefix", F.substring("_hash", 1, prefix))
+    hashed = hash_order(seed, F.col(key))
+    keyed = df.select(*group, F.col(key).alias("_key"), hashed.alias("_hash")).withColumn("_prefix", F.substring("_hash", 1, prefix))
     hist = keyed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*_grouped(group)).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    hist = hist.join(quota, group) if group else hist.crossJoin(quota)  # one-row quota
+    hist = hist.join(quota, group) if group else hist.crossJoin(F.broadcast(quota))  # one-row quota
     cuts = hist.filter((F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("_n") >= F.col("quota")))
-    cuts = cuts.select(*group, F.col("_prefix").alias("_cut"), (F.col("quota") - F.col("_before")).alias("_left"))
-    marked = keyed.join(cuts, group, "left") if group else keyed.join(cuts, how="left", on=F.lit(True))
-    at_cut = marked.filter(F.col("_prefix") == F.col("_cut"))
-    rank = F.row_number().over(W.partitionBy(*_grouped(group), F.col("_prefix")).orderBy("_hash", key))
-    at_cut = at_cut.withColumn("taken", rank <= F.col("_left"))
-    away = marked.filter(F.coalesce(F.col("_prefix") != F.col("_cut"), F.lit(True)))
-    away = away.withColumn("taken", F.coalesce(F.col("_prefix") < F.col("_cut"), F.lit(False)))
-    return away.unionByName(at_cut).drop("_hash", "_prefix", "_cut", "_left")
+    cuts = cuts.select(*group, "_prefix", (F.col("quota") - F.col("_before")).alias("_left"))
+    rank = F.row_number().over(W.partitionBy(*group, "_prefix").orderBy("_hash", "_key"))
+    last = keyed.join(cuts, [*group, "_prefix"]).withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
+    last = last.select(*group, F.struct("_hash", "_key").alias("_last"))
+    marked = df.join(last, group, "left") if group else df.join(F.broadcast(last), F.lit(True), "left")  # one row
+    here = F.struct(hashed.alias("_hash"), F.col(key).alias("_key"))
+    return marked.withColumn("taken", F.coalesce(here <= F.col("_last"), F.lit(False))).drop("_last")

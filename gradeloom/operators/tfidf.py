@@ -127,7 +127,8 @@ def transform_grouped(
     small = bounded(weights, rows)
     if small is weights:
         packed = weights.groupBy("term").agg(F.collect_list(F.struct("grp", "idf", "idx")).alias("hits"))
-        joined = skew_join(terms, packed, ["term"], ["sample_id"], "inner").select("sample_id", "term", "tf", F.inline("hits"))
+        expected = vocab.groupBy("term").agg(F.sum("df").alias("n_rows"))  # which terms are frequent, without reading texts
+        joined = skew_join(terms, packed, ["term"], ["sample_id"], "inner", counts=expected).select("sample_id", "term", "tf", F.inline("hits"))
     else:
         joined = terms.join(small, "term")
     weighted = joined.select(

@@ -74,3 +74,11 @@ def test_weighted_equals_repeated_rows(spark):
     a = M.metric_set(M.confusion(weighted, K, weight="weight"), K).first().asDict()
     b = M.metric_set(M.confusion(repeated, K), K).first().asDict()
     assert all(math.isclose(a[k], b[k]) for k in a if k != "model")
+
+
+def test_unknown_truth_counts_as_a_miss(spark):
+    rows = [("m", 0, 0, 3, 3.0), ("m", 1, 1, 2, 2.0), ("m", None, 1, 5, 5.0)]
+    cm = spark.createDataFrame(rows, "model string, true_ord int, pred_ord int, n bigint, w double")
+    r = M.report_metrics(cm, K).first()
+    assert (r["n_samples"], r["accuracy"], r["adjacent_accuracy"]) == (10, 0.5, 0.5)
+    assert r["macro_f1"] == pytest.approx((1.0 + 4 / 9) / 2)

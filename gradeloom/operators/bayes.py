@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.operators.scale import bounded, require
+from gradeloom.session import written
 
 
 def fit(features: DataFrame, labels: DataFrame, n_features: DataFrame, n_classes: int, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -20,6 +21,7 @@ def fit(features: DataFrame, labels: DataFrame, n_features: DataFrame, n_classes
     width = n_features.scalar()
     n_docs = labels.agg(F.count(F.lit(1)).alias("n")).scalar()
     sums = features.join(labels, "sample_id").groupBy("ord", "idx").agg(F.sum("value").alias("s"))
+    sums = written(sums, "class-sums")  # classes x features; all that follows reads this
     mass = sums.groupBy("ord").agg(F.sum("s").alias("mass"))
     counts = labels.groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
     priors = counts.join(mass, "ord", "left").fillna(0.0, ["mass"])
@@ -42,15 +44,15 @@ def predict(samples: DataFrame, features: DataFrame, priors: DataFrame, weights:
     Each class starts from the score of a text made only of unseen features;
     known features add their difference to that.
     """
-    known = features.join(bounded(weights, max_features), "idx")
+    known = features.join(bounded(weights, max_features), "idx", "left")
+    part = lambda k: F.coalesce(F.col("value") * F.get("w", F.lit(k)), F.lit(0.0))
     scores = known.groupBy("sample_id").agg(
-        *[F.sum(F.col("value") * F.get("w", F.lit(k))).alias(f"d{k}") for k in range(n_classes)]
+        F.sum("value").alias("mass"), *[F.sum(part(k)).alias(f"d{k}") for k in range(n_classes)]
     )
-    mass = features.groupBy("sample_id").agg(F.sum("value").alias("mass"))
     base = priors.groupBy().pivot("ord", list(range(n_classes))).agg(
         F.max("log_prior").alias("prior"), F.max("log_rest").alias("rest")
     )
-    joined = samples.select("sample_id").join(mass, "sample_id", "left").join(scores, "sample_id", "left")
+    joined = samples.select("sample_id").join(scores, "sample_id", "left")
     joined = joined.crossJoin(F.broadcast(base))  # one row
     raw = [
         F.col(f"{k}_prior") + F.coalesce(F.col("mass"), F.lit(0.0)) * F.col(f"{k}_rest") + F.coalesce(F.col(f"d{k}"), F.lit(0.0))

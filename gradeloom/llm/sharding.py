@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gradeloom.llm.common import require, text_or_empty, written
 
 ROW_BYTES = 8
+BROADCAST_BUCKETS = 100_000
 
 
 def record_size(text_col: str = "text") -> Column:
@@ -53,9 +54,11 @@ def shards(docs: DataFrame, n_shards: int, text_col: str = "text", seed: int = 7
     """The columns of the input, with each row's shard and its slot there (gapless from 0)."""
     mixed = shuffled(docs, text_col, seed, bucket_bytes)
     counts = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    # One row per bucket: as many as the table has megabytes / 16.
+    # One row per bucket.
     before = F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("bucket", before.alias("start"))
+    if counts.count() <= BROADCAST_BUCKETS:  # of 16 bytes; beyond that, the plain join
+        starts = F.broadcast(starts)
     whole = counts.agg(F.sum("n").alias("whole"))
     at = mixed.join(starts, "bucket").join(F.broadcast(whole)).withColumn("at", F.col("start") + F.col("place"))  # one row
     at = at.withColumn("in_shard", F.expr(f"({n_shards} * (at + 1) - 1) div whole"))

@@ -26,10 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from gradeloom.llm.common import discard, fresh_path, require, text_or_empty, written_at
+from gradeloom.llm.common import fresh_path, require, text_or_empty, written, written_at
 
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small partitions must not hold disk that they don't use, nor stores that no task reads.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -57,8 +61,9 @@ def update_state(spark: SparkSession, path: str, schema: StructType, checkpoint:
     path = path.rstrip("/")
     rows = _keyed(reader.load(f"{path[:-1]}[{path[-1]}]"), id_col, text_col, digest)
     state = rows.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n_rows"))
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
@@ -66,7 +71,8 @@ def update_state(spark: SparkSession, path: str, schema: StructType, checkpoint:
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER_KEY) if before is None else spark.conf.set(PROVIDER_KEY, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -84,22 +90,22 @@ def classes_of_files(spark: SparkSession, path: str, schema: StructType | None =
     checkpoint = checkpoint or fresh_path(spark, "exact-dedup-state")
     stored = StructType([StructField(f.name, f.dataType) for f in schema if f.name in (id_col, text_col)])
     update_state(spark, path, stored, checkpoint, id_col, text_col, digest, max_files)
-    state = read_state(spark, checkpoint)
+    state = written(read_state(spark, checkpoint), "exact-dedup-keys")
     rows = _keyed(spark.read.schema(stored).parquet(path), id_col, text_col, digest)
 
     # Full bytes on hits. Equal smallest and largest bytes mean that all are equal.
     hits = state.filter("n_rows > 1").select("digest")
     bytes_of = rows.select("digest", F.col("text").cast("binary").alias("bytes")).join(hits, "digest", "left_semi")
     ends = bytes_of.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
-    unequal = ends.filter("low <> high").select("digest", F.lit(True).alias("unequal"))
-
-    marked = state.join(unequal, "digest", "left").select("digest", "keep", "n_rows", F.coalesce("unequal", F.lit(False)).alias("unequal"))
-    found = rows.select("id", "locator", "digest").join(marked.filter("not unequal").drop("unequal"), "digest")
-    # Digests shared by different bytes: the bytes are the key.
-    apart = rows.join(marked.filter("unequal").select("digest"), "digest", "left_semi")
-    by_text = apart.groupBy("digest", "text").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n_rows"))
-    apart = apart.join(by_text, ["digest", "text"]).select("digest", "id", "locator", "keep", "n_rows")
-    return found.unionByName(apart).select(
+    unequal = written(ends.filter("low <> high").select("digest"), "exact-dedup-unequal")
+    found = rows.select("id", "locator", "digest").join(state, "digest")
+    if not unequal.isEmpty():
+        # Digests shared by different bytes: there, the bytes are the key.
+        apart = rows.join(unequal, "digest", "left_semi")
+        by_text = apart.groupBy("digest", "text").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n_rows"))
+        apart = apart.join(by_text, ["digest", "text"]).select("digest", "id", "locator", "keep", "n_rows")
+        found = found.join(unequal, "digest", "left_anti").select(*apart.columns).unionByName(apart)
+    return found.select(
         "id", "locator", F.col("keep.id").alias("keep_id"), F.col("keep.locator").alias("keep_locator"), F.col("n_rows").alias("group_size"),
         ((F.col("keep.locator.file") == F.col("locator.file")) & (F.col("keep.locator.row") == F.col("locator.row"))).alias("kept"), "digest",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import exact_dedup, sharding
+from gradeloom.llm import contamination, exact_dedup, sharding
 from gradeloom.llm.common import table, text_or_empty
 
 QUERIES: dict = {}
@@ -30,6 +30,32 @@ def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_WORDS_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+
+@query("op7_contamination", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+    b AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_WORDS_SQL} AS w FROM benchmark),
+    wins AS (
+      SELECT DISTINCT item_id, w[i:i + least(len(w), 13) - 1] AS win
+      FROM (SELECT *, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT len(win) AS m FROM wins),
+    grams AS (SELECT r, m, i, w[i:i + m - 1] AS win FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)),
+    hits AS (SELECT grams.r, grams.i, grams.m, wins.item_id FROM grams JOIN wins ON grams.win = wins.win),
+    covered AS (SELECT r, count(DISTINCT k)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS k FROM hits) GROUP BY r),
+    items AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""")
+def op7_contamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = contamination.matches(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    ids = F.array_join(F.array_sort("item_ids"), ",")
+    return found.select(
+        F.col("record.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"), contamination.contaminated().alias("contaminated"),
+    )
+
+
 @query("op8_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

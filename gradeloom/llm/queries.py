@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import contamination, exact_dedup, sharding
+from gradeloom.llm import contamination, exact_dedup, packing, sharding
 from gradeloom.llm.common import table, text_or_empty
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -63,3 +66,8 @@ def op7_contamination(spark: SparkSession, sf: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     out = exact_dedup.classes_of_files(spark, f"{sf}/documents.parquet")
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")

@@ -82,3 +82,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22)
             size += length or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def carried(docs: DataFrame, text_col: str) -> DataFrame:
+    """``text`` and, as one ``record``, all other columns: whatever their names, they pass untouched."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(True).alias("none")]
+    return docs.select(F.struct(*others).alias("record"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def restored(docs: DataFrame, text_col: str) -> list[Column]:
+    """The columns of ``docs`` again, from what ``carried`` made of them."""
+    return [F.col("text").alias(c) if c == text_col else F.col(f"record.`{c}`").alias(c) for c in docs.columns]

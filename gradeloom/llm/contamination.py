@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from gradeloom.llm.common import pieces, require, ship_code, written
+from gradeloom.llm.common import carried, pieces, require, restored, ship_code, written
 
 WINDOW = 13
 SHINGLE = 3
@@ -175,13 +175,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", block_windows: int = 50_000) -> DataFrame:
-    """``record`` (all columns of the input), ``text``, ``n_words``, ``spans`` (merged, of words, end exclusive), ``item_ids`` and ``n_hit``."""
+    """``record`` (the other columns of the input), ``text``, ``n_words``, ``spans`` (merged, of words, end exclusive), ``item_ids`` and ``n_hit``."""
     require(documents, text_col)
     spark = documents.sparkSession
     ship_code(spark)
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("record"), text.alias("text"), F.lit(0).cast("bigint").alias("n_words"),
+    rows = carried(documents, text_col).select(
+        "record", "text", F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast(FOUND["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("item_ids"),
     )
     schema = StructType([StructField("record", rows.schema["record"].dataType), StructField("text", StringType()), *FOUND.fields])
@@ -206,4 +205,4 @@ def contaminated(least_share: int = 20):
 def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     found = matches(documents, benchmark, text_col)
-    return found.filter(~contaminated()).select(*[F.col(f"record.`{c}`").alias(c) for c in documents.columns])
+    return found.filter(~contaminated()).select(*restored(documents, text_col))

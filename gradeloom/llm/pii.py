@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from gradeloom.llm.common import pieces, require, ship_code
+from gradeloom.llm.common import carried, pieces, require, restored, ship_code
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "url")
@@ -152,10 +152,10 @@ def _finding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``record`` (all columns of the input), ``text`` and ``spans`` by kind, then start."""
+    """``record`` (the other columns of the input), ``text`` and ``spans`` by kind, then start."""
     require(docs, text_col)
     ship_code(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = carried(docs, text_col)
     return rows.mapInArrow(_finding, StructType([*rows.schema.fields, StructField("spans", SPANS)]))
 
 
@@ -171,5 +171,4 @@ def redacted(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = K
         F.struct(F.concat(s["out"], tail(s["at"], x["start"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"), (-x["back"]).alias("at")),
     ).otherwise(s)
     clean = F.aggregate(order, begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    own = [F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias(c) if c == text_col else F.col(f"record.`{c}`").alias(c) for c in docs.columns]
-    return found.select(*own)
+    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).select(*restored(docs, text_col))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import contamination, exact_dedup, packing, sharding
+from gradeloom.llm import contamination, exact_dedup, packing, pii, sharding, toxicity
 from gradeloom.llm.common import table, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,28 @@ def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    out = out.select(F.col("record.doc_id").alias("doc_id"), "score")
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.spans(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    base = _listed(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS)))
+    return found.select(
+        F.col("record.doc_id").alias("doc_id"), *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
+    )
+
+
 _WORDS_SQL = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import contamination, exact_dedup, packing, pii, sharding, toxicity
+from gradeloom.llm import contamination, exact_dedup, jaccard_join, packing, pii, sharding, toxicity
 from gradeloom.llm.common import table, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op4_sharding")
 def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
     out = sharding.shards(table(spark, sf, "documents"), 24)

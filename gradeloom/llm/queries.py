@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import contamination, exact_dedup, jaccard_join, packing, pii, sharding, toxicity
+from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, packing, pii, sharding, token_counts, toxicity
 from gradeloom.llm.common import table, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,35 @@ def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
+_TEMPLATES_SQL = ", ".join(f"('{name}', $${text}$$)" for name, text in licenses.TEMPLATES)
+_NORMAL_SQL = r"regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\n]+', ' ', 'g')"
+_BIGRAMS_SQL = """list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"""
+
+
+@query("op3_licenses", f"""
+    WITH templates AS (
+      SELECT license_id, {_BIGRAMS_SQL} AS own FROM (
+        SELECT license_id, list_filter(string_split_regex({_NORMAL_SQL}, '[ \n]+'), lambda x: x <> '') AS w
+        FROM (VALUES {_TEMPLATES_SQL}) AS t(license_id, text))),
+    texts AS (SELECT row_number() OVER () AS r, doc_id, {_NORMAL_SQL} AS t FROM documents),
+    parts AS (
+      SELECT r, doc_id, t AS p FROM texts
+      UNION ALL SELECT r, doc_id, unnest(string_split_regex(t, '\n( ?\n)+')) FROM texts WHERE len(string_split_regex(t, '\n( ?\n)+')) > 1
+      UNION ALL SELECT r, doc_id, unnest(string_split(t, chr(10))) FROM texts WHERE len(string_split(t, chr(10))) > 1),
+    grams AS (
+      SELECT row_number() OVER () AS part, doc_id, {_BIGRAMS_SQL} AS g FROM (
+        SELECT doc_id, list_filter(string_split_regex(p, '[ \n]+'), lambda x: x <> '') AS w FROM parts) WHERE len(w) > 1),
+    matches AS (
+      SELECT part, doc_id, license_id, 2.0::DOUBLE * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice
+      FROM grams JOIN templates ON len(g) BETWEEN len(own) * 0.8 / 1.2 - 1e-9 AND len(own) * 1.2 / 0.8 + 1e-9),
+    best AS (
+      SELECT part, doc_id, max(dice) AS top, arg_min(license_id, (-dice, license_id)) AS license_id
+      FROM matches WHERE dice >= 0.8 - 1e-12 GROUP BY part, doc_id)
+    SELECT doc_id, license_id, max(top) AS dice, count(*) AS n_parts FROM best GROUP BY doc_id, license_id""")
+def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 @query("op4_sharding")
 def op4_sharding(spark: SparkSession, sf: str) -> DataFrame:
     out = sharding.shards(table(spark, sf, "documents"), 24)
@@ -53,8 +82,9 @@ def _listed(spans):
 @query("op6_pii")
 def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.spans(table(spark, sf, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
-    base = _listed(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS)))
+    of_kinds = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of_kinds(k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    base = _listed(of_kinds(*pii.BASE_KINDS))
     return found.select(
         F.col("record.doc_id").alias("doc_id"), *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
     )
@@ -95,6 +125,12 @@ def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = token_counts.counted(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
+    return found.select(F.col("record.doc_id").alias("doc_id"), "n_words", "n_pieces")
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")

@@ -19,9 +19,9 @@ _UNUSUAL = re.compile(f"[^{_PLAIN}]")
 _LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == kind) for kind in "LN")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
-# The model's byte alphabet: bytes that print stand for themselves, the others follow 255 in order.
+# The byte alphabet of such vocabularies: bytes that print stand for themselves, the others follow 255 in order.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+BYTE_ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -56,7 +56,7 @@ class WordBpe:
         self.chunks = _Known(self._chunk, most)
 
     def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() and word.isprintable() else "".join(map(_ALPHABET.__getitem__, word.encode()))
+        shown = word if word.isascii() and word.isprintable() else "".join(map(BYTE_ALPHABET.__getitem__, word.encode()))
         return _packed([t.id for t in self.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, packing, pii, sharding, token_counts, toxicity
+from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, packing, pii, sharding, suffix_dedup, token_counts, toxicity
 from gradeloom.llm.common import table, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffix_dedup.removed(table(spark, sf, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["end"] - s["start"]))
+    return out.select(
+        F.col("record.doc_id").alias("doc_id"), (F.octet_length("kept") + n_removed).cast("bigint").alias("n_bytes"), n_removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")

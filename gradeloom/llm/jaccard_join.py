@@ -15,7 +15,8 @@ as one where there are fewer words). Two documents link when
 3. Sets that meet at a shingle and whose sizes lie in the same or in
    neighbouring bands form a tile. Bands are as wide as sizes of linked sets can
    differ, and shingles with the same first set share their tile, so a group
-   of near copies meets in few tiles. Tiles with more than ``tile_sets`` sets are
+   of near copies meets in few tiles; a tile whose leader meets a smaller one in
+   another tile moves there as a whole. Tiles with more than ``tile_sets`` sets are
    laid out as pairs of blocks, so that none grows with its group.
 4. In a tile, hashed bitmaps bound the overlap of two sets from above: of the
    bits that A has and B lacks, each stands for an element of A that is not in
@@ -52,6 +53,7 @@ SKETCH_BITS = 20
 SKETCH_BLOCKS = 16
 BITMAP_WORDS = 32
 TILE_SETS = 2000
+HOPS = 3
 POSTINGS_A_TASK = 2_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -340,6 +342,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 # ---------------------------------------------------------------------- operator
 
 
+def gathered(members: DataFrame, hops: int = HOPS) -> DataFrame:
+    """Fewer tiles with the same sets together: a tile goes where its leader meets a smaller one, with all its sets."""
+    for _ in range(hops):
+        parents = members.groupBy(F.col("short_key").alias("leader"), "band").agg(F.min("leader").alias("parent"))
+        moved = members.join(parents, ["leader", "band"]).select(F.col("parent").alias("leader"), "band", "short_key")
+        members = written(moved.distinct(), "join-meetings")
+    return members
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: int = THRESHOLD, tile_sets: int = TILE_SETS) -> DataFrame:
     """One row per row: ``id, n_shingles, component_id`` (smallest identifier reachable by links, itself included)."""
     require(docs, id_col, text_col)
@@ -357,6 +368,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     reps = keyed.filter("n_shingles > 0 and id is not null").groupBy("key", "short_key").agg(F.min("id").alias("rep"))
     postings = texts.filter("id is not null").mapInArrow(_prefixes(shared, k, threshold), "token bigint, short_key bigint, size int")
     members = postings.repartition(tasks, "token").mapInArrow(_tiling(threshold), "leader bigint, band bigint, short_key bigint").distinct()
+    members = gathered(written(members, "join-meetings"))
     members = written(members.join(reps, "short_key").select("leader", "band", "rep", "key"), "join-tiles")
 
     # Large tiles become pairs of blocks.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
+
+from gradeloom.functions.text import strip
 
 # The label scale in its order.
 LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2")
@@ -10,11 +12,6 @@ LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2")
 MAX_ORD = len(LEVELS) - 1
 
 
-def level_table(spark: SparkSession, levels=LEVELS) -> DataFrame:
-    """Dimension table ``(label, ord)``."""
-    return spark.createDataFrame([(l, i) for i, l in enumerate(levels)], "label string, ord int")
-
-
 def ordinal(label: Column, levels=LEVELS) -> Column:
     """Position of a label on the scale, null when it is none of its levels."""
     at = F.array_position(F.array(*[F.lit(l) for l in levels]), label)
@@ -28,7 +25,7 @@ def label_at(ord_: Column, levels=LEVELS) -> Column:
 
 def parse_level(text: Column, levels=LEVELS) -> Column:
     """Upper-cased, trimmed label; null when it is not on the scale."""
-    clean = F.upper(F.trim(text))
+    clean = F.upper(strip(text))
     return F.when(clean.isin(*levels), clean)
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, functions as F
 
 from gradeloom.functions.lets import int_range, let
 
+# White space of any script: no-break and ideographic spaces count as well.
+SPACE = r"(?U:\s)"
+
 # A word is a run of two or more letters, digits or underscores.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -17,7 +20,7 @@ def clean_text(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove any leading and trailing white space, line breaks included."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def word_tokens(text: Column) -> Column:
@@ -26,7 +29,7 @@ def word_tokens(text: Column) -> Column:
 
 def space_tokens(text: Column) -> Column:
     """Pieces between white space; an empty text has none."""
-    return F.filter(F.split(clean_text(text), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(clean_text(text), rf"{SPACE}+"), lambda t: t != "")
 
 
 def char_tokens(text: Column, unknown: str = "<UNK>") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.levels import MAX_ORD
 from gradeloom.operators.metrics import KEYS, ratio
-from gradeloom.operators.scale import running_mass
+from gradeloom.operators.scale import bounded, running_mass
 from gradeloom.session import written
 
 
@@ -71,6 +71,11 @@ def continuous_errors(predictions: DataFrame, keys=("model", "dataset")) -> Data
     )
 
 
+BUCKETS = 256
+# Groups that are correlated at once; a table with one row per group is broadcast.
+MAX_GROUPS = 10_000
+
+
 def spearman(predictions: DataFrame, keys=("model", "dataset"), x: str = "true_ord", y: str = "expected_value") -> DataFrame:
     """Rank correlation with average ranks for ties.
 
@@ -86,7 +91,11 @@ def spearman(predictions: DataFrame, keys=("model", "dataset"), x: str = "true_o
 
     def ranks(column: str) -> DataFrame:
         counted = pairs.groupBy(*keys, column).agg(F.sum("n").alias("n"))
-        ranked = running_mass(counted, keys, column, "n", F.floor(F.col(column) * 256).cast("bigint"))
+        # Buckets of about as many distinct values each, whatever their range.
+        cuts = counted.groupBy(*keys).agg(F.percentile_approx(column, [k / BUCKETS for k in range(1, BUCKETS)]).alias("cuts"))
+        counted = counted.join(bounded(cuts, MAX_GROUPS), keys) if keys else counted.join(F.broadcast(cuts))  # one row
+        bucket = F.size(F.filter("cuts", lambda cut: cut < F.col(column)))
+        ranked = running_mass(counted.withColumn("at", bucket).drop("cuts"), keys, column, "n", F.col("at"))
         average = F.col("above") + (F.col("n") + 1) / 2
         return ranked.select(*keys, column, average.alias(f"r{column}"))
 

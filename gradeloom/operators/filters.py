@@ -39,8 +39,8 @@ def invalid_probs(df: DataFrame, p: str = "p", confidence: str = "confidence") -
     return df.withColumn("bad_sum", bad_sum).withColumn("bad_confidence", bad_confidence).filter(bad_sum | bad_confidence)
 
 
-# Fixed value: datasets with this in their name are left out of rankings by default.
-DEFAULT_EXCLUDED = "efcamdat-train"
+# Fixed value: datasets with this in their name are training data; rankings leave them out by passing it.
+TRAINING_DATA = "efcamdat-train"
 
 
 def select_metrics(
@@ -48,7 +48,7 @@ def select_metrics(
     dataset: str | None = None,
     strategy: str | None = None,
     exclude: list[str] | None = None,
-    exclude_containing: str | None = DEFAULT_EXCLUDED,
+    exclude_containing: str | None = None,
 ) -> DataFrame:
     keep: Column = F.lit(True)
     if dataset:

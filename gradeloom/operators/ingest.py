@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.answers import label_from_keys, parse_answer
 from gradeloom.functions.lets import let
 from gradeloom.functions.levels import LEVELS, ordinal
 from gradeloom.functions.probs import from_map, one_hot
 from gradeloom.operators.scale import require
+from gradeloom.sources.readers import read_whole_texts
 
 
-def soft_rows(texts: DataFrame, column: str = "value") -> DataFrame:
-    """``(sample_id, label, prob)`` from JSON objects ``id -> {label: prob}``."""
+def soft_rows(texts: DataFrame, column: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys..., sample_id, label, prob)`` from JSON objects ``id -> {label: prob}``."""
     parsed = F.from_json(F.col(column), "map<string,map<string,double>>")
-    by_id = texts.select(F.explode(parsed).alias("sample_id", "probs"))
-    return by_id.select("sample_id", F.explode("probs").alias("label", "prob"))
+    by_id = texts.select(*keys, F.explode(parsed).alias("sample_id", "probs"))
+    return by_id.select(*keys, "sample_id", F.explode("probs").alias("label", "prob"))
 
 
-def soft_arrays(texts: DataFrame, column: str = "value", levels=LEVELS) -> DataFrame:
-    """``(sample_id, p)`` with probabilities in scale order."""
+def soft_arrays(texts: DataFrame, column: str = "value", levels=LEVELS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys..., sample_id, p)`` with probabilities in scale order."""
     parsed = F.from_json(F.col(column), "map<string,map<string,double>>")
-    by_id = texts.select(F.explode(parsed).alias("sample_id", "probs"))
-    return by_id.select("sample_id", from_map(F.col("probs"), levels).alias("p"))
+    by_id = texts.select(*keys, F.explode(parsed).alias("sample_id", "probs"))
+    return by_id.select(*keys, "sample_id", from_map(F.col("probs"), levels).alias("p"))
 
 
 def labels_from_answers(answers: DataFrame, answer: str = "answer", levels=LEVELS) -> DataFrame:
     """Adds ``label`` (null when unreadable) and ``parsed``."""
     require(answers, answer)
     both = lambda m: F.struct(label_from_keys(m, levels).alias("label"), m.isNotNull().alias("parsed"))
-    return answers.withColumn("_found", let(parse_answer(F.col(answer)), both)).select("*", "_found.*").drop("_found")
+    return answers.withColumn("_found", let(parse_answer(F.col(answer), levels), both)).select("*", "_found.*").drop("_found")
 
 
 def answers_to_probs(answers: DataFrame, answer: str = "answer", levels=LEVELS) -> DataFrame:
@@ -39,9 +40,19 @@ def answers_to_probs(answers: DataFrame, answer: str = "answer", levels=LEVELS)
 
 
 def parse_totals(labelled: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """How many answers gave a label and how many did not."""
+    """How many answers could be parsed, how many of them named a level, and how many could not be parsed."""
     return labelled.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n_total"),
-        F.count_if(F.col("label").isNotNull()).alias("n_parsed"),
-        F.count_if(F.col("label").isNull()).alias("n_failed"),
+        F.count_if(F.col("parsed")).alias("n_parsed"),
+        F.count_if(F.col("label").isNotNull()).alias("n_labelled"),
+        F.count_if(~F.col("parsed")).alias("n_failed"),
     )
+
+
+def answers_from_folder(spark: SparkSession, path: str, levels=LEVELS) -> DataFrame:
+    """``(name, answer, label, parsed)``, one row per file of the folder; the name is the file's stem.
+
+    ``parse_totals`` counts the rows; the names with ``parsed`` false are the files that failed.
+    """
+    files = read_whole_texts(spark, path).select("name", F.col("text").alias("answer"))
+    return labels_from_answers(files, "answer", levels)

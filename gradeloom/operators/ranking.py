@@ -60,22 +60,28 @@ def average_micro_f1(metrics: DataFrame) -> DataFrame:
     return out.filter(F.col("micro_f1").isNotNull()).withColumn("dataset", named)
 
 
-def average_table(metrics: DataFrame, datasets: list[str], strategy: str) -> DataFrame:
-    """Average micro F1 with one column per dataset."""
+def dataset_names(metrics: DataFrame) -> list[str]:
+    """The datasets of a metric table, which is tiny, in order."""
+    return [r["dataset"] for r in metrics.select("dataset").distinct().orderBy("dataset").collect()]
+
+
+def average_table(metrics: DataFrame, strategy: str, datasets: list[str] | None = None) -> DataFrame:
+    """Average micro F1 over all datasets, with one column for each of ``datasets`` (default: all)."""
+    datasets = datasets or dataset_names(metrics)
     avg = average_micro_f1(metrics.filter(F.col("strategy") == strategy))
     columns = [F.element_at("per_dataset", F.lit(d)).alias(d) for d in datasets]
     return avg.select("model", "strategy", "micro_f1", "n_samples", *columns)
 
 
-def f1_pivot(metrics: DataFrame, datasets: list[str], strategy: str = "argmax") -> DataFrame:
-    """Models by datasets of weighted F1 (macro where it is missing or 0) and the mean."""
+def f1_pivot(metrics: DataFrame, datasets: list[str] | None = None, strategy: str = "argmax") -> DataFrame:
+    """Models by datasets of weighted F1 (macro where it is missing or 0) and the mean over all datasets."""
+    datasets = datasets or dataset_names(metrics)
     best = F.when(F.col("weighted_f1") != 0, F.col("weighted_f1")).otherwise(F.coalesce("macro_f1", "weighted_f1"))
     rows = metrics.filter(F.col("strategy") == strategy).withColumn("f1", best)
     wide = rows.groupBy("model").pivot("dataset", datasets).agg(F.max("f1"))
-    cells = [F.col(f"`{d}`") for d in datasets]
-    known = F.array_compact(F.array(*cells))
-    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
-    return wide.withColumn("avg", F.try_divide(total, F.size(known))).withColumn("display_name", display_name(F.col("model")))
+    per_dataset = rows.groupBy("model", "dataset").agg(F.max("f1").alias("f1"))
+    mean = per_dataset.groupBy("model").agg(F.avg("f1").alias("avg"))
+    return wide.join(mean, "model").withColumn("display_name", display_name(F.col("model")))
 
 
 def dataset_detail(metrics: DataFrame, dataset: str, strategy: str = "argmax") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # A side is hinted for broadcast only when its row count is bounded by at most this.
 BROADCAST_ROWS = 200_000
+# Strata of a split; tables with one row per stratum are broadcast, so wide rows stay where they are.
+MAX_STRATA = 100_000
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -27,10 +27,6 @@ def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def skew_join(
     rows: DataFrame,
     table: DataFrame,
@@ -132,12 +128,12 @@ def take_by_hash(df: DataFrame, group: list[str], key: str, quota: DataFrame, se
     hist = keyed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*_grouped(group)).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    hist = hist.join(quota, group) if group else hist.crossJoin(F.broadcast(quota))  # one-row quota
+    hist = hist.join(bounded(quota, MAX_STRATA), group) if group else hist.crossJoin(F.broadcast(quota))  # one-row quota
     cuts = hist.filter((F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("_n") >= F.col("quota")))
     cuts = cuts.select(*group, "_prefix", (F.col("quota") - F.col("_before")).alias("_left"))
     rank = F.row_number().over(W.partitionBy(*group, "_prefix").orderBy("_hash", "_key"))
     last = keyed.join(cuts, [*group, "_prefix"]).withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
     last = last.select(*group, F.struct("_hash", "_key").alias("_last"))
-    marked = df.join(last, group, "left") if group else df.join(F.broadcast(last), F.lit(True), "left")  # one row
+    marked = df.join(bounded(last, MAX_STRATA), group, "left") if group else df.join(F.broadcast(last), F.lit(True), "left")  # one row
     here = F.struct(hashed.alias("_hash"), F.col(key).alias("_key"))
     return marked.withColumn("taken", F.coalesce(here <= F.col("_last"), F.lit(False))).drop("_last")

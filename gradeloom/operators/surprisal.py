@@ -29,6 +29,7 @@ TINY = 1e-10  # keeps the logarithm finite
 class LmParams:
     alpha: float = 0.5
     lam: float = 0.7
+    max_models: int = 10_000  # fitted at once; tables with one row per model are broadcast
 
 
 START = ""  # stands before the first token of a text; no token is empty
@@ -78,6 +79,7 @@ def count_pairs(rows: DataFrame, general: str | None = "general") -> DataFrame:
     pairs = rows.select("model", F.inline(pairs_of(F.col("tokens"), 0))).groupBy("model", *keys).agg(F.count(F.lit(1)).alias("n"))
     if general is None:
         return pairs
+    pairs = written(pairs, "lm-pairs")
     whole = pairs.groupBy(*keys).agg(F.sum("n").alias("n")).select(F.lit(general).alias("model"), *keys, "n")
     return pairs.unionByName(whole)
 
@@ -326,7 +328,9 @@ def token_ranks(probs: DataFrame, lm: NgramModels) -> DataFrame:
     moved = after.select(*group, F.inline(ends)).groupBy(*group, "prob").agg(F.sum("mass").alias("n_words"))
     here = count_above(moved, asked.select(*group, "prob"), group, "prob", "n_words", bucket).withColumnRenamed("above", "n_here")
 
-    ranked = asked.withColumn("seen", known).join(everywhere, ["model", "seen", "prob"]).join(here, group + ["prob"])
+    ranked = asked.withColumn("seen", known)
+    # Words that were never seen together share few probabilities, so this key is hot.
+    ranked = skew_join(ranked, everywhere, ["model", "seen", "prob"], ["context", "token"], "inner").join(here, group + ["prob"])
     rank = 1 + F.col("n_all") + F.col("n_here")
     return ranked.select("model", "context", "token", rank.cast("bigint").alias("rank"))
 
@@ -344,7 +348,7 @@ def top_continuations(contexts: DataFrame, lm: NgramModels, k: int = 5) -> DataF
     asked = asked.join(lm.heads, ["model", "context"], "left")
     seen = lm.bigrams.join(asked.filter(F.col("n_context").isNotNull()), ["model", "context"]).join(words, ["model", "token"])
     listed = frequent.groupBy("model").agg(F.collect_list(F.struct("token", "pu")).alias("words"))  # k entries per model
-    always = asked.join(listed, "model").select("model", "context", "n_context", F.inline("words"))
+    always = asked.join(bounded(listed, lm.params.max_models), "model").select("model", "context", "n_context", F.inline("words"))
     always = always.select("model", "context", "token", F.lit(0).cast("bigint").alias("n"), "n_context", "pu")
     options = seen.select("model", "context", "token", "n", "n_context", "pu").unionByName(always)
     options = options.groupBy("model", "context", "token").agg(

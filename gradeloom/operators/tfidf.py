@@ -60,6 +60,10 @@ def tf_weight(tf: Column, sublinear: bool) -> Column:
     return F.log(tf.cast("double")) + 1.0 if sublinear else tf.cast("double")
 
 
+# Groups with a vocabulary of their own; tables with one row per group are broadcast.
+MAX_GROUPS = 10_000
+
+
 def fit_vocab(corpus: DataFrame, params: TfidfParams = TfidfParams()) -> DataFrame:
     """``(term, df, cf, n_docs, idf, idx)`` with at most ``max_features`` rows."""
     n_docs = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -103,7 +107,7 @@ def fit_grouped(corpus: DataFrame, group: str, params: TfidfParams = TfidfParams
     require(corpus, group)
     docs = corpus.withColumn("grp", F.col(group).cast("string"))
     sizes = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = term_stats(document_terms(docs, params.ngram_range, ("grp",)), ["grp"]).join(sizes, "grp")
+    stats = term_stats(document_terms(docs, params.ngram_range, ("grp",)), ["grp"]).join(bounded(sizes, MAX_GROUPS), "grp")
     kept = stats.filter((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(float(params.max_df)) * F.col("n_docs")))
     top = top_n_per_group(kept, ["grp"], [F.col("cf").desc(), F.col("term")], params.max_features, ["term"]).drop("rank")
     by_term = W.partitionBy("grp").orderBy("term")  # at most max_features rows per group

@@ -7,30 +7,31 @@ from pyspark.sql import functions as F
 from gradeloom.functions import answers as AN, probs as P
 from gradeloom.functions.levels import LEVELS, label_at, ordinal
 from gradeloom.operators import decide, ingest as I, metrics as M
+from gradeloom.session import fresh_path
 from registry.base import CLASS_SQL, LEVEL_LIST, METRICS_SQL, PREDICTIONS_SQL, PROBS_SQL, query, rounded_out, samples, table, with_sql
 
 ANSWERS_SQL = f"""
-base AS (SELECT conv_id * 1000 + turn AS answer_id, (conv_id * 7 + turn) % 10 AS shape, conv_id % 20 AS src, {LEVEL_LIST}[length(text) % 6 + 1] AS lv, substr(text, 1, length(text)) AS body FROM conversations),
+base AS (SELECT conv_id * 1000 + turn AS answer_id, (conv_id * 7 + turn) % 10 AS shape, conv_id % 20 AS src, {LEVEL_LIST}[length(text) % 6 + 1] AS lv, lower(replace(replace(coalesce(text, ''), '{{', ''), '}}', '')) AS body FROM conversations),
 answers AS (SELECT answer_id, src, CASE shape
-  WHEN 0 THEN 'Result: {{"score": "' || lv || '"}} ' || lower(replace(replace(body, '{{', ''), '}}', ''))
-  WHEN 1 THEN 'text before {{"level":"' || lv || '", "note": "n"}} text after'
-  WHEN 2 THEN 'Here is the JSON file: {{"score": "' || lv || '"'
-  WHEN 3 THEN '{{"cefr": "' || lower(lv) || '"°}}'
-  WHEN 4 THEN 'The writer is at ' || lv || ' level.'
-  WHEN 5 THEN 'no json here at all'
-  WHEN 6 THEN '{{"invalid": "X9"}}'
-  WHEN 7 THEN '{{''label'': ''' || lv || '''}}'
-  WHEN 8 THEN '{{"grade": " ' || lv || '"'
-  ELSE '{{"score": "Z9", "level": "' || lv || '"}}' END AS answer FROM base)"""
+  WHEN 0 THEN 'Result: {{"score": "' || lv || '"}}' || ' ' || body
+  WHEN 1 THEN 'text before {{"level":"' || lv || '", "note": "n"}} text after' || ' ' || body
+  WHEN 2 THEN 'Here is the JSON file: {{"score": "' || lv || '"' || ' ' || body
+  WHEN 3 THEN '{{"cefr": "' || lower(lv) || '"°}}' || ' ' || body
+  WHEN 4 THEN 'The writer is at ' || lv || ' level.' || ' ' || body
+  WHEN 5 THEN 'no json here at all' || ' ' || body
+  WHEN 6 THEN '{{"invalid": "X9"}}' || ' ' || body
+  WHEN 7 THEN '{{''label'': ''' || lv || '''}}' || ' ' || body
+  WHEN 8 THEN '{{"grade": " ' || lv || '"' || ' ' || body
+  ELSE '{{"score": "Z9", "level": "' || lv || '"}}' || ' ' || body END AS answer FROM base)"""
 
 
 def _answers(spark, sf):
     c = table(spark, sf, "conversations")
     lv = F.get(F.array(*[F.lit(l) for l in LEVELS]), F.length("text") % 6)
     shape = (F.col("conv_id") * 7 + F.col("turn")) % 10
-    body = F.lower(F.replace(F.replace("text", F.lit("{")), F.lit("}")))
+    body = F.lower(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("{")), F.lit("}")))
     forms = [
-        F.concat(F.lit('Result: {"score": "'), lv, F.lit('"} '), body),
+        F.concat(F.lit('Result: {"score": "'), lv, F.lit('"}')),
         F.concat(F.lit('text before {"level":"'), lv, F.lit('", "note": "n"} text after')),
         F.concat(F.lit('Here is the JSON file: {"score": "'), lv, F.lit('"')),
         F.concat(F.lit('{"cefr": "'), F.lower(lv), F.lit('"°}')),
@@ -41,9 +42,10 @@ def _answers(spark, sf):
         F.concat(F.lit('{"grade": " '), lv, F.lit('"')),
         F.concat(F.lit('{"score": "Z9", "level": "'), lv, F.lit('"}')),
     ]
-    answer = F.when(shape == 0, forms[0])
-    for k, form in enumerate(forms[1:], start=1):
-        answer = answer.when(shape == k, form)
+    form = F.when(shape == 0, forms[0])
+    for k, other in enumerate(forms[1:], start=1):
+        form = form.when(shape == k, other)
+    answer = F.concat(form, F.lit(" "), body)
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), (F.col("conv_id") % 20).alias("src"), answer.alias("answer")
     )
@@ -84,7 +86,7 @@ def one_hot(spark, sf):
     return I.answers_to_probs(_answers(spark, sf)).select("answer_id", F.posexplode("p").alias("ord", "p"))
 
 
-@query("parse_stats", with_sql(LABELS_SQL, "SELECT src, count(*)::BIGINT AS n_total, count(label)::BIGINT AS n_parsed, (count(*) - count(label))::BIGINT AS n_failed FROM labelled GROUP BY src"))
+@query("parse_stats", with_sql(LABELS_SQL, "SELECT src, count(*)::BIGINT AS n_total, count(*) FILTER (parsed)::BIGINT AS n_parsed, count(label)::BIGINT AS n_labelled, count(*) FILTER (NOT parsed)::BIGINT AS n_failed FROM labelled GROUP BY src"))
 def parse_stats(spark, sf):
     return I.parse_totals(I.labels_from_answers(_answers(spark, sf)), ["src"])
 
@@ -92,7 +94,7 @@ def parse_stats(spark, sf):
 EXTERNAL_SQL = (
     PROBS_SQL
     + f""",
-soft AS (SELECT model, dataset, sample_id::VARCHAR AS sample_id, p FROM probs WHERE model LIKE '%logistic%')"""
+soft AS (SELECT model, dataset, sample_id::VARCHAR AS sample_id, p FROM probs)"""
 )
 
 
@@ -100,24 +102,24 @@ def _soft_json(spark, sf):
     """Each document's probabilities as the JSON object an external tool writes."""
     from registry.base import probs
 
-    p = probs(spark, sf).filter("model LIKE '%logistic%'")
+    p = probs(spark, sf)
     text = F.to_json(F.create_map(F.col("sample_id").cast("string"), P.to_map(F.col("p"))))
     return p.select("model", "dataset", text.alias("value"))
 
 
-@query("src_soft_json", with_sql(EXTERNAL_SQL, f"SELECT sample_id, {LEVEL_LIST}[i] AS label, round(p[i], 6) AS prob FROM soft, unnest(range(1, 7)) t(i)"))
+@query("src_soft_json", with_sql(EXTERNAL_SQL, f"SELECT model, sample_id, {LEVEL_LIST}[i] AS label, round(p[i], 6) AS prob FROM soft, unnest(range(1, 7)) t(i)"))
 def src_soft_json(spark, sf):
-    return rounded_out(I.soft_rows(_soft_json(spark, sf)))
+    return rounded_out(I.soft_rows(_soft_json(spark, sf), keys=("model",)))
 
 
 @query(
     "eval_external",
-    with_sql(METRICS_SQL, "SELECT 'external' AS model, dataset, strategy, round(accuracy, 6) AS accuracy, round(adjacent_accuracy, 6) AS adjacent_accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(micro_f1, 6) AS micro_f1, n_samples FROM metrics WHERE model LIKE '%logistic%'"),
+    with_sql(METRICS_SQL, "SELECT model, dataset, strategy, round(accuracy, 6) AS accuracy, round(adjacent_accuracy, 6) AS adjacent_accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(micro_f1, 6) AS micro_f1, n_samples FROM metrics"),
 )
 def eval_external(spark, sf):
-    probs = I.soft_arrays(_soft_json(spark, sf))
+    probs = I.soft_arrays(_soft_json(spark, sf), keys=("model",))
     truth = samples(spark, sf).select(F.col("sample_id").cast("string").alias("sample_id"), "dataset", "true_ord")
-    judged = decide.both_strategies(probs.join(truth, "sample_id").withColumn("model", F.lit("external")))
+    judged = decide.both_strategies(probs.join(truth, "sample_id"))
     return rounded_out(M.report_metrics(M.confusion(judged)))
 
 
@@ -134,3 +136,17 @@ def eval_answers(spark, sf):
     truth = F.floor(F.col("answer_id") / 1000).cast("bigint") % 6
     judged = decide.argmax(rows).withColumn("true_ord", truth.cast("int"))
     return rounded_out(M.accuracy(M.confusion(judged, ("src",)), ("src",)))
+
+
+@query(
+    "ingest_llm_dir",
+    with_sql(
+        LABELS_SQL,
+        "SELECT label, count(*)::BIGINT AS n_total, count(*) FILTER (parsed)::BIGINT AS n_parsed, count(label)::BIGINT AS n_labelled, count(*) FILTER (NOT parsed)::BIGINT AS n_failed FROM labelled GROUP BY label",
+    ),
+)
+def ingest_llm_dir(spark, sf):
+    """A folder with one file per answer, read back and parsed."""
+    path = fresh_path(spark, "answers")
+    _answers(spark, sf).select("answer").write.option("maxRecordsPerFile", "1").text(path)
+    return I.parse_totals(I.answers_from_folder(spark, path), ["label"])

@@ -40,12 +40,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the scan has fewer splits than there are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def band(size: Column) -> Column:
     out = F.when(size < BANDS[0], 0)
     for k, top in enumerate(BANDS[1:], start=1):
@@ -54,7 +48,7 @@ def band(size: Column) -> Column:
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text", "n_chars"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text", "n_chars")
     return docs.select(
         F.col("doc_id").alias("sample_id"), F.col("source").alias("dataset"), F.col("lang").alias("grp"),
         clean_text(F.col("text")).alias("text"), band(F.col("n_chars")).alias("true_ord"),
@@ -63,7 +57,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as unseen texts."""
-    t = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), clean_text(F.col("text")).alias("text"))
 
 
@@ -112,6 +106,9 @@ def rounded_out(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL twins
 
+# The white space that Python, and a Unicode pattern in Spark, knows.
+SPACE_SQL = "[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
 LEVEL_LIST = "[" + ", ".join(f"'{l}'" for l in LEVELS) + "]"
 
 SAMPLES_SQL = f"""
@@ -131,7 +128,7 @@ PROBS_SQL = (
     + f""",
 sized AS (
   SELECT dataset, sample_id, true_ord, true_label, len(ts)::DOUBLE AS w, len(list_distinct(ts))::DOUBLE AS d, length(text)::DOUBLE AS c
-  FROM (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS ts FROM samples)),
+  FROM (SELECT *, list_filter(string_split_regex(text, '{SPACE_SQL}+'), lambda t: t <> '') AS ts FROM samples)),
 scored AS (
   SELECT '{SCORERS[0]}' AS model, dataset, sample_id, true_ord, true_label, least(5.0::DOUBLE, w / 80.0::DOUBLE) AS x FROM sized
   UNION ALL SELECT '{SCORERS[1]}', dataset, sample_id, true_ord, true_label, least(5.0::DOUBLE, d / 60.0::DOUBLE) FROM sized

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import levels as L, names as N, text as T
 from gradeloom.operators import features as FE, filters as FI
 from gradeloom.operators.split import hash_sample
-from registry.base import LEVEL_LIST, METRICS_SQL, PROBS_SQL, SAMPLES_SQL, metric_records, probs, query, rounded_out, samples, table, with_sql
+from registry.base import LEVEL_LIST, METRICS_SQL, PROBS_SQL, SAMPLES_SQL, SPACE_SQL, metric_records, probs, query, rounded_out, samples, table, with_sql
 
 
 @query("filter_min_length", with_sql(SAMPLES_SQL, "SELECT sample_id, length(text)::INTEGER AS n FROM samples WHERE length(text) >= 800"))
@@ -190,6 +190,6 @@ def scalar_functions(spark, sf):
     )
 
 
-@query("word_count", with_sql(SAMPLES_SQL, "SELECT sample_id, len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''))::INTEGER AS n_words FROM samples"))
+@query("word_count", with_sql(SAMPLES_SQL, f"SELECT sample_id, len(list_filter(string_split_regex(text, '{SPACE_SQL}+'), lambda t: t <> ''))::INTEGER AS n_words FROM samples"))
 def word_count(spark, sf):
     return samples(spark, sf).select("sample_id", F.size(T.space_tokens(F.col("text"))).alias("n_words"))

@@ -95,18 +95,22 @@ def concat_matrices(spark, sf):
     return rounded_out(FE.concat_blocks({"emb": emb, "doc": doc}))
 
 
+EMB_NAMES = [f"emb__v{k}" for k in range(64)]
+EMB_CELLS = ", ".join(f"round(coalesce(max(CASE WHEN f = '{n}' THEN v END), 0.0), 6) AS {n}" for n in EMB_NAMES)
+
+
 @query(
     "concat_matrices_wide",
     with_sql(
         BLOCKS_SQL,
-        """SELECT sample_id, round(coalesce(max(CASE WHEN f = 'doc__chars' THEN v END), 0.0), 6) AS doc__chars,
-           round(coalesce(max(CASE WHEN f = 'doc__lines' THEN v END), 0.0), 6) AS doc__lines, round(coalesce(max(CASE WHEN f = 'emb__v0' THEN v END), 0.0), 6) AS emb__v0
+        f"""SELECT sample_id, round(coalesce(max(CASE WHEN f = 'doc__chars' THEN v END), 0.0), 6) AS doc__chars,
+           round(coalesce(max(CASE WHEN f = 'doc__lines' THEN v END), 0.0), 6) AS doc__lines, {EMB_CELLS}
            FROM (SELECT sample_id, 'emb__' || feature AS f, "value" AS v FROM emb UNION ALL SELECT sample_id, 'doc__' || feature, "value" FROM doc) GROUP BY sample_id""",
     ),
 )
 def concat_matrices_wide(spark, sf):
     emb, doc = _blocks(spark, sf)
-    return rounded_out(FE.pivot_features(FE.concat_blocks({"emb": emb, "doc": doc}), ["doc__chars", "doc__lines", "emb__v0"]))
+    return rounded_out(FE.pivot_features(FE.concat_blocks({"emb": emb, "doc": doc}), ["doc__chars", "doc__lines", *EMB_NAMES]))
 
 
 SETS_SQL = """

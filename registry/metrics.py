@@ -205,11 +205,11 @@ def within1(spark, sf):
         """SELECT model, round(coalesce(corr(rx, ry), 0.0), 6) AS spearman FROM (
            SELECT model, rank() OVER (PARTITION BY model ORDER BY true_ord) + (count(*) OVER (PARTITION BY model, true_ord) - 1) / 2.0 AS rx,
                   rank() OVER (PARTITION BY model ORDER BY ev) + (count(*) OVER (PARTITION BY model, ev) - 1) / 2.0 AS ry
-           FROM (SELECT model, true_ord, round(expected_value, 4) AS ev FROM ready)) GROUP BY model""",
+           FROM (SELECT model, true_ord, round(expected_value, 12) AS ev FROM ready)) GROUP BY model""",
     ),
 )
 def spearman(spark, sf):
-    one = predictions(spark, sf).filter("strategy = 'argmax'").withColumn("expected_value", F.round("expected_value", 4))
+    one = predictions(spark, sf).filter("strategy = 'argmax'").withColumn("expected_value", F.round("expected_value", 12))  # sums of doubles, equal up to their order
     return rounded_out(A.spearman(one, ("model",)))
 
 

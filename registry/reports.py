@@ -55,6 +55,7 @@ def avg_micro_f1(spark, sf):
     return rounded_out(avg.select("model", "strategy", "micro_f1", "n_samples", "dataset", listed.alias("per_dataset")))
 
 
+# The columns of the given data, for the twins.
 SOURCES = [f"src{i}" for i in range(20)]
 PIVOT_CELLS = ", ".join(f"round(max(CASE WHEN dataset = '{d}' THEN f1 END), 6) AS {d}" for d in SOURCES)
 
@@ -69,7 +70,7 @@ PIVOT_CELLS = ", ".join(f"round(max(CASE WHEN dataset = '{d}' THEN f1 END), 6) A
     ),
 )
 def f1_pivot(spark, sf):
-    return rounded_out(R.f1_pivot(metric_records(spark, sf), SOURCES))
+    return rounded_out(R.f1_pivot(metric_records(spark, sf)))
 
 
 @query(
@@ -86,12 +87,12 @@ def dataset_detail(spark, sf):
     return rounded_out(R.dataset_detail(metric_records(spark, sf), "src5"))
 
 
-AVG_CELLS = ", ".join(f"round(max(CASE WHEN dataset = '{d}' THEN micro_f1 END), 6) AS {d}" for d in SOURCES[:5])
+AVG_CELLS = ", ".join(f"round(max(CASE WHEN dataset = '{d}' THEN micro_f1 END), 6) AS {d}" for d in SOURCES)
 
 
 @query("avg_table", with_sql(METRICS_SQL, f"SELECT model, strategy, round(avg(micro_f1), 6) AS micro_f1, sum(n_samples)::BIGINT AS n_samples, {AVG_CELLS} FROM metrics WHERE strategy = 'rounded_avg' GROUP BY ALL"))
 def avg_table(spark, sf):
-    return rounded_out(R.average_table(metric_records(spark, sf), SOURCES[:5], "rounded_avg"))
+    return rounded_out(R.average_table(metric_records(spark, sf), "rounded_avg"))
 
 
 @query(

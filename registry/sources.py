@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import tfidf as TF
 from gradeloom.session import fresh_path
 from gradeloom.sources import catalog as C, readers as RD, sinks as SK
-from registry.base import PREDICTIONS_SQL, SAMPLES_SQL, probs, query, rounded_out, samples, table, with_sql
+from registry.base import LEVEL_LIST, PREDICTIONS_SQL, SAMPLES_SQL, SPACE_SQL, probs, query, rounded_out, samples, table, with_sql
 
 
 def _corpus(spark, sf):
@@ -34,7 +34,7 @@ def src_corpus_dir(spark, sf):
     return both.groupBy("dataset", "grp").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("n_chars"))
 
 
-LINES_SQL = "raw AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS l FROM documents), lines AS (SELECT doc_id, regexp_replace(l, '^\\s+|\\s+$', '', 'g') AS text FROM raw)"
+LINES_SQL = f"raw AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS l FROM documents), lines AS (SELECT doc_id, regexp_replace(l, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g') AS text FROM raw)"
 
 
 @query("src_text_lines", with_sql(LINES_SQL, "SELECT md5(text) AS digest, count(*)::BIGINT AS n FROM lines WHERE text <> '' GROUP BY 1"))
@@ -45,14 +45,12 @@ def src_text_lines(spark, sf):
     return lines.groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_whole_text", "SELECT part, count(*)::BIGINT AS n_texts, sum(length(text) + 1)::BIGINT AS n_chars FROM (SELECT 'part-' || source AS part, text FROM documents) GROUP BY part")
+@query("src_whole_text", "SELECT md5(coalesce(text, '') || chr(10)) AS digest, count(*)::BIGINT AS n_files FROM benchmark GROUP BY 1")
 def src_whole_text(spark, sf):
-    """Whole files as documents; here one file per source."""
+    """Whole files as documents: one file for each benchmark item."""
     path = fresh_path(spark, "whole")
-    docs = samples(spark, sf).select(F.concat(F.lit("part-"), F.col("dataset")).alias("part"), "text")
-    docs.repartition("part").write.partitionBy("part").text(path)
-    sizes = RD.read_whole_texts(spark, path).groupBy("part").agg(F.sum(F.length("text")).alias("n_chars"))
-    return sizes.join(docs.groupBy("part").agg(F.count(F.lit(1)).alias("n_texts")), "part")
+    table(spark, sf, "benchmark").select(F.coalesce("text", F.lit("")).alias("text")).write.option("maxRecordsPerFile", "1").text(path)
+    return RD.read_whole_texts(spark, path).groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query(
@@ -68,21 +66,24 @@ def src_labels(spark, sf):
 
 @query(
     "src_line_labels",
-    "SELECT d.doc_id, i::INTEGER AS line, regexp_replace(ls[i + 1], '^\\s+|\\s+$', '', 'g') AS label FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents) d, unnest(range(0, len(ls))) t(i)",
+    f"SELECT d.doc_id, i::INTEGER AS line, regexp_replace(ls[i + 1], '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g') AS label FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents) d, unnest(range(0, len(ls))) t(i)",
 )
 def src_line_labels(spark, sf):
     return RD.line_labels(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
-@query("src_gz_features", 'SELECT vec_id AS sample_id, round(embedding[1]::DOUBLE, 6) AS f0, round(embedding[2]::DOUBLE, 6) AS f1, label AS f2 FROM embeddings')
+DIMENSIONS = 64  # of the given vectors
+
+
+@query("src_gz_features", f"SELECT vec_id AS sample_id, {', '.join(f'round(embedding[{k + 1}]::DOUBLE, 6) AS f{k}' for k in range(DIMENSIONS))}, label AS target FROM embeddings")
 def src_gz_features(spark, sf):
     path = fresh_path(spark, "features-gz")
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("Unnamed: 0"), (F.col("vec_id") * 7).alias("writing_id"), F.col("vec_id").alias("sample_id"),
-        F.get("embedding", F.lit(0)).cast("double").alias("f0"), F.get("embedding", F.lit(1)).cast("double").alias("f1"), F.col("label").alias("f2"),
+        *[F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(DIMENSIONS)], F.col("label").alias("target"),
     )
     e.write.options(header="true", compression="gzip").csv(path)
-    schema = "`Unnamed: 0` bigint, writing_id bigint, sample_id bigint, f0 double, f1 double, f2 int"
+    schema = "`Unnamed: 0` bigint, writing_id bigint, sample_id bigint, " + "".join(f"f{k} double, " for k in range(DIMENSIONS)) + "target int"
     return rounded_out(RD.read_features(spark, path, schema))
 
 
@@ -97,14 +98,14 @@ def src_ground_truth(spark, sf):
 FEATURES_SQL = SAMPLES_SQL + ", toks AS (SELECT sample_id, dataset, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM samples)"
 
 
-@query("sink_features", with_sql(FEATURES_SQL, "SELECT 'counts' AS feature_set, dataset, term AS feature, count(*)::DOUBLE AS \"value\" FROM toks WHERE dataset = 'src7' GROUP BY dataset, term"))
+@query("sink_features", with_sql(FEATURES_SQL, "SELECT 'counts' AS feature_set, dataset, term AS feature, count(*)::DOUBLE AS \"value\" FROM toks GROUP BY dataset, term"))
 def sink_features(spark, sf):
-    """Features of all datasets written by partition; one partition read back."""
+    """Features of all datasets written by partition and read back."""
     path, s = fresh_path(spark, "features"), samples(spark, sf)
     terms = TF.document_terms(s, (1, 1), ("dataset",))
     features = terms.select("sample_id", "dataset", F.lit("counts").alias("feature_set"), F.col("term").alias("feature"), F.col("tf").cast("double").alias("value"))
     SK.write_features(features, path)
-    back = spark.read.parquet(path).filter("dataset = 'src7'")
+    back = spark.read.parquet(path)
     return back.groupBy("feature_set", "dataset", "feature").agg(F.sum("value").alias("value"))
 
 
@@ -112,7 +113,8 @@ def sink_features(spark, sf):
     "sink_predictions",
     with_sql(
         PREDICTIONS_SQL,
-        "SELECT model, dataset, sample_id, strategy, pred_label AS predicted_label FROM predictions",
+        f"""SELECT model, dataset, sample_id, strategy, pred_label AS predicted_label, NULL::DOUBLE AS prob FROM predictions
+            UNION ALL SELECT model, dataset, sample_id, 'soft', {LEVEL_LIST}[i], round(p[i], 6) FROM probs, unnest(range(1, 7)) t(i)""",
     ),
 )
 def sink_predictions(spark, sf):
@@ -123,7 +125,9 @@ def sink_predictions(spark, sf):
         spark.read.schema(schema).json(f"{path}/{name}_predictions").withColumn("strategy", F.lit(name))
         for name in ("argmax", "rounded_avg")
     ]
-    return parts[0].unionByName(parts[1])
+    soft = spark.read.schema("model string, dataset string, sample_id bigint, probabilities map<string,double>").json(f"{path}/soft_predictions")
+    soft = soft.select("model", "dataset", "sample_id", F.lit("soft").alias("strategy"), F.explode("probabilities").alias("predicted_label", "prob"))
+    return rounded_out(parts[0].unionByName(parts[1]).withColumn("prob", F.lit(None).cast("double")).unionByName(soft))
 
 
 CATALOG_SQL = """

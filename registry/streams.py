@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import decide
 from gradeloom.session import fresh_path
 from gradeloom.streaming import runlog as RL, scoring as SC
-from registry.base import PREDICTIONS_SQL, SCORERS, _peaked, band, query, rounded_out, spread, table, with_sql
+from registry.base import PREDICTIONS_SQL, SCORERS, _peaked, band, query, rounded_out, table, with_sql
 from registry.metrics import LOG_SQL, to_log
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -82,7 +82,7 @@ def stream_add_test_set(spark, sf):
     """New files graded by every stored model, batch by batch."""
     from registry.fits import stored_models
 
-    train = spread(table(spark, sf, "documents"), "doc_id")
+    train = table(spark, sf, "documents")
     grade = stored_models(spark, sf, train)
     sink, check = fresh_path(spark, "test-sets"), fresh_path(spark, "test-sets-checkpoint")
     schema = spark.createDataFrame([], DOCS).schema

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import TOKEN_CLASSES, token_class
 from gradeloom.operators import longtext as L, surprisal as S
 from gradeloom.plans.surprisal_features import extract, token_records
+from gradeloom.operators.scale import bounded
 from gradeloom.session import written
 from gradeloom.sources import sinks
 from registry.base import SAMPLES_SQL, TURNS_SQL, query, rounded_out, samples, turns, with_sql
@@ -18,31 +19,37 @@ WINDOW = 16  # tokens a model sees at once, for the long-text rules
 
 LM_SQL = f"""
 dtok AS (SELECT lang, regexp_extract_all(lower(coalesce(text, '')), '{PAT}') AS ts FROM documents),
-mrows AS (SELECT 'general' AS model, ts FROM dtok UNION ALL SELECT 'lm_' || lang, ts FROM dtok),
-uni AS (SELECT model, token, count(*)::BIGINT AS n FROM (SELECT model, unnest(ts) AS token FROM mrows) GROUP BY ALL),
-sizes AS (SELECT model, sum(n)::BIGINT AS n_total, count(*)::BIGINT AS n_vocab FROM uni GROUP BY model),
-bi AS (SELECT model, ts[i] AS context, ts[i + 1] AS token, count(*)::BIGINT AS n FROM mrows, unnest(range(1, len(ts))) t(i) GROUP BY ALL),
-heads AS (SELECT model, context, sum(n)::BIGINT AS n_context FROM bi GROUP BY ALL),
-words AS (SELECT model, token, n, (n + 0.5::DOUBLE) / (n_total + 0.5::DOUBLE * (n_vocab + 1)) AS pu FROM uni JOIN sizes USING (model)
+mrows AS MATERIALIZED (SELECT 'general' AS model, ts FROM dtok UNION ALL SELECT 'lm_' || lang, ts FROM dtok),
+uni AS MATERIALIZED (SELECT model, token, count(*)::BIGINT AS n FROM (SELECT model, unnest(ts) AS token FROM mrows) GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT model, sum(n)::BIGINT AS n_total, count(*)::BIGINT AS n_vocab FROM uni GROUP BY model),
+bi AS MATERIALIZED (SELECT model, ts[i] AS context, ts[i + 1] AS token, count(*)::BIGINT AS n FROM mrows, unnest(range(1, len(ts))) t(i) GROUP BY ALL),
+heads AS MATERIALIZED (SELECT model, context, sum(n)::BIGINT AS n_context FROM bi GROUP BY ALL),
+words AS MATERIALIZED (SELECT model, token, n, (n + 0.5::DOUBLE) / (n_total + 0.5::DOUBLE * (n_vocab + 1)) AS pu FROM uni JOIN sizes USING (model)
           UNION ALL SELECT model, '<UNK>', 0, (0 + 0.5::DOUBLE) / (n_total + 0.5::DOUBLE * (n_vocab + 1)) FROM sizes),
 {TURNS_SQL},
 ttok AS (SELECT sample_id, regexp_extract_all(lower(text), '{PAT}') AS ts FROM turns),
-pairs AS (SELECT sample_id, i::INTEGER AS pos, ts[i] AS context, ts[i + 1] AS token FROM ttok, unnest(range(1, len(ts))) t(i)),
-asked AS (SELECT DISTINCT model, context, token FROM pairs, sizes),
-probs AS (SELECT a.model, a.context, a.token, coalesce(w.pu, u.pu) AS pu, h.n_context, coalesce(b.n, 0) AS n_pair,
+pairs AS MATERIALIZED (SELECT sample_id, i::INTEGER AS pos, ts[i] AS context, ts[i + 1] AS token FROM ttok, unnest(range(1, len(ts))) t(i)),
+asked AS MATERIALIZED (SELECT DISTINCT model, context, token FROM pairs, sizes),
+probs AS MATERIALIZED (SELECT a.model, a.context, a.token, coalesce(w.pu, u.pu) AS pu, h.n_context, coalesce(b.n, 0) AS n_pair,
      CASE WHEN h.n_context IS NULL THEN coalesce(w.pu, u.pu) ELSE (1.0::DOUBLE - 0.7::DOUBLE) * coalesce(w.pu, u.pu) + 0.7::DOUBLE * (coalesce(b.n, 0)::DOUBLE / h.n_context) END AS prob
    FROM asked a LEFT JOIN words w ON w.model = a.model AND w.token = a.token AND w.n > 0 JOIN words u ON u.model = a.model AND u.n = 0
    LEFT JOIN heads h ON h.model = a.model AND h.context = a.context LEFT JOIN bi b ON b.model = a.model AND b.context = a.context AND b.token = a.token),
 scored AS (SELECT sample_id, pos, context, token, model, prob, -log2(prob + 1e-10::DOUBLE) AS entropy, pow(2.0::DOUBLE, -log2(prob + 1e-10::DOUBLE)) AS perplexity, -ln(prob) AS loss
    FROM pairs JOIN probs USING (context, token))"""
 
+# The same with the model of all groups alone.
+GENERAL_SQL = LM_SQL.replace(" UNION ALL SELECT 'lm_' || lang, ts FROM dtok", "")
 
-def _lm(spark, sf) -> S.NgramModels:
-    return S.fitted_lm(S.model_rows(samples(spark, sf), "grp"))
+
+def _lm(spark, sf, models=ALL_MODELS) -> S.NgramModels:
+    rows = S.model_rows(samples(spark, sf), "grp")
+    if list(models) == GENERAL:  # the texts of all groups train one model, and no other is fitted
+        return S.fitted_lm(rows.withColumn("model", F.lit("general")), general=None)
+    return S.fitted_lm(rows)
 
 
 def _scored(spark, sf, models=GENERAL, **rule):
-    return S.score_texts(turns(spark, sf), _lm(spark, sf), models, **rule)
+    return S.score_texts(turns(spark, sf), _lm(spark, sf, models), models, **rule)
 
 
 @query("lm_fit", with_sql(LM_SQL, "SELECT model, context, token, n, n_context FROM bi JOIN heads USING (model, context)"))
@@ -54,7 +61,7 @@ def lm_fit(spark, sf):
 @query("lm_unigrams", with_sql(LM_SQL, "SELECT model, token, n, n_total, n_vocab FROM uni JOIN sizes USING (model)"))
 def lm_unigrams(spark, sf):
     lm = S.fit_lm(S.model_rows(samples(spark, sf), "grp"))
-    return lm.unigrams.join(lm.sizes, "model").select("model", "token", "n", "n_total", "n_vocab")
+    return lm.unigrams.join(bounded(lm.sizes, lm.params.max_models), "model").select("model", "token", "n", "n_total", "n_vocab")
 
 
 @query("lm_train_split", with_sql(LM_SQL, "SELECT model, count(*)::BIGINT AS n_texts, sum(len(ts))::BIGINT AS n_tokens FROM mrows GROUP BY model"))
@@ -65,19 +72,19 @@ def lm_train_split(spark, sf):
     return per_model.unionByName(whole.select(F.lit("general").alias("model"), "n_texts", "n_tokens"))
 
 
-@query("token_prob", with_sql(LM_SQL, "SELECT sample_id, pos, context, token, round(prob, 9) AS prob FROM scored WHERE model = 'general'"))
+@query("token_prob", with_sql(GENERAL_SQL, "SELECT sample_id, pos, context, token, round(prob, 9) AS prob FROM scored WHERE model = 'general'"))
 def token_prob(spark, sf):
     return rounded_out(_scored(spark, sf).select("sample_id", "pos", "context", "token", "prob"), 9)
 
 
-@query("token_surprisal", with_sql(LM_SQL, "SELECT sample_id, pos, round(entropy, 6) AS entropy, round(perplexity, 4) AS perplexity, round(loss, 6) AS loss FROM scored WHERE model = 'general'"))
+@query("token_surprisal", with_sql(GENERAL_SQL, "SELECT sample_id, pos, round(entropy, 6) AS entropy, round(perplexity, 4) AS perplexity, round(loss, 6) AS loss FROM scored WHERE model = 'general'"))
 def token_surprisal(spark, sf):
     t = _scored(spark, sf)
     return t.select("sample_id", "pos", F.round("entropy", 6).alias("entropy"), F.round("perplexity", 4).alias("perplexity"), F.round("loss", 6).alias("loss"))
 
 
 RANK_SQL = (
-    LM_SQL
+    GENERAL_SQL
     + """,
 g AS (SELECT context, token, prob, n_context IS NOT NULL AS seen FROM probs WHERE model = 'general'),
 levels AS (SELECT pu, count(*)::BIGINT AS n FROM words WHERE model = 'general' GROUP BY pu),
@@ -95,13 +102,13 @@ local AS (SELECT d.context, d.prob, coalesce(sum((a.high > d.prob)::INTEGER), 0)
     with_sql(RANK_SQL, 'SELECT g.context, g.token, (1 + n_all + n_local)::BIGINT AS "rank" FROM g JOIN everywhere USING (seen, prob) JOIN local ON local.context = g.context AND local.prob = g.prob'),
 )
 def token_rank(spark, sf):
-    lm, pairs = _lm(spark, sf), S.scored_pairs(turns(spark, sf))
+    lm, pairs = _lm(spark, sf, GENERAL), S.scored_pairs(turns(spark, sf))
     probs = written(S.pair_probs(pairs, lm, GENERAL), "pair-probs")
     return S.token_ranks(probs, S.of_models(lm, GENERAL)).drop("model")
 
 
 TOPK_SQL = (
-    LM_SQL
+    GENERAL_SQL
     + """,
 ctx AS (SELECT DISTINCT context FROM pairs),
 w AS (SELECT * FROM words WHERE model = 'general' AND n > 0),
@@ -120,7 +127,7 @@ every AS (SELECT o.context, o.token, CASE WHEN h.n_context IS NULL THEN w.pu ELS
     ),
 )
 def token_topk(spark, sf):
-    lm, pairs = _lm(spark, sf), S.scored_pairs(turns(spark, sf))
+    lm, pairs = _lm(spark, sf, GENERAL), S.scored_pairs(turns(spark, sf))
     asked = pairs.select(F.lit("general").alias("model"), "context").distinct()
     return rounded_out(S.top_continuations(asked, S.of_models(lm, GENERAL), 5).drop("model"), 9)
 
@@ -141,7 +148,7 @@ def token_context(spark, sf):
 @query("token_records")
 def token_record_rows(spark, sf):
     """Every field of a scored token in one row."""
-    r = token_records(turns(spark, sf), _lm(spark, sf), "general")
+    r = token_records(turns(spark, sf), _lm(spark, sf, GENERAL), "general")
     return r.withColumn("top_k", F.to_json("top_k")).withColumn("context_before", F.array_join("context_before", " ")).withColumn(
         "context_after", F.array_join("context_after", " ")
     )
@@ -154,7 +161,7 @@ AGG = """count(s.loss)::BIGINT AS total_tokens, round(coalesce(avg(perplexity),
 
 def _aggregated(spark, sf, models=GENERAL, **rule):
     texts = turns(spark, sf)
-    tokens = S.score_texts(texts, _lm(spark, sf), models, **rule)
+    tokens = S.score_texts(texts, _lm(spark, sf, models), models, **rule)
     return S.aggregate_scores(tokens, texts, models)
 
 
@@ -185,14 +192,14 @@ def long_sliding(spark, sf):
 @query(
     "long_immediate",
     with_sql(
-        LM_SQL,
+        GENERAL_SQL,
         f"""SELECT p.sample_id, p.pos, CASE WHEN p.pos < {WINDOW} THEN 0 ELSE p.pos - {WINDOW - 1} END::INTEGER AS context_start, CASE WHEN p.pos < {WINDOW} THEN p.pos ELSE {WINDOW - 1} END::INTEGER AS context_length, round(s.loss, 6) AS loss
             FROM pairs p JOIN ttok t USING (sample_id) JOIN scored s ON s.sample_id = p.sample_id AND s.pos = p.pos AND s.model = 'general' WHERE len(t.ts) > {WINDOW}""",
     ),
 )
 def long_immediate(spark, sf):
     texts = turns(spark, sf)
-    losses = S.score_texts(texts, _lm(spark, sf), GENERAL, WINDOW, "immediate_context").select("sample_id", "pos", "loss")
+    losses = S.score_texts(texts, _lm(spark, sf, GENERAL), GENERAL, WINDOW, "immediate_context").select("sample_id", "pos", "loss")
     return rounded_out(L.immediate_spans(texts, WINDOW).join(losses, ["sample_id", "pos"]))
 
 
@@ -208,19 +215,19 @@ def long_strategy_meta(spark, sf):
     return L.strategy_metadata(turns(spark, sf), WINDOW)
 
 
-@query("position_features", with_sql(LM_SQL, 'SELECT sample_id, model, pos AS "position", round(loss, 6) AS loss FROM scored WHERE model = \'general\' AND pos <= 512'))
+@query("position_features", with_sql(GENERAL_SQL, 'SELECT sample_id, model, pos AS "position", round(loss, 6) AS loss FROM scored WHERE model = \'general\' AND pos <= 512'))
 def position_features(spark, sf):
     return rounded_out(S.position_losses(_scored(spark, sf)))
 
 
-@query("position_features_dense", with_sql(LM_SQL, "SELECT sample_id, model, 512 AS n, round(sum(loss), 5) AS total, round(max(CASE WHEN pos = 3 THEN loss ELSE 0.0 END), 6) AS third FROM scored WHERE model = 'general' AND pos <= 512 GROUP BY ALL"))
+@query("position_features_dense", with_sql(GENERAL_SQL, "SELECT sample_id, model, 512 AS n, round(sum(loss), 5) AS total, round(max(CASE WHEN pos = 3 THEN loss ELSE 0.0 END), 6) AS third FROM scored WHERE model = 'general' AND pos <= 512 GROUP BY ALL"))
 def position_features_dense(spark, sf):
     d = S.dense_positions(S.position_losses(_scored(spark, sf)))
     total = F.aggregate("losses", F.lit(0.0), lambda a, x: a + x)
     return d.select("sample_id", "model", F.size("losses").alias("n"), F.round(total, 5).alias("total"), F.round(F.get("losses", F.lit(2)), 6).alias("third"))
 
 
-@query("avg_loss", with_sql(LM_SQL, "SELECT sample_id, model, round(avg(loss), 6) AS avg_loss, round(exp(avg(loss)), 4) AS text_perplexity FROM scored WHERE model = 'general' GROUP BY ALL"))
+@query("avg_loss", with_sql(GENERAL_SQL, "SELECT sample_id, model, round(avg(loss), 6) AS avg_loss, round(exp(avg(loss)), 4) AS text_perplexity FROM scored WHERE model = 'general' GROUP BY ALL"))
 def avg_loss(spark, sf):
     a = S.average_loss(_scored(spark, sf))
     return a.select("sample_id", "model", F.round("avg_loss", 6).alias("avg_loss"), F.round("text_perplexity", 4).alias("text_perplexity"))
@@ -230,7 +237,7 @@ TAG = f"""CASE WHEN regexp_full_match(token, '\\p{{N}}+') THEN 'NUM' WHEN regexp
 TAG_COLUMNS = ", ".join(f"round(sum(CASE WHEN tag = '{t}' THEN loss ELSE 0.0 END), 5) AS {t}" for t in TOKEN_CLASSES)
 
 
-@query("tag_features", with_sql(LM_SQL, f"SELECT sample_id, model, {TAG_COLUMNS} FROM (SELECT *, {TAG} AS tag FROM scored WHERE model = 'general') GROUP BY sample_id, model"))
+@query("tag_features", with_sql(GENERAL_SQL, f"SELECT sample_id, model, {TAG_COLUMNS} FROM (SELECT *, {TAG} AS tag FROM scored WHERE model = 'general') GROUP BY sample_id, model"))
 def tag_features(spark, sf):
     tags = S.tag_losses(_scored(spark, sf), token_class(F.col("token")))
     wide = tags.groupBy("sample_id", "model").pivot("tag", list(TOKEN_CLASSES)).agg(F.sum("loss")).fillna(0.0)

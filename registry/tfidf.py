@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import names as N, text as T
 from gradeloom.operators import tfidf as TF
-from registry.base import SAMPLES_SQL, query, rounded_out, samples, with_sql
+from registry.base import SAMPLES_SQL, SPACE_SQL, query, rounded_out, samples, with_sql
 
 PAT = "[\\p{L}\\p{N}_]{2,}"
 TOKENS_SQL = SAMPLES_SQL + f", toks AS (SELECT sample_id, dataset, grp, regexp_extract_all(lower(text), '{PAT}') AS ts FROM samples)"
@@ -20,7 +20,7 @@ def tokenize_words(spark, sf):
 
 @query(
     "tokenize_ws",
-    with_sql(SAMPLES_SQL, "SELECT sample_id, len(ts)::INTEGER AS n, md5(array_to_string(ts, ' ')) AS digest FROM (SELECT sample_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS ts FROM samples)"),
+    with_sql(SAMPLES_SQL, f"SELECT sample_id, len(ts)::INTEGER AS n, md5(array_to_string(ts, ' ')) AS digest FROM (SELECT sample_id, list_filter(string_split_regex(text, '{SPACE_SQL}+'), lambda t: t <> '') AS ts FROM samples)"),
 )
 def tokenize_ws(spark, sf):
     s = samples(spark, sf).select("sample_id", T.space_tokens(F.col("text")).alias("ts"))

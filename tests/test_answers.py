@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions.answers import label_from_keys, parse_answer
+from gradeloom.operators import ingest
 
 # Free-text answers and what is read out of them.
 CASES = [
@@ -28,6 +29,8 @@ CASES = [
     ('{"grade": " b2 "', {"grade": "B2"}, "B2"),
     (None, None, None),
     ("", None, None),
+    ('{"score": "A1", "score": "B2"}', {"score": "B2"}, "B2"),
+    ('{"level": "\u00a0b1\u3000"}', {"level": "\u00a0b1\u3000"}, "B1"),
 ]
 
 
@@ -43,3 +46,18 @@ def test_answer(parsed, i):
     row = parsed[i]
     assert (json.loads(row["m"]) if row["m"] else None) == CASES[i][1]
     assert row["label"] == CASES[i][2]
+
+
+def test_other_scale(spark):
+    levels = ("LOW", "MID", "HIGH")
+    df = spark.createDataFrame([('{"score": "mid"',), ("surely HIGH",), ('{"score": "B1"',)], "a string")
+    got = df.select(label_from_keys(parse_answer(F.col("a"), levels), levels).alias("l")).collect()
+    assert [r.l for r in got] == ["MID", "HIGH", None]
+
+
+def test_answer_folder(spark, tmp_path):
+    for name, answer in (("s1", '{"score": "A1"}'), ("s2", "nothing"), ("s3", '{"invalid": "X9"}')):
+        (tmp_path / f"{name}.txt").write_text(answer)
+    found = ingest.answers_from_folder(spark, str(tmp_path))
+    assert {r.name: (r.parsed, r.label) for r in found.collect()} == {"s1": (True, "A1"), "s2": (False, None), "s3": (True, None)}
+    assert ingest.parse_totals(found).first().asDict() == {"n_total": 3, "n_parsed": 2, "n_labelled": 1, "n_failed": 1}

@@ -6,10 +6,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from gradeloom.functions.levels import LEVELS
-from gradeloom.operators import bayes as B, decide, metrics as M, models as ML, split as S, tfidf as TF
+from gradeloom.functions.text import clean_text
+from gradeloom.operators import decide, joins as J, metrics as M, models as ML, split as S, tfidf as TF
 from gradeloom.plans import grading as G, selection as SEL
-from gradeloom.session import written
-from registry.base import LEVEL_LIST, SAMPLES_SQL, band, query, rounded_out, samples, table, with_sql
+from gradeloom.session import fresh_path, written
+from registry.base import LEVEL_LIST, SAMPLES_SQL, query, rounded_out, samples, table, with_sql
 
 UNI = TF.TfidfParams(max_features=1000, ngram_range=(1, 1))
 N = len(LEVELS)
@@ -109,20 +110,20 @@ def _halves(rows, share=0.25):
 def fit_logistic(spark, sf):
     train, test = _halves(text_vectors(spark, sf))
     weighted = S.sample_weights(train, "ord", N, "inverse")
-    return _judge(ML.fit_logistic(weighted, N, max_iter=50), test)
+    return _judge(ML.fit_logistic(weighted, N), test)
 
 
 @query("fit_rf")
 def fit_rf(spark, sf):
     train, test = _halves(dense_vectors(spark, sf))
     weighted = S.sample_weights(train, "ord", 10, "inverse")
-    return _judge(ML.fit_forest(weighted, 10, n_trees=20, depth=6), test, 10)
+    return _judge(ML.fit_forest(weighted, 10), test, 10)
 
 
 @query("fit_svm")
 def fit_svm(spark, sf):
     train, test = _halves(dense_vectors(spark, sf))
-    return _judge(ML.fit_svm(S.sample_weights(train, "ord", 10, "inverse"), 10, max_iter=20), test, 10)
+    return _judge(ML.fit_svm(S.sample_weights(train, "ord", 10, "inverse"), 10), test, 10)
 
 
 @query("fit_gbt")
@@ -140,7 +141,7 @@ def fit_gbt_ordinal(spark, sf):
 @query("fit_ordinal")
 def fit_ordinal(spark, sf):
     train, test = _halves(text_vectors(spark, sf))
-    return _judge(ML.fit_ordinal(train, N, max_iter=30), test)
+    return _judge(ML.fit_ordinal(train, N), test)
 
 
 @query("fit_bayes_mllib")
@@ -149,50 +150,70 @@ def fit_bayes_mllib(spark, sf):
     return _judge(ML.fit_bayes(train, N), test)
 
 
-KINDS = {"multinomialnb": {}, "logistic": {"max_iter": 20}}
+KINDS = {"multinomialnb": {}, "logistic": {}, "mord-lr": {}}
 
 
 @query("train_all")
 def train_all(spark, sf):
-    sets = {UNI.key + "_tfidf": text_vectors(spark, sf)}
-    models = ML.train_all(sets, KINDS, N, "documents")
-    counts = {name: sets[UNI.key + "_tfidf"].count() for name in models}
-    return ML.registry(spark, models, counts)
+    """Every kind on its feature set, stored; the registry as it is read back."""
+    vectors = text_vectors(spark, sf)
+    models = ML.train_all({UNI.key + "_tfidf": vectors}, KINDS, N, "documents")
+    path = fresh_path(spark, "models")
+    ML.save_models(spark, models, path, dict.fromkeys(models, vectors.count()))
+    return ML.load_registry(spark, path).drop("cuts")
 
 
-def stored_models(spark, sf, docs):
-    """Every model of the grid, as one function from texts to graded rows."""
-    s = docs.select(F.col("doc_id").alias("sample_id"), "text", band(F.col("n_chars")).alias("true_ord"))
-    vocab = written(TF.fit_vocab(s, UNI), "vocab")
-    rows = written(G.training_vectors(s.withColumnRenamed("true_ord", "ord"), vocab, UNI), "vectors")
-    models = ML.train_all({UNI.key + "_tfidf": rows}, KINDS, N, "documents")
+NB_NAME = f"documents_multinomialnb_{UNI.key}_tfidf"
 
-    def grade(corpus):
-        vectors = G.training_vectors(corpus, vocab, UNI)
-        return decide.argmax(ML.predict_all(models, lambda _: vectors)).drop("p")
 
-    return grade
+def stored_graders(spark, sf) -> dict[str, G.BayesGrader]:
+    """The grader of the documents, stored and loaded again."""
+    path = fresh_path(spark, "graders")
+    G.save_bayes(G.train_bayes(samples(spark, sf), UNI), f"{path}/{NB_NAME}")
+    return {NB_NAME: G.load_bayes(spark, f"{path}/{NB_NAME}")}
 
 
-@query("predict_batch")
+def graded_rows(spark, graders, corpus):
+    """Labels from every stored grader for the datasets that its features have."""
+    keys = spark.createDataFrame([(name, ML.m_key(name)) for name in graders], "model string, feature_key string")
+    have = corpus.select("dataset").distinct().crossJoin(F.broadcast(keys.select("feature_key").distinct()))  # one row per key
+    jobs = J.match_models(keys, keys, have, corpus.select("dataset", F.lit(None).cast("string").alias("label_file")).distinct())
+    return decide.argmax(G.grade_jobs(jobs, graders, corpus)).drop("p")
+
+
+PER_LABEL = f"SELECT '{NB_NAME}' AS model, dataset, {LEVEL_LIST}[pred_ord + 1] AS pred_label, count(*)::BIGINT AS n FROM graded JOIN asked USING (sample_id) GROUP BY ALL"
+ASKED_DOCS = ", asked AS (SELECT sample_id, dataset FROM samples)"
+
+
+@query("predict_batch", with_sql(NB_SQL + ASKED_DOCS, PER_LABEL))
 def predict_batch(spark, sf):
-    grade = stored_models(spark, sf, table(spark, sf, "documents"))
-    out = grade(samples(spark, sf).select("sample_id", "dataset", "text"))
+    out = graded_rows(spark, stored_graders(spark, sf), samples(spark, sf).select("sample_id", "dataset", "text"))
     return out.groupBy("model", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("add_test_set")
+# The same tables, asked for the conversations.
+ASKED_TURNS_SQL = (
+    NB_SQL.replace("raw AS (", "asked_raw AS (").split("asked_raw AS (")[0]
+    + """asked AS (SELECT conv_id * 1000 + turn AS sample_id, role AS dataset, coalesce(text, '') AS text FROM conversations),
+atf AS (SELECT sample_id, term, count(*)::BIGINT AS tf FROM (SELECT sample_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM asked) GROUP BY ALL),
+afeat AS (SELECT sample_id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)) AS v FROM (SELECT sample_id, idx, (ln(tf::DOUBLE) + 1.0) * idf AS w FROM atf JOIN vocab USING (term))),
+raw AS (SELECT x.sample_id, p.ord, p.log_prior + coalesce(sum(f.v * c.lp), 0) AS score FROM asked x CROSS JOIN prior p LEFT JOIN afeat f ON f.sample_id = x.sample_id LEFT JOIN cells c ON c.ord = p.ord AND c.idx = f.idx GROUP BY x.sample_id, p.ord, p.log_prior),
+graded AS (SELECT sample_id, arg_min(ord, [-score, ord]) AS pred_ord FROM raw GROUP BY sample_id)"""
+)
+
+
+@query("add_test_set", with_sql(ASKED_TURNS_SQL, PER_LABEL))
 def add_test_set(spark, sf):
     """A new dataset, the conversations, graded by the stored models."""
-    grade = stored_models(spark, sf, table(spark, sf, "documents"))
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), F.col("role").alias("dataset"), "text")
-    return grade(turns).groupBy("model", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), F.col("role").alias("dataset"), clean_text(F.col("text")).alias("text"))
+    out = graded_rows(spark, stored_graders(spark, sf), turns)
+    return out.groupBy("model", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tune_single")
 def tune_single(spark, sf):
     train, valid = _halves(dense_vectors(spark, sf))
-    trials = [{k: (min(v, 20) if k == "max_iter" else v) for k, v in t.items()} for t in ML.draw_params("logistic", 3)]
+    trials = ML.draw_params("logistic", 3)
     score = lambda p: _score10(p)
     return rounded_out(ML.history_table(spark, "embedding", ML.tune(train, valid, "logistic", 10, trials, score)))
 
@@ -209,5 +230,5 @@ def two_stage_selection(spark, sf):
     sets = {}
     for params in (TF.TfidfParams(200, (1, 1)), TF.TfidfParams(400, (1, 2))):
         sets[params.name] = written(G.training_vectors(s, TF.fit_vocab(s, params), params), "vectors")
-    trials = [{"c": 0.5, "max_iter": 15}, {"c": 5.0, "max_iter": 15}]
-    return rounded_out(SEL.two_stage(spark, sets, "logistic", N, base={"max_iter": 15}, trials=trials, top_k=1))
+    trials = [{"c": 0.5}, {"c": 5.0}]
+    return rounded_out(SEL.two_stage(spark, sets, "logistic", N, trials=trials, top_k=1))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradeloom.functions.text import clean_text
 from gradeloom.operators import decide
 from gradeloom.session import fresh_path
 from gradeloom.streaming import runlog as RL, scoring as SC
-from registry.base import PREDICTIONS_SQL, SCORERS, _peaked, band, query, rounded_out, table, with_sql
+from registry.base import PREDICTIONS_SQL, SCORERS, _peaked, query, rounded_out, table, with_sql
+from registry.fits import ASKED_DOCS, NB_SQL, PER_LABEL, graded_rows, stored_graders
 from registry.metrics import LOG_SQL, to_log
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -22,7 +24,7 @@ def _arrivals(spark, sf, n_files: int = 4) -> str:
 
 def _score(docs):
     """Row-wise scoring: the first stand-in model on new texts."""
-    from gradeloom.functions.text import clean_text, space_tokens
+    from gradeloom.functions.text import space_tokens
 
     words = F.size(space_tokens(clean_text(F.col("text")))).cast("double")
     scored = docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("dataset"), F.least(F.lit(5.0), words / 80.0).alias("x"))
@@ -77,16 +79,13 @@ def latest_status(spark, sf):
     return newest(to_log(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")))
 
 
-@query("stream_add_test_set")
+@query("stream_add_test_set", with_sql(NB_SQL + ASKED_DOCS, PER_LABEL))
 def stream_add_test_set(spark, sf):
     """New files graded by every stored model, batch by batch."""
-    from registry.fits import stored_models
-
-    train = table(spark, sf, "documents")
-    grade = stored_models(spark, sf, train)
+    graders = stored_graders(spark, sf)
     sink, check = fresh_path(spark, "test-sets"), fresh_path(spark, "test-sets-checkpoint")
     schema = spark.createDataFrame([], DOCS).schema
-    corpus = lambda docs: docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("dataset"), "text", band(F.col("n_chars")).alias("true_ord"))
-    SC.add_test_sets(spark, _arrivals(spark, sf, 2), schema, lambda docs: grade(corpus(docs)), sink, check, max_files=1)
+    corpus = lambda docs: docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("dataset"), clean_text(F.col("text")).alias("text"))
+    SC.add_test_sets(spark, _arrivals(spark, sf, 2), schema, lambda docs: graded_rows(spark, graders, corpus(docs)), sink, check, max_files=1)
     out = spark.read.parquet(sink)
     return out.groupBy("model", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n"))

@@ -4,9 +4,10 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from gradeloom.operators import decide, models as ML
+from gradeloom.operators import decide, models as ML, tfidf
 from gradeloom.operators.features import as_vectors
 from gradeloom.operators.screening import screen
+from gradeloom.plans import grading
 
 SMALL = {
     "multinomialnb": {}, "logistic": {"max_iter": 20}, "randomforest": {"n_trees": 5, "depth": 4}, "svm": {"max_iter": 10},
@@ -53,3 +54,30 @@ def test_screening_rules(spark):
     assert [f for f in got if not got[f]["passed"]] and not got["f1"]["passed"] and not got["f3"]["passed"] and got["f4"]["passed"]
     assert got["f1"]["discard_reason"] == "f1_macro 0.2000 < threshold 0.3000"
     assert got["f3"]["discard_reason"] == "Bottom 40% percentile"
+
+
+@pytest.mark.parametrize("kind", sorted(SMALL))
+def test_loaded_equals_fitted(spark, rows, tmp_path, kind):
+    fitted = ML.FITS[kind](rows, 4, **SMALL[kind])
+    ML.save_models(spark, {"m_0123abcd_tfidf": fitted}, str(tmp_path), {"m_0123abcd_tfidf": 150})
+    loaded = ML.load_models(spark, str(tmp_path))["m_0123abcd_tfidf"]
+    assert (loaded.kind, loaded.n_classes, loaded.params, loaded.cuts) == (fitted.kind, 4, fitted.params, fitted.cuts)
+    both = [{r["sample_id"]: tuple(r["p"]) for r in m.predict(rows).collect()} for m in (fitted, loaded)]
+    assert both[0] == both[1]
+    row = ML.load_registry(spark, str(tmp_path)).first()
+    assert row["feature_key"] == "0123abcd_tfidf" and row["n_train"] == 150
+
+
+def test_refit_takes_the_first_best(rows):
+    history = [{"trial": 0, "params": {"alpha": 1.0}, "score": 0.5}, {"trial": 1, "params": {"alpha": 2.0}, "score": 0.7}, {"trial": 2, "params": {"alpha": 3.0}, "score": 0.7}]
+    assert ML.refit_best(rows, "multinomialnb", 3, history).params == {"alpha": 2.0}
+
+
+def test_stored_grader(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, ["good fine text", "bad poor words"][i % 2] + f" w{i % 5}x", i % 2) for i in range(40)], "sample_id bigint, text string, true_ord int")
+    grader = grading.train_bayes(corpus, tfidf.TfidfParams(max_features=50))
+    grading.save_bayes(grader, str(tmp_path / "g"))
+    loaded = grading.load_bayes(spark, str(tmp_path / "g"))
+    assert loaded.params == grader.params
+    both = [{r["sample_id"]: tuple(r["p"]) for r in grading.grade_bayes(g, corpus).collect()} for g in (grader, loaded)]
+    assert both[0] == both[1]

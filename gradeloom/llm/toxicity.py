@@ -74,20 +74,23 @@ def subwords(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     one, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - p.buckets.bit_length() + 1)
     rolling, found, owner = np.zeros(len(codes), np.uint64), [], []
     for n in range(1, p.longest + 1):
         rolling = rolling[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
         if n >= p.shortest:
             inside = word[: len(rolling)] == word[n - 1 :]
-            found.append((rolling[inside] + np.uint64(n)) * one >> shift)
+            found.append(((rolling[inside] + np.uint64(n)) * one >> shift).astype(np.int32))
             owner.append(word[: len(rolling)][inside])
     place = np.arange(len(codes)) - starts[word]
     powers = np.multiply.accumulate(np.concatenate([[1], np.full(max(sizes.max() - 1, 0), 0x100000001B3)]).astype(np.uint64))
-    found.append(np.add.reduceat(codes * powers[place], starts) * one >> shift)
-    owner.append(np.arange(len(words)))
-    return np.concatenate(found).astype(np.int64), np.concatenate(owner)
+    found.append((np.add.reduceat(codes * powers[place], starts) * one >> shift).astype(np.int32))
+    owner.append(np.arange(len(words), dtype=np.int32))
+    return np.concatenate(found), np.concatenate(owner)
+
+
+PART = 1 << 18
 
 
 class _Sums:
@@ -95,15 +98,21 @@ class _Sums:
 
     def __init__(self, target: np.ndarray, source: np.ndarray, n: int, weight: np.ndarray | None = None):
         order = np.argsort(target, kind="stable")
-        self.n, self.source = n, source[order]
+        self.n, self.source = n, source[order].astype(np.int32)
         self.weight = None if weight is None else weight[order][:, None]
-        self.present, self.starts = np.unique(target[order], return_index=True)
+        self.present, starts = np.unique(target[order], return_index=True)
+        # Summed in parts of about PART rows, so that little is copied at once.
+        self.starts = np.append(starts, len(order))
+        self.parts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(order), PART), "left"), len(starts)))
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, rows.shape[1]), np.float32)
-        if len(self.present):
-            taken = rows[self.source] if self.weight is None else rows[self.source] * self.weight
-            out[self.present] = np.add.reduceat(taken, self.starts, axis=0)
+        for a, b in zip(self.parts, self.parts[1:]):
+            own = slice(self.starts[a], self.starts[b])
+            taken = rows[self.source[own]]
+            if self.weight is not None:
+                taken *= self.weight[own]
+            out[self.present[a:b]] = np.add.reduceat(taken, self.starts[a:b] - self.starts[a], axis=0)
         return out
 
 
@@ -115,7 +124,8 @@ def fit(texts: list[str], toxic: list[int], p: Params = Params(), prior: float |
         return Model(np.zeros(p.buckets, np.float32), -30.0 if rate == 0 else 30.0, p)
     number: dict[str, int] = {}
     bags = [Counter(words_of(t)) for t in texts]
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    n_docs = len(bags)
+    doc = np.repeat(np.arange(n_docs), [len(b) for b in bags])
     word = np.array([number.setdefault(w, len(number)) for b in bags for w in b])
     share = np.array([k / (b.total() + p.pad) for b in bags for k in b.values()], np.float32)
     gram, owner = subwords(list(number), p)
@@ -128,8 +138,9 @@ def fit(texts: list[str], toxic: list[int], p: Params = Params(), prior: float |
         own = [gram[order[ends[k] - int(size[k]) : ends[k]]] for k in (number[w] for w in b)]
         if own:
             in_docs[np.unique(np.concatenate(own))] += 1
+    del order, ends
     known = in_docs >= p.least_docs
-    row_of = np.cumsum(known) - 1
+    row_of = (np.cumsum(known) - 1).astype(np.int32)
     use = known[gram]
     gram, owner, n_rows = row_of[gram[use]], owner[use], int(known.sum())
 
@@ -142,7 +153,8 @@ def fit(texts: list[str], toxic: list[int], p: Params = Params(), prior: float |
     weight = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)], np.float32)[y] / len(y)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w)]
 
-    of_words, of_docs = _Sums(owner, gram, len(number)), _Sums(doc, word, len(bags), share)
+    del bags
+    of_words, of_docs = _Sums(owner, gram, len(number)), _Sums(doc, word, n_docs, share)
     to_words, to_rows = _Sums(word, doc, len(number), share), _Sums(gram, owner, n_rows)
     for epoch in range(1, p.epochs + 1):
         words = of_words(e) / size[:, None]

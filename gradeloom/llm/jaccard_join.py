@@ -20,7 +20,8 @@ as one where there are fewer words). Two documents link when
    laid out as pairs of blocks, so that none grows with its group.
 4. In a tile, hashed bitmaps bound the overlap of two sets from above: of the
    bits that A has and B lacks, each stands for an element of A that is not in
-   B. What passes is intersected exactly as sorted arrays. Sets already linked
+   B. Bitmaps of 2048 bits travel first; only sets with a partner that the bounds
+   leave possible are read, and intersected exactly as sorted arrays. Sets already linked
    through others are not compared again: a tile returns a spanning forest, not
    all pairs.
 5. Classes are the connected components of the returned links, found by
@@ -107,7 +108,7 @@ def _short(key: bytes) -> int:
 
 
 def _keys(k: int):
-    names = ["id", "n_shingles", "key", "short_key", "block", "counts"]
+    names = ["id", "n_shingles", "key", "short_key", "signature", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch = _WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
@@ -117,11 +118,11 @@ def _keys(k: int):
             keys = [set_key(s) for s in sets]
             sketch += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=len(sketch))
             ids, n = batch.column("id"), len(sets)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([_short(key) for key in keys], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([_short(key) for key in keys], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if ids is not None:
             m = SKETCH_BLOCKS
             parts = [part.astype(np.int64).tobytes() for part in np.split(sketch, m)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -258,19 +259,18 @@ def links_in_tile(sets: list[np.ndarray], threshold: int = THRESHOLD, left: np.n
                 partner = j
         at = at[component[at] != component[i]]
         for at in _parts(at):
-            mine, theirs = maps[i], maps[at]
-            bound = np.minimum(size[i] - np.bitwise_count(mine & ~theirs).sum(axis=1), size[at] - np.bitwise_count(theirs & ~mine).sum(axis=1))
+            bound = _bound(size[i], maps[i], size[at], maps[at])
             fits = (100 + threshold) * bound >= threshold * (size[i] + size[at])
-            hopeful = at[fits][np.argsort(-bound[fits], kind="stable")]
-            while len(hopeful):
-                j = int(hopeful[0])
-                hopeful = hopeful[1:]
+            rest = at[fits][np.argsort(-bound[fits], kind="stable")]
+            while len(rest):
+                j = int(rest[0])
+                rest = rest[1:]
                 if component[j] == component[i]:
                     continue
                 if linked_sets(ranked[i], ranked[j], threshold):
                     out.append((int(order[i]), int(order[j])))
                     component[component == component[i]] = component[j]
-                    hopeful, partner = hopeful[component[hopeful] != component[j]], j
+                    rest, partner = rest[component[rest] != component[j]], j
     return out
 
 
@@ -279,6 +279,58 @@ def _parts(at: np.ndarray, most: int = 4096) -> Iterator[np.ndarray]:
         yield at[k : k + most]
 
 
+def hopeful(size: np.ndarray, maps: np.ndarray, threshold: int = THRESHOLD, left: np.ndarray | None = None) -> np.ndarray:
+    """Which sets of a tile have another one whose size and bitmap leave a link possible."""
+    order = np.argsort(size, kind="stable")
+    size, maps = size[order], maps[order]
+    side = None if left is None else left[order]
+    found = np.zeros(len(size), bool)
+    for i in range(1, len(size)):
+        first = int(np.searchsorted(size, -(-threshold * size[i] // 100), "left"))
+        for at in _parts(np.arange(first, i)):
+            if side is not None:
+                at = at[side[at] != side[i]]
+            fits = at[(100 + threshold) * _bound(size[i], maps[i], size[at], maps[at]) >= threshold * (size[i] + size[at])]
+            found[fits] = True
+            found[i] |= len(fits) > 0
+    out = np.zeros(len(size), bool)
+    out[order] = found
+    return out
+
+
+def _bound(size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The overlap is at most this: each bit that only one set has stands for an element that the other lacks."""
+    return np.minimum(size - np.bitwise_count(bits & ~others).sum(axis=1), sizes - np.bitwise_count(others & ~bits).sum(axis=1))
+
+
+def _screening(threshold: int):
+    """Takes rows in tile order, gives those of the sets that may link in their tile, without signature."""
+    names = ["leader", "band", "one", "two", "rep", "key", "half"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            maps = np.frombuffer(b"".join(r[8] for r in rows), np.uint64).reshape(len(rows), BITMAP_WORDS)
+            left = None if now[2] == now[3] else np.array([r[6] for r in rows])
+            keep = [r for r, h in zip(rows, hopeful(np.array([r[7] for r in rows]), maps, threshold, left)) if h]
+            if keep:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in keep], t) for k, t in enumerate(types)], names)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "size", "signature"))):
+                if row[:4] != now:
+                    yield from ended()
+                    now, rows = row[:4], []
+                rows.append(row)
+        yield from ended()
+
+    return run
+
+
 def _linking(k: int, threshold: int):
     """Takes rows in tile order (leader, band, one, two, rep, key, half, text), gives links between representatives."""
 
@@ -357,7 +409,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     spark = docs.sparkSession
     ship_code(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = written(texts.mapInArrow(_keys(k), "id bigint, n_shingles bigint, key binary, short_key bigint, block int, counts binary"), "join-keys")
+    found = written(texts.mapInArrow(_keys(k), "id bigint, n_shingles bigint, key binary, short_key bigint, signature binary, block int, counts binary"), "join-keys")
     keyed = found.filter("block is null").drop("block", "counts")
     parts = found.filter("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block")
     sketch = parts.mapInArrow(_adding, "block int, counts binary").collect()  # 2 ** SKETCH_BITS counters
@@ -365,24 +417,28 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     shingles = keyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * (100 - threshold) // 100 // POSTINGS_A_TASK)
 
-    reps = keyed.filter("n_shingles > 0 and id is not null").groupBy("key", "short_key").agg(F.min("id").alias("rep"))
+    reps = keyed.filter("n_shingles > 0 and id is not null").groupBy("key", "short_key").agg(
+        F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")
+    )
     postings = texts.filter("id is not null").mapInArrow(_prefixes(shared, k, threshold), "token bigint, short_key bigint, size int")
     members = postings.repartition(tasks, "token").mapInArrow(_tiling(threshold), "leader bigint, band bigint, short_key bigint").distinct()
     members = gathered(written(members, "join-meetings"))
-    members = written(members.join(reps, "short_key").select("leader", "band", "rep", "key"), "join-tiles")
+    members = written(members.join(reps, "short_key").select("leader", "band", "rep", "key", "size", "signature"), "join-tiles")
 
     # Large tiles become pairs of blocks.
     blocks = members.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / tile_sets).cast("int").alias("blocks"))
     placed = members.join(blocks, ["leader", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two")))
-    laid = placed.select("rep", "key", "leader", "band", "block", F.inline(pairs)).withColumn("half", F.col("block") == F.col("one"))
+    laid = placed.select("rep", "key", "size", "signature", "leader", "band", "block", F.inline(pairs)).withColumn("half", F.col("block") == F.col("one")).drop("block")
+    tile = ["leader", "band", "one", "two"]
+    laid = laid.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_screening(threshold), "leader bigint, band bigint, one int, two int, rep bigint, key binary, half boolean")
     wanted = laid.groupBy("rep").agg(F.collect_list(F.struct("leader", "band", "one", "two", "key", "half")).alias("tiles"))
     source = texts.join(wanted, texts["id"] == wanted["rep"]).select("rep", "text", F.inline("tiles"))
-    tiles = source.repartition("leader", "band", "one", "two").sortWithinPartitions("leader", "band", "one", "two")
+    tiles = source.repartition(*tile).sortWithinPartitions(*tile)
     edges = tiles.mapInArrow(_linking(k, threshold), "a bigint, b bigint")
     found_components = components(edges)
     classes = reps.join(found_components, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return keyed.join(classes, "key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return keyed.drop("signature").join(classes, "key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,6 +22,8 @@ def local_session(cores: int = 8, name: str = "gradeloom", shuffle_partitions: i
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "4m")  # small files still keep all cores busy
+        .config("spark.sql.files.openCostInBytes", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(SHARED_DIR_KEY, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="gradeloom-")
     spark.conf.set(SHARED_DIR_KEY, made)

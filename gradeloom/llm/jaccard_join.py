@@ -15,8 +15,8 @@ as one where there are fewer words). Two documents link when
 3. Sets that meet at a shingle and whose sizes lie in the same or in
    neighbouring bands form a tile. Bands are as wide as sizes of linked sets can
    differ, and shingles with the same first set share their tile, so a group
-   of near copies meets in few tiles; a tile whose leader meets a smaller one in
-   another tile moves there as a whole. Tiles with more than ``tile_sets`` sets are
+   of near copies meets in few tiles; where sets pass the bitmaps, a tile whose leader
+   meets a smaller one in another tile moves there as a whole. Tiles with more than ``tile_sets`` sets are
    laid out as pairs of blocks, so that none grows with its group.
 4. In a tile, hashed bitmaps bound the overlap of two sets from above: of the
    bits that A has and B lacks, each stands for an element of A that is not in
@@ -279,20 +279,31 @@ def _parts(at: np.ndarray, most: int = 4096) -> Iterator[np.ndarray]:
         yield at[k : k + most]
 
 
-def hopeful(size: np.ndarray, maps: np.ndarray, threshold: int = THRESHOLD, left: np.ndarray | None = None) -> np.ndarray:
-    """Which sets of a tile have another one whose size and bitmap leave a link possible."""
+def hopeful(size: np.ndarray, maps: np.ndarray, threshold: int = THRESHOLD, left: np.ndarray | None = None, rows: int = 512) -> np.ndarray:
+    """Which sets of a tile have another one whose size and bitmap leave a link possible; compares blocks of ``rows`` sets."""
     order = np.argsort(size, kind="stable")
     size, maps = size[order], maps[order]
     side = None if left is None else left[order]
+    own = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)  # elements that share a bit with another of the set
+    bits = lambda part: np.unpackbits(maps[part].view(np.uint8), axis=1).astype(np.float32)
     found = np.zeros(len(size), bool)
-    for i in range(1, len(size)):
-        first = int(np.searchsorted(size, -(-threshold * size[i] // 100), "left"))
-        for at in _parts(np.arange(first, i)):
+    for a in range(0, len(size), rows):
+        one = slice(a, a + rows)
+        ones = bits(one)
+        for b in range(a, len(size), rows):
+            two = slice(b, b + rows)
+            if 100 * size[one][-1] < threshold * size[two][0]:
+                break
+            # The bound of _bound: bits that both have, and elements behind shared bits.
+            both = ones @ (ones if a == b else bits(two)).T
+            bound = both + np.minimum(own[one][:, None], own[two])
+            fits = ((100 + threshold) * bound >= threshold * (size[one][:, None] + size[two])) & (100 * size[one][:, None] >= threshold * size[two])
+            if a == b:
+                fits &= np.triu(np.ones_like(fits), 1)
             if side is not None:
-                at = at[side[at] != side[i]]
-            fits = at[(100 + threshold) * _bound(size[i], maps[i], size[at], maps[at]) >= threshold * (size[i] + size[at])]
-            found[fits] = True
-            found[i] |= len(fits) > 0
+                fits &= side[one][:, None] != side[two]
+            found[one] |= fits.any(axis=1)
+            found[two] |= fits.any(axis=0)
     out = np.zeros(len(size), bool)
     out[order] = found
     return out
@@ -304,8 +315,8 @@ def _bound(size: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray) -
 
 
 def _screening(threshold: int):
-    """Takes rows in tile order, gives those of the sets that may link in their tile, without signature."""
-    names = ["leader", "band", "one", "two", "rep", "key", "half"]
+    """Takes rows in tile order, gives ``(leader, band, short_key)`` of the sets that may link in their tile."""
+    names = ["leader", "band", "one", "two", "short_key", "half", "size", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -313,15 +324,15 @@ def _screening(threshold: int):
         def ended() -> Iterator[pa.RecordBatch]:
             if len(rows) < 2:
                 return
-            maps = np.frombuffer(b"".join(r[8] for r in rows), np.uint64).reshape(len(rows), BITMAP_WORDS)
-            left = None if now[2] == now[3] else np.array([r[6] for r in rows])
-            keep = [r for r, h in zip(rows, hopeful(np.array([r[7] for r in rows]), maps, threshold, left)) if h]
+            maps = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), BITMAP_WORDS)
+            left = None if now[2] == now[3] else np.array([r[5] for r in rows])
+            keep = [r for r, h in zip(rows, hopeful(np.array([r[6] for r in rows]), maps, threshold, left)) if h]
             if keep:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in keep], t) for k, t in enumerate(types)], names)
+                columns = [pa.array([r[k] for r in keep], pa.int64()) for k in (0, 1, 4)]
+                yield pa.RecordBatch.from_arrays(columns, ["leader", "band", "short_key"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "size", "signature"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if row[:4] != now:
                     yield from ended()
                     now, rows = row[:4], []
@@ -394,6 +405,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 # ---------------------------------------------------------------------- operator
 
 
+def laid_out(members: DataFrame, tile_sets: int) -> DataFrame:
+    """Tiles as pairs of blocks of about ``tile_sets`` sets: ``leader, band, one, two, short_key, half``; ``half``: in the first block."""
+    blocks = members.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / tile_sets).cast("int").alias("blocks"))
+    placed = members.join(blocks, ["leader", "band"]).withColumn("block", F.pmod(F.xxhash64("short_key"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two")))
+    laid = placed.select("leader", "band", "short_key", "block", F.inline(pairs))
+    return laid.withColumn("half", F.col("block") == F.col("one")).drop("block")
+
+
 def gathered(members: DataFrame, hops: int = HOPS) -> DataFrame:
     """Fewer tiles with the same sets together: a tile goes where its leader meets a smaller one, with all its sets."""
     for _ in range(hops):
@@ -422,16 +442,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     )
     postings = texts.filter("id is not null").mapInArrow(_prefixes(shared, k, threshold), "token bigint, short_key bigint, size int")
     members = postings.repartition(tasks, "token").mapInArrow(_tiling(threshold), "leader bigint, band bigint, short_key bigint").distinct()
-    members = gathered(written(members, "join-meetings"))
-    members = written(members.join(reps, "short_key").select("leader", "band", "rep", "key", "size", "signature"), "join-tiles")
-
-    # Large tiles become pairs of blocks.
-    blocks = members.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / tile_sets).cast("int").alias("blocks"))
-    placed = members.join(blocks, ["leader", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two")))
-    laid = placed.select("rep", "key", "size", "signature", "leader", "band", "block", F.inline(pairs)).withColumn("half", F.col("block") == F.col("one")).drop("block")
     tile = ["leader", "band", "one", "two"]
-    laid = laid.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_screening(threshold), "leader bigint, band bigint, one int, two int, rep bigint, key binary, half boolean")
+    signed = laid_out(written(members, "join-meetings"), tile_sets).join(reps.select("short_key", "size", "signature"), "short_key")
+    screened = signed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_screening(threshold), "leader bigint, band bigint, short_key bigint")
+    members = gathered(written(screened.distinct(), "join-meetings"))
+    laid = laid_out(members, tile_sets).join(reps.select("short_key", "rep", "key"), "short_key")
     wanted = laid.groupBy("rep").agg(F.collect_list(F.struct("leader", "band", "one", "two", "key", "half")).alias("tiles"))
     source = texts.join(wanted, texts["id"] == wanted["rep"]).select("rep", "text", F.inline("tiles"))
     tiles = source.repartition(*tile).sortWithinPartitions(*tile)

@@ -94,9 +94,10 @@ def classes_of_files(spark: SparkSession, path: str, schema: StructType | None =
     rows = _keyed(spark.read.schema(stored).parquet(path), id_col, text_col, digest)
 
     # Full bytes on hits. Equal smallest and largest bytes mean that all are equal.
+    # They are combined before the shuffle: a text that many rows share is one row per task.
     hits = state.filter("n_rows > 1").select("digest")
-    bytes_of = rows.select("digest", F.col("text").cast("binary").alias("bytes")).join(hits, "digest", "left_semi")
-    ends = bytes_of.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+    bytes_of = rows.select("digest", F.col("text").cast("binary").alias("bytes"))
+    ends = bytes_of.groupBy("digest").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).join(hits, "digest", "left_semi")
     unequal = written(ends.filter("low <> high").select("digest"), "exact-dedup-unequal")
     found = rows.select("id", "locator", "digest").join(state, "digest")
     if not unequal.isEmpty():

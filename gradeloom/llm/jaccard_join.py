@@ -53,6 +53,7 @@ THRESHOLD = 75
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 16
 BITMAP_WORDS = 32
+LINK_WORDS = 256  # where the sets are at hand, wide bitmaps leave few intersections that fail
 TILE_SETS = 2000
 HOPS = 3
 POSTINGS_A_TASK = 2_000_000
@@ -220,8 +221,8 @@ def _tiling(threshold: int):
 # ------------------------------------------------------------ pass 3: in a tile
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, bool)
+def bitmap(s: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+    bits = np.zeros(words * 64, bool)
     bits[(s >> np.uint64(7)) % np.uint64(len(bits))] = True
     return np.packbits(bits).view(np.uint64)
 
@@ -241,7 +242,7 @@ def links_in_tile(sets: list[np.ndarray], threshold: int = THRESHOLD, left: np.n
     order = np.argsort(size, kind="stable")
     size, ranked = size[order], [sets[i] for i in order]
     side = None if left is None else left[order]
-    maps = np.stack([bitmap(s) for s in ranked])
+    maps = np.stack([bitmap(s, LINK_WORDS) for s in ranked])
     component, partner = np.arange(n), 0
     out: list[tuple[int, int]] = []
     for i in range(1, n):

@@ -416,10 +416,13 @@ def laid_out(members: DataFrame, tile_sets: int) -> DataFrame:
 
 
 def gathered(members: DataFrame, hops: int = HOPS) -> DataFrame:
-    """Fewer tiles with the same sets together: a tile goes where its leader meets a smaller one, with all its sets."""
+    """Fewer tiles with the same sets together: a tile goes where its leader meets a smaller one, with all its sets.
+
+    A leader is a member of its own tile only if the screening left it there; a tile whose leader meets none stays.
+    """
     for _ in range(hops):
         parents = members.groupBy(F.col("short_key").alias("leader"), "band").agg(F.min("leader").alias("parent"))
-        moved = members.join(parents, ["leader", "band"]).select(F.col("parent").alias("leader"), "band", "short_key")
+        moved = members.join(parents, ["leader", "band"], "left").select(F.least("parent", "leader").alias("leader"), "band", "short_key")
         members = written(moved.distinct(), "join-meetings")
     return members
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.llm import exact_dedup, jaccard_join, suffix_dedup
-from tests.llm.conftest import texts
+from tests.llm.conftest import invented, texts
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -101,6 +101,26 @@ def test_jaccard_join_on_many_near_copies(spark):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_join_with_passages_of_dissimilar_documents(spark):
+    """Near copies whose passage others quote link, also where the smallest key at a shingle is that of a document like none."""
+    rows = []
+    for g in range(12):
+        passage, body = invented(1000 + g, 30).split(), invented(2000 + g, 90).split()
+        for copy in range(3):
+            rows.append((len(rows), " ".join(body[:40] + passage + body[40:] + [f"end{copy}"])))
+        for other in range(8):
+            rows.append((len(rows), " ".join(invented(3000 + 8 * g + other, 90).split()[:45] + passage + invented(4000 + 8 * g + other, 45).split())))
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_gathered_keeps_all_members(spark):
+    """Tiles whose leader is no member stay, and sets that share a tile share one afterwards."""
+    tiles = [(1, 0, 5), (1, 0, 6), (5, 0, 5), (5, 0, 7), (6, 1, 7), (6, 1, 8)]
+    got = {tuple(r) for r in jaccard_join.gathered(spark.createDataFrame(tiles, "leader bigint, band bigint, short_key bigint")).collect()}
+    assert got == {(1, 0, 5), (1, 0, 6), (1, 0, 7), (6, 1, 7), (6, 1, 8)}
+
+
 def test_overlap_bound_is_an_upper_bound():
     r = np.random.default_rng(3)
     for _ in range(50):

@@ -52,9 +52,9 @@ def stream_resume_check(spark, sf):
     source, sink, check = fresh_path(spark, "arrivals"), fresh_path(spark, "scored"), fresh_path(spark, "scored-checkpoint")
     docs = table(spark, sf, "documents").repartition(4, "doc_id")
     schema = spark.createDataFrame([], DOCS).schema
-    docs.filter("n_chars < 1500").write.parquet(source)
+    docs.filter("coalesce(n_chars, 0) < 1500").write.parquet(source)
     SC.score_new_files(spark, source, schema, _score, sink, check)
-    docs.filter("n_chars >= 1500").write.mode("append").parquet(source)
+    docs.filter("coalesce(n_chars, 0) >= 1500").write.mode("append").parquet(source)
     SC.score_new_files(spark, source, schema, _score, sink, check)
     SC.score_new_files(spark, source, schema, _score, sink, check)  # nothing new
     return rounded_out(spark.read.parquet(sink))

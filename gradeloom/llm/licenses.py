@@ -7,6 +7,11 @@ of at least t is only possible for sizes |B| t / (2 - t) <= |A| <= |B| (2 - t) /
 Each template is listed under all sizes it admits, and a part meets only the
 templates listed under its own size.
 
+Runs of consecutive lines, so of paragraphs too, are compared as well: a run that
+matches shares at least |B| t / (2 - t) bigrams with the template, so only texts that
+share as many are looked at, and there each run of an admitted size is. A run that
+overlaps a run closer to another licence is left out (ties: the first by name stays).
+
 Everything is DataFrame code. The list of templates is a parameter; it is sent to
 all tasks, so it is refused when it is longer than ``MOST_TEMPLATES``. A part
 takes the template with the largest coefficient (ties: the first by name). Only
@@ -36,6 +41,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -68,8 +74,46 @@ def admitted(size: Column, least: float) -> tuple[Column, Column]:
     return low, high
 
 
+def runs_in_rows(rows: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """``id, row, license_id, dice`` of the runs of lines that match; ``rows``: ``id, row, text``, normalised."""
+    words = lambda t: F.filter(F.split(t, "[ \n]+"), lambda w: w != "")
+    every = let(words(F.col("text")), lambda w: F.transform(int_range(1, F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i))))
+    union = known.agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("union"))
+    low, high = admitted(F.size("own"), least)
+    hits = rows.withColumn("every", every).crossJoin(F.broadcast(union)).withColumn("hits", F.array_intersect("every", "union")).filter(F.size("hits") > 0).drop("union")
+    near = hits.crossJoin(F.broadcast(known)).filter(F.size(F.array_intersect("hits", "own")) >= low)
+
+    # Words before each line, and the last bigram of each line; of each bigram its place, the last place before with the same one, and whether the template has it.
+    counts = F.transform(F.split("text", "\n"), lambda line: F.size(words(line)))
+    sums = F.aggregate(counts, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    by_gram = F.array_sort(F.transform("every", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    before = lambda b: F.transform(b, lambda x, k: F.struct(
+        x["i"].alias("i"), F.coalesce(F.when((k > 0) & (F.get(b, F.greatest(k - 1, F.lit(0)))["g"] == x["g"]), F.get(b, F.greatest(k - 1, F.lit(0)))["i"]), F.lit(-1)).alias("prev"), F.array_contains("own", x["g"]).alias("hit"),
+    ))
+    placed = near.select("id", "row", "license_id", "own", F.array_distinct(sums).alias("edges"), F.array_sort(let(by_gram, before)).alias("places"))
+    begun = placed.select("*", F.explode("edges").alias("start"))
+    zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(-1).alias("stop"))
+
+    def step(acc, x):
+        new = x["prev"] < F.col("start")
+        a, c = acc["a"] + F.when(new, 1).otherwise(0), acc["c"] + F.when(new & x["hit"], 1).otherwise(0)
+        dice = 2 * c / (a + F.size("own"))
+        better = (a >= low) & (a <= high) & (dice > acc["dice"]) & F.array_contains("edges", x["i"] + 2)
+        return F.struct(a.alias("a"), c.alias("c"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, x["i"]).otherwise(acc["stop"]).alias("stop"))
+
+    best = begun.withColumn("best", F.aggregate(F.slice("places", F.col("start") + 1, F.greatest(F.size("places"), F.lit(1))), zero, step))
+    found = best.filter(F.col("best.dice") >= least - 1e-12).select("id", "row", F.struct("license_id", "start", "best.stop", "best.dice").alias("run"))
+    runs = found.groupBy("id", "row").agg(F.collect_list("run").alias("runs"))
+    closer = lambda x, y: (y["license_id"] != x["license_id"]) & (y["start"] <= x["stop"]) & (x["start"] <= y["stop"]) & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["license_id"] < x["license_id"])))
+    stay = let(F.col("runs"), lambda all_: F.filter(all_, lambda x: ~F.exists(all_, lambda y: closer(x, y))))
+    return runs.select("id", "row", F.inline(stay)).select("id", "row", "license_id", "dice")
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, license_id, dice`` (the largest), ``n_parts``: one row per document and licence that a part of it matches."""
+    """``id, license_id, dice`` (the largest), ``n_parts``: one row per document and licence that a part of it matches.
+
+    ``n_parts`` counts texts, paragraphs and lines; it is 1 where only a run of several lines matches.
+    """
     require(docs, id_col, text_col)
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"{len(templates)} templates; at most {MOST_TEMPLATES}")
@@ -91,4 +135,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
     best = matches.groupBy("id", "row", "part").agg(F.max("dice").alias("top"), F.collect_set(F.struct("dice", "license_id")).alias("all"))
     name = F.array_min(F.transform(F.filter("all", lambda m: m["dice"] == F.col("top")), lambda m: m["license_id"]))
     best = best.select("id", name.alias("license_id"), "top")
-    return best.groupBy("id", "license_id").agg(F.max("top").alias("dice"), F.count(F.lit(1)).alias("n_parts"))
+    runs = runs_in_rows(rows, known, least)
+    both = best.select("id", "license_id", "top", F.lit(1).alias("n")).unionByName(runs.select("id", "license_id", F.col("dice").alias("top"), F.lit(0).alias("n")))
+    return both.groupBy("id", "license_id").agg(F.max("top").alias("dice"), F.greatest(F.sum("n"), F.lit(1)).cast("bigint").alias("n_parts"))

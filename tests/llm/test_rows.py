@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -264,3 +265,22 @@ def test_licenses(spark, nothing):
     assert got[1, "MIT"] == 1.0 and got[2, "MIT"] == 1.0
     assert licenses.scan(nothing).count() == 0
     assert licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=(("x", ""),)).count() == 0
+
+
+def test_licenses_over_several_paragraphs(spark):
+    """Full notices in longer files, in their usual paragraphs and wrapped lines."""
+    full = {n: max((t for m, t in licenses.TEMPLATES if m == n), key=len) for n in ("MIT", "GPL-3.0", "BSD-3-Clause")}
+    assert "Neither the name" in full["BSD-3-Clause"]
+    code = "\n".join(invented(i, 12) for i in range(15))
+    wrapped = lambda t: "\n".join(textwrap.wrap(t, 70))
+    cut = {"MIT": ("The above", "THE SOFTWARE IS"), "GPL-3.0": ("This program is distributed", "You should"), "BSD-3-Clause": ("1. Redis", "2. Redis", "3. Neither", "THIS SOFTWARE")}
+    rows = []
+    for k, (name, text) in enumerate(full.items()):
+        paragraphs = text
+        for at in cut[name]:
+            paragraphs = paragraphs.replace(at, "\n\n" + at, 1)
+        rows.append((2 * k, f"{code}\n\n{paragraphs}\n\n{code}"))
+        rows.append((2 * k + 1, "\n\n".join([code, *map(wrapped, paragraphs.split("\n\n")), code])))
+    got = {(r.id, r.license_id): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got) == {(2 * k + j, n) for k, n in enumerate(full) for j in (0, 1)}
+    assert all(d > 0.99 for d in got.values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, packing, pii, sharding, suffix_dedup, token_counts, toxicity
+from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, mask_search, packing, pii, sharding, suffix_dedup, token_counts, toxicity
 from gradeloom.llm.common import table, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -144,3 +144,24 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_mask_search", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+    sized AS (SELECT r, doc_id, w, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+    whole AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+    asked AS (SELECT DISTINCT item_id, unnest(w) AS term FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark)),
+    counted AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+    weighed AS (
+      SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM counted, whole GROUP BY term, big_n),
+    scored AS (
+      SELECT a.item_id, s.r, s.doc_id, sum(g.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (50 + (50 * s.n * big_n) // big_l))))::BIGINT AS score
+      FROM asked a JOIN counted c USING (term) JOIN weighed g USING (term) JOIN sized s USING (r), whole
+      GROUP BY a.item_id, s.r, s.doc_id)
+    SELECT item_id, (row_number() OVER by_score)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+    WINDOW by_score AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)
+    QUALIFY row_number() OVER by_score <= 50""")
+def op11_mask_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = mask_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})

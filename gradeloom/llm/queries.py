@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, mask_search, packing, pii, sharding, suffix_dedup, token_counts, toxicity
+from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, mask_search, packing, pii, prefix_trie, sharding, suffix_dedup, token_counts, toxicity
 from gradeloom.llm.common import table, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -165,3 +165,33 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op11_mask_search(spark: SparkSession, sf: str) -> DataFrame:
     found = mask_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})
+
+
+_CRC_STEPS = "list_concat([(-2)::BIGINT], flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: list_concat([ord(substr(c::VARCHAR, i, 1))::BIGINT], list_transform(range(8), lambda k: (-1)::BIGINT)))))"
+_CRC_SQL = f"xor(list_reduce({_CRC_STEPS}, lambda a, x: CASE WHEN a = -2 THEN xor(4294967295, x) WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+
+@query("op13_prefix_trie", f"""
+    WITH turns AS (
+      SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+             {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS t
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT c, list(t ORDER BY p) AS ts, {_CRC_SQL} % 9 AS h FROM turns GROUP BY c),
+    rebuilt AS (
+      SELECT a.c, list_concat(coalesce(b.ts, [])[1:a.h], a.ts[a.h + 1:len(a.ts)]) AS s
+      FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 5),
+    prefixes AS (SELECT c, s[1:d] AS s, d, d = len(s) AS at_end FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+    nodes AS (
+      SELECT s, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE at_end), '') AS ids
+      FROM prefixes GROUP BY s, d),
+    kids AS (SELECT s[1:d - 1] AS s, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+    sums AS (
+      SELECT u.s[1:e] AS s, e AS d, count(*) FILTER (WHERE k IS NULL)::BIGINT AS n_leaves,
+             sum(CASE WHEN u.d > 0 THEN (n - 1) * strlen(u.s[u.d].x) ELSE 0 END)::BIGINT AS saved_tokens
+      FROM (SELECT nodes.s, nodes.d, n, k, unnest(range(0, nodes.d + 1)) AS e FROM nodes LEFT JOIN kids ON nodes.s = kids.s AND nodes.d = kids.d) u GROUP BY ALL)
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, n_leaves, saved_tokens, sha256(n.ids) AS ends_sha256
+    FROM nodes n JOIN sums ON n.s = sums.s AND n.d = sums.d LEFT JOIN kids ON n.s = kids.s AND n.d = kids.d
+    LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.s = n.s[1:n.d - 1]""")
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    found = prefix_trie.nodes(*prefix_trie.rebuilt(table(spark, sf, "conversations")))
+    return found.withColumnsRenamed({"conv": "conv_id", "parent": "parent_conv_id", "n": "n_convs", "children": "n_children", "leaves": "n_leaves", "saved": "saved_tokens", "ends": "ends_sha256"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, mask_search, packing, pii, prefix_trie, sharding, suffix_dedup, token_counts, toxicity
+from gradeloom.llm import contamination, exact_dedup, jaccard_join, licenses, mask_search, packing, pii, prefix_trie, sharding, site_templates, suffix_dedup, token_counts, toxicity
 from gradeloom.llm.common import table, text_or_empty
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -167,6 +167,12 @@ def op11_mask_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})
 
 
+@query("op12_site_templates")
+def op12_site_templates(spark: SparkSession, sf: str) -> DataFrame:
+    found = site_templates.main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select(F.col("record.page_id").alias("page_id"), F.col("record.url").alias("url"), F.col("main").alias("text"), F.char_length("main").cast("bigint").alias("n_chars"))
+
+
 _CRC_STEPS = "list_concat([(-2)::BIGINT], flatten(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: list_concat([ord(substr(c::VARCHAR, i, 1))::BIGINT], list_transform(range(8), lambda k: (-1)::BIGINT)))))"
 _CRC_SQL = f"xor(list_reduce({_CRC_STEPS}, lambda a, x: CASE WHEN a = -2 THEN xor(4294967295, x) WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
 

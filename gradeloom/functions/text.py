@@ -44,6 +44,9 @@ def ngrams(tokens: Column, lo: int, hi: int) -> Column:
     def of_length(ws: Column, n: int) -> Column:
         if n == 1:
             return ws
+        if n == 2:
+            pairs = F.greatest(F.size(ws) - 1, F.lit(0))
+            return F.zip_with(F.slice(ws, F.lit(1), pairs), F.slice(ws, F.lit(2), pairs), lambda a, b: F.concat(a, F.lit(" "), b))
         starts = int_range(1, F.size(ws) - (n - 1))
         return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))
 

@@ -1,9 +1,8 @@
-"""Feature tables: joining blocks, cleaning numbers, and the border to MLlib."""
+"""Feature tables: joining blocks and cleaning numbers."""
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.operators.scale import require
 
@@ -60,30 +59,3 @@ def unpivot_features(df: DataFrame, keys: list[str]) -> DataFrame:
 def pivot_features(df: DataFrame, features: list[str], keys: list[str] | None = None) -> DataFrame:
     """Long to wide for a short, explicit feature list; absent is 0."""
     return df.groupBy(*(keys or ["sample_id"])).pivot("feature", features).agg(F.max("value")).fillna(0.0)
-
-
-def feature_index(df: DataFrame) -> DataFrame:
-    """``(feature, idx)`` of the distinct names, idx by name order."""
-    names = df.select("feature").distinct()
-    return names.withColumn("idx", (F.row_number().over(W.orderBy("feature")) - 1).cast("int"))
-
-
-def as_vectors(df: DataFrame, size: int, keys: list[str] | None = None) -> DataFrame:
-    """``(keys, features)`` with sparse MLlib vectors from ``(keys, idx, value)``.
-
-    The vector is put together by JVM functions: its stored form is written as
-    JSON and read back under the vector type.
-    """
-    keys = keys or ["sample_id"]
-    entries = F.sort_array(F.collect_list(F.struct("idx", "value")))
-    packed = df.filter(F.col("value") != 0).groupBy(*keys).agg(entries.alias("entries"))
-    stored = F.struct(
-        F.struct(
-            F.lit(0).cast("tinyint").alias("type"),
-            F.lit(size).alias("size"),
-            F.col("entries.idx").alias("indices"),
-            F.col("entries.value").alias("values"),
-        ).alias("v")
-    )
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return packed.select(*keys, F.from_json(F.to_json(stored), schema)["v"].alias("features"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from gradeloom.functions.lets import let
 from gradeloom.functions.text import ngrams, term_frequencies, word_tokens
 from gradeloom.operators.scale import bounded, require, skew_join, top_n_per_group
+from gradeloom.session import fresh_path
 
 
 @dataclass(frozen=True)
@@ -42,7 +47,16 @@ def document_terms(corpus: DataFrame, ngram_range=(1, 1), carry: tuple[str, ...]
     """``(sample_id, carry..., term, tf)``, counted inside each row: no shuffle."""
     require(corpus, "sample_id", "text", *carry)
     counted = term_frequencies(ngrams(word_tokens(F.col("text")), *ngram_range))
-    return corpus.select("sample_id", *carry, F.inline(counted))
+    return opened(corpus.select("sample_id", *carry, counted.alias("_counted")), "_counted", "term")
+
+
+def opened(rows: DataFrame, array: str, first: str) -> DataFrame:
+    """One row per structure in ``array``; ``first`` is a field that is never null.
+
+    The outer form keeps the optimizer from asking beforehand, at the price of
+    making the array twice, whether it is empty.
+    """
+    return rows.select(*[c for c in rows.columns if c != array], F.inline_outer(array)).filter(F.col(first).isNotNull())
 
 
 def term_stats(terms: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -60,10 +74,6 @@ def tf_weight(tf: Column, sublinear: bool) -> Column:
     return F.log(tf.cast("double")) + 1.0 if sublinear else tf.cast("double")
 
 
-# Groups with a vocabulary of their own; tables with one row per group are broadcast.
-MAX_GROUPS = 10_000
-
-
 def fit_vocab(corpus: DataFrame, params: TfidfParams = TfidfParams()) -> DataFrame:
     """``(term, df, cf, n_docs, idf, idx)`` with at most ``max_features`` rows."""
     n_docs = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -82,24 +92,74 @@ def normalise(weighted: DataFrame, unit: list[str]) -> DataFrame:
     return weighted.withColumn("value", F.try_divide(F.col("value"), norm))
 
 
-def by_document(corpus: DataFrame) -> DataFrame:
-    """Place documents by id once, so that every per-document step is local."""
-    return corpus.repartition("sample_id")
+# Vocabularies that are looked up inside the row: so many in all, with so many terms together. They are fetched, so both are checked.
+ROW_VOCABS = 64
+ROW_TERMS = 500_000
 
 
-def transform(corpus: DataFrame, vocab: DataFrame, params: TfidfParams = TfidfParams(), placed: bool = False) -> DataFrame:
-    """``(sample_id, idx, term, value)`` for the vocabulary terms of each text.
+@dataclass(frozen=True)
+class RowVocab:
+    """A vocabulary as arrays by position."""
+
+    terms: list[str]
+    idf: np.ndarray
+    sublinear: bool
+
+    def entries(self, tokens: str, column: str):
+        """A step that adds ``column``: (position, value) of the known terms among ``tokens``, of length one together, in order of position.
+
+        Terms are found by the hash table of a count vectorizer; neither texts nor terms leave the row.
+        """
+        model = CountVectorizerModel.from_vocabulary(self.terms or [""], inputCol=tokens, outputCol=f"{column}_counts")
+
+        def add(rows: DataFrame) -> DataFrame:
+            counted = model.transform(rows)
+            counts = F.unwrap_udt(F.col(f"{column}_counts"))
+            idf = F.lit(self.idf if len(self.idf) else np.zeros(1))
+            weighed = F.zip_with(
+                counts["indices"], counts["values"],
+                lambda i, n: F.struct(i.alias("idx"), (tf_weight(n, self.sublinear) * F.get(idf, i)).alias("value")),
+            )
+            square = lambda es: F.sqrt(F.aggregate(es, F.lit(0.0), lambda t, e: t + e["value"] * e["value"]))
+            unit = lambda es: let(square(es), lambda n: F.transform(es, lambda e: F.struct(e["idx"].alias("idx"), F.try_divide(e["value"], n).alias("value"))))
+            return counted.withColumn(column, let(weighed, unit)).drop(f"{column}_counts")
+
+        return add
+
+
+def in_rows(vocab: DataFrame, params: TfidfParams) -> RowVocab:
+    """A fitted vocabulary (at most ``max_features`` rows), in order of position."""
+    found = sorted(vocab.select("idx", "term", "idf").collect())
+    return RowVocab([r["term"] for r in found], np.array([r["idf"] for r in found], np.float64), params.sublinear_tf)
 
-    The texts move once; the vocabulary has at most ``max_features`` rows and is
-    broadcast, and the norms are taken where the texts already are.
-    """
-    docs = corpus if placed else by_document(corpus)
-    terms = document_terms(docs, params.ngram_range)
-    known = bounded(vocab.select("term", "idf", "idx"), params.max_features)
-    weighted = terms.join(known, "term").select(
-        "sample_id", "idx", "term", (tf_weight(F.col("tf"), params.sublinear_tf) * F.col("idf")).alias("value")
-    )
-    return normalise(weighted, ["sample_id"])
+
+def _named(terms: list[str]) -> Column:
+    """A constant array of terms; no term holds the separator."""
+    return F.split(F.lit("\x01".join(terms)), "\x01")
+
+
+def with_entries(corpus: DataFrame, vocab: RowVocab, params: TfidfParams, column: str = "entries") -> DataFrame:
+    """``corpus`` with the TF-IDF entries of each text."""
+    tokens = corpus.withColumn("_tokens", ngrams(word_tokens(F.col("text")), *params.ngram_range))
+    return vocab.entries("_tokens", column)(tokens).drop("_tokens")
+
+
+def transform(corpus: DataFrame, vocab: DataFrame, params: TfidfParams = TfidfParams()) -> DataFrame:
+    """``(sample_id, idx, term, value)`` for the vocabulary terms of each text, without any exchange."""
+    known = in_rows(vocab, params)
+    rows = opened(with_entries(corpus.select("sample_id", "text"), known, params).select("sample_id", "entries"), "entries", "idx")
+    return rows.select("sample_id", "idx", F.get(_named(known.terms), F.col("idx")).alias("term"), "value")
+
+
+def vectors(corpus: DataFrame, vocab: DataFrame, params: TfidfParams = TfidfParams()) -> DataFrame:
+    """``corpus`` without its text but with ``features``, a sparse vector of ``max_features``; written, without any exchange."""
+    rows = with_entries(corpus, in_rows(vocab, params), params)
+    kind, size = F.lit(0).cast("tinyint").alias("type"), F.lit(params.max_features).alias("size")
+    stored = rows.withColumn("features", F.struct(kind, size, F.col("entries.idx").alias("indices"), F.col("entries.value").alias("values"))).drop("text", "entries")
+    path = fresh_path(corpus.sparkSession, "vectors")
+    stored.write.parquet(path)  # a vector's stored form is this structure
+    schema = T.StructType([T.StructField("features", VectorUDT()) if f.name == "features" else f for f in stored.schema.fields])
+    return corpus.sparkSession.read.schema(schema).parquet(path)
 
 
 def fit_grouped(corpus: DataFrame, group: str, params: TfidfParams = TfidfParams()) -> DataFrame:
@@ -107,7 +167,7 @@ def fit_grouped(corpus: DataFrame, group: str, params: TfidfParams = TfidfParams
     require(corpus, group)
     docs = corpus.withColumn("grp", F.col(group).cast("string"))
     sizes = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = term_stats(document_terms(docs, params.ngram_range, ("grp",)), ["grp"]).join(bounded(sizes, MAX_GROUPS), "grp")
+    stats = term_stats(document_terms(docs, params.ngram_range, ("grp",)), ["grp"]).join(sizes, "grp")
     kept = stats.filter((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(float(params.max_df)) * F.col("n_docs")))
     top = top_n_per_group(kept, ["grp"], [F.col("cf").desc(), F.col("term")], params.max_features, ["term"]).drop("rank")
     by_term = W.partitionBy("grp").orderBy("term")  # at most max_features rows per group
@@ -116,25 +176,49 @@ def fit_grouped(corpus: DataFrame, group: str, params: TfidfParams = TfidfParams
     )
 
 
-def transform_grouped(
-    corpus: DataFrame, vocab: DataFrame, params: TfidfParams = TfidfParams(), n_groups: int | None = None
-) -> DataFrame:
+def _units(rows: DataFrame, units: list[tuple[str, RowVocab]]) -> tuple[DataFrame, Column]:
+    """``(sample_id, unit, idx, value)`` for several vocabularies, each with its own column of terms, and the term's name."""
+
+    def numbered(k: int) -> Column:
+        return F.transform(f"_unit{k}", lambda e: F.struct(F.lit(k).alias("unit"), e["idx"].alias("idx"), e["value"].alias("value")))
+
+    for k, (tokens, known) in enumerate(units):
+        rows = known.entries(tokens, f"_unit{k}")(rows)
+    parts = [numbered(k) for k in range(len(units))]
+    found = opened(rows.select("sample_id", F.concat(*parts).alias("entries")), "entries", "unit")
+    names = [F.when(F.col("unit") == k, F.get(_named(known.terms), F.col("idx"))) for k, (_, known) in enumerate(units)]
+    return found, F.coalesce(*names)
+
+
+def _grouped_in_rows(corpus: DataFrame, found: list, params: TfidfParams) -> DataFrame:
+    """One vectorizer per group; a row's entries of all groups follow each other."""
+    by_group: dict[str, list] = {}
+    for r in found:
+        by_group.setdefault(r["grp"], []).append(r)
+    rows = corpus.select("sample_id", "text").withColumn("_tokens", ngrams(word_tokens(F.col("text")), *params.ngram_range))
+    groups, units = sorted(by_group, key=lambda g: (g is not None, g or "")), []
+    for grp in groups:
+        own = sorted(by_group[grp], key=lambda r: r["idx"])
+        units.append(("_tokens", RowVocab([r["term"] for r in own], np.array([r["idf"] for r in own]), params.sublinear_tf)))
+    one, name = _units(rows, units)
+    one = one.withColumn("grp", F.get(F.array(*[F.lit(g).cast("string") for g in groups]), F.col("unit")))
+    return one.select("sample_id", "grp", "idx", F.concat_ws("_", "grp", name).alias("feature"), "value")
+
+
+def transform_grouped(corpus: DataFrame, vocab: DataFrame, params: TfidfParams = TfidfParams()) -> DataFrame:
     """Every text against every group's vocabulary, one unit vector per group.
 
-    With a known number of groups the vocabularies are at most
-    ``n_groups * max_features`` rows and are broadcast if that is small;
-    otherwise the terms are joined in a shuffle that spreads hot terms.
+    The vocabularies are counted first. Up to ``ROW_VOCABS`` groups with ``ROW_TERMS``
+    terms together are looked up inside the row; more are joined to the counted
+    terms in a shuffle that spreads hot terms. Both give the same rows.
     """
-    terms = document_terms(by_document(corpus), params.ngram_range)
-    weights = vocab.select("term", "grp", "idf", "idx")
-    rows = n_groups * params.max_features if n_groups else None
-    small = bounded(weights, rows)
-    if small is weights:
-        packed = weights.groupBy("term").agg(F.collect_list(F.struct("grp", "idf", "idx")).alias("hits"))
-        expected = vocab.groupBy("term").agg(F.sum("df").alias("n_rows"))  # which terms are frequent, without reading texts
-        joined = skew_join(terms, packed, ["term"], ["sample_id"], "inner", counts=expected).select("sample_id", "term", "tf", F.inline("hits"))
-    else:
-        joined = terms.join(small, "term")
+    n_groups, n_terms = vocab.agg(F.count_distinct(F.coalesce("grp", F.lit(""))), F.count(F.lit(1))).first()
+    if 0 < n_groups <= ROW_VOCABS and n_terms <= ROW_TERMS:
+        return _grouped_in_rows(corpus, vocab.select("grp", "idx", "term", "idf").collect(), params)
+    terms = document_terms(corpus, params.ngram_range)
+    packed = vocab.groupBy("term").agg(F.collect_list(F.struct("grp", "idf", "idx")).alias("hits"))
+    expected = vocab.groupBy("term").agg(F.sum("df").alias("n_rows"))  # which terms are frequent, without reading texts
+    joined = skew_join(terms, packed, ["term"], ["sample_id"], "inner", counts=expected).select("sample_id", "term", "tf", F.inline("hits"))
     weighted = joined.select(
         "sample_id", "grp", "idx", F.concat_ws("_", "grp", "term").alias("feature"),
         (tf_weight(F.col("tf"), params.sublinear_tf) * F.col("idf")).alias("value"),
@@ -175,13 +259,18 @@ def fit_sweep(corpus: DataFrame, grid: list[TfidfParams]) -> DataFrame:
 
 
 def transform_sweep(corpus: DataFrame, vocab: DataFrame, grid: list[TfidfParams]) -> DataFrame:
-    """Features of all configurations in one pass over the texts."""
-    lo = min(p.ngram_range[0] for p in grid)
-    hi = max(p.ngram_range[1] for p in grid)
-    known = bounded(vocab.select("term", "feature_set", "idf", "sublinear_tf"), sum(p.max_features for p in grid))
-    terms = document_terms(by_document(corpus), (lo, hi))
-    weight = F.when(F.col("sublinear_tf"), tf_weight(F.col("tf"), True)).otherwise(tf_weight(F.col("tf"), False))
-    weighted = terms.join(known, "term").select(
-        "sample_id", "feature_set", F.col("term").alias("feature"), (weight * F.col("idf")).alias("value")
-    )
-    return normalise(weighted, ["sample_id", "feature_set"])
+    """Features of all configurations in one pass over the texts, without any exchange."""
+    found: dict[str, list] = {p.key: [] for p in grid}
+    for r in vocab.select("feature_set", "term", "idf").collect():  # at most the sum of max_features
+        found[r["feature_set"]].append((r["term"], r["idf"]))
+    rows, units = corpus.select("sample_id", "text"), []
+    for lo, hi in sorted({p.ngram_range for p in grid}):
+        rows = rows.withColumn(f"_tokens{lo}_{hi}", ngrams(word_tokens(F.col("text")), lo, hi))
+    chosen = list({p.key: p for p in grid}.values())
+    for p in chosen:
+        own = sorted(found[p.key])
+        known = RowVocab([t for t, _ in own], np.array([i for _, i in own], np.float64), p.sublinear_tf)
+        units.append((f"_tokens{p.ngram_range[0]}_{p.ngram_range[1]}", known))
+    one, name = _units(rows, units)
+    key = F.get(F.array(*[F.lit(p.key) for p in chosen]), F.col("unit"))
+    return one.select("sample_id", key.alias("feature_set"), name.alias("feature"), "value")

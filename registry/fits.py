@@ -11,15 +11,15 @@ from gradeloom.operators import decide, joins as J, metrics as M, models as ML,
 from gradeloom.plans import grading as G, selection as SEL
 from gradeloom.session import fresh_path, written
 from registry.base import LEVEL_LIST, SAMPLES_SQL, query, rounded_out, samples, table, with_sql
+from registry.tfidf import PAT, TF12_SQL
 
-UNI = TF.TfidfParams(max_features=1000, ngram_range=(1, 1))
+TEXT = TF.TfidfParams()
 N = len(LEVELS)
 
 NB_SQL = (
-    SAMPLES_SQL
+    TF12_SQL
     + """,
-tf AS (SELECT sample_id, term, count(*)::BIGINT AS tf FROM (SELECT sample_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM samples) GROUP BY ALL),
-top AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95::DOUBLE * (SELECT count(*) FROM samples) ORDER BY cf DESC, term LIMIT 1000),
+top AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95::DOUBLE * (SELECT count(*) FROM samples) ORDER BY cf DESC, term LIMIT 5000),
 vocab AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM samples)) / (1.0::DOUBLE + df)) + 1.0 AS idf, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx FROM top),
 feat AS (SELECT sample_id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)) AS v FROM (SELECT sample_id, idx, (ln(tf::DOUBLE) + 1.0) * idf AS w FROM tf JOIN vocab USING (term))),
 sums AS (SELECT true_ord AS ord, idx, sum(v) AS s FROM feat JOIN samples USING (sample_id) GROUP BY ALL),
@@ -36,7 +36,7 @@ cm AS (SELECT true_ord, pred_ord, count(*)::BIGINT AS n FROM graded JOIN samples
 
 def _grader(spark, sf):
     s = samples(spark, sf)
-    return s, G.train_bayes(s, UNI)
+    return s, G.train_bayes(s, TEXT)
 
 
 @query("fit_nb", with_sql(NB_SQL, "SELECT ord, idx, round(lp - ln(1.0 / (m + (SELECT count(*) FROM vocab))), 6) AS weight FROM cells JOIN mass USING (ord)"))
@@ -85,7 +85,7 @@ def text_vectors(spark, sf, docs=None):
     """Sparse TF-IDF vectors with the level as target, stored once for the iterations."""
     s = docs if docs is not None else samples(spark, sf)
     s = s.select("sample_id", "text", F.col("true_ord").alias("ord"))
-    return written(G.training_vectors(s, TF.fit_vocab(s, UNI), UNI), "vectors")
+    return G.training_vectors(s, written(TF.fit_vocab(s, TEXT), "vocab"), TEXT)
 
 
 def dense_vectors(spark, sf):
@@ -154,13 +154,13 @@ def fit_svm(spark, sf):
 @query("fit_gbt", held_out_sql("xgboost", VECTOR_ROWS))
 def fit_gbt(spark, sf):
     train, test = _halves(dense_vectors(spark, sf))
-    return _judge(ML.fit_boosted(train, 10, n_trees=3, depth=3), test, 10, train)
+    return _judge(ML.fit_boosted(train, 10), test, 10, train)
 
 
 @query("fit_gbt_ordinal", held_out_sql("xgboost_ordinal", TEXT_ROWS))
 def fit_gbt_ordinal(spark, sf):
     train, test = _halves(text_vectors(spark, sf))
-    return _judge(ML.fit_boosted_ordinal(train, N, n_trees=5, depth=4), test)
+    return _judge(ML.fit_boosted_ordinal(train, N), test)
 
 
 @query("fit_ordinal", held_out_sql("mord-lr", TEXT_ROWS))
@@ -182,19 +182,19 @@ KINDS = {"multinomialnb": {}, "logistic": {}, "mord-lr": {}}
 def train_all(spark, sf):
     """Every kind on its feature set, stored; the registry as it is read back."""
     vectors = text_vectors(spark, sf)
-    models = ML.train_all({UNI.key + "_tfidf": vectors}, KINDS, N, "documents")
+    models = ML.train_all({TEXT.key + "_tfidf": vectors}, KINDS, N, "documents")
     path = fresh_path(spark, "models")
     ML.save_models(spark, models, path, dict.fromkeys(models, vectors.count()))
     return ML.load_registry(spark, path).drop("cuts")
 
 
-NB_NAME = f"documents_multinomialnb_{UNI.key}_tfidf"
+NB_NAME = f"documents_multinomialnb_{TEXT.key}_tfidf"
 
 
 def stored_graders(spark, sf) -> dict[str, G.BayesGrader]:
     """The grader of the documents, stored and loaded again."""
     path = fresh_path(spark, "graders")
-    G.save_bayes(G.train_bayes(samples(spark, sf), UNI), f"{path}/{NB_NAME}")
+    G.save_bayes(G.train_bayes(samples(spark, sf), TEXT), f"{path}/{NB_NAME}")
     return {NB_NAME: G.load_bayes(spark, f"{path}/{NB_NAME}")}
 
 
@@ -219,8 +219,10 @@ def predict_batch(spark, sf):
 # The same tables, asked for the conversations.
 ASKED_TURNS_SQL = (
     NB_SQL.replace("raw AS (", "asked_raw AS (").split("asked_raw AS (")[0]
-    + """asked AS (SELECT conv_id * 1000 + turn AS sample_id, role AS dataset, coalesce(text, '') AS text FROM conversations),
-atf AS (SELECT sample_id, term, count(*)::BIGINT AS tf FROM (SELECT sample_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM asked) GROUP BY ALL),
+    + f"""asked AS (SELECT conv_id * 1000 + turn AS sample_id, role AS dataset, coalesce(text, '') AS text FROM conversations),
+atoks AS (SELECT sample_id, regexp_extract_all(lower(text), '{PAT}') AS ts FROM asked),
+atf AS (SELECT sample_id, term, count(*)::BIGINT AS tf FROM (
+  SELECT sample_id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS term FROM atoks) GROUP BY ALL),
 afeat AS (SELECT sample_id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)) AS v FROM (SELECT sample_id, idx, (ln(tf::DOUBLE) + 1.0) * idf AS w FROM atf JOIN vocab USING (term))),
 raw AS (SELECT x.sample_id, p.ord, p.log_prior + coalesce(sum(f.v * c.lp), 0) AS score FROM asked x CROSS JOIN prior p LEFT JOIN afeat f ON f.sample_id = x.sample_id LEFT JOIN cells c ON c.ord = p.ord AND c.idx = f.idx GROUP BY x.sample_id, p.ord, p.log_prior),
 graded AS (SELECT sample_id, arg_min(ord, [-score, ord]) AS pred_ord FROM raw GROUP BY sample_id)"""
@@ -235,20 +237,24 @@ def add_test_set(spark, sf):
     return out.groupBy("model", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-TRIALS = ML.draw_params("logistic", 3)
-TRIALS_SQL = ", ".join(f"('embedding', {k}, '{ML.setting_text(t)}', true)" for k, t in enumerate(TRIALS))
+TRIALS = ML.draw_params("logistic", 50)
+TRIALS_SQL = ", ".join(f"({k}, '{ML.setting_text(t)}')" for k, t in enumerate(TRIALS))
 
 
-@query("tune_single", f"SELECT * FROM (VALUES {TRIALS_SQL}) t(feature_set, trial, params, scored) WHERE (SELECT count(*) FROM embeddings) > 0")
+@query("tune_single", f"""SELECT '{TEXT.key}_tfidf' AS feature_set, trial, params, true AS scored, true AS stored FROM (VALUES {TRIALS_SQL}) t(trial, params) WHERE (SELECT count(*) FROM documents) > 0""")
 def tune_single(spark, sf):
-    train, valid = _halves(dense_vectors(spark, sf))
-    history = ML.history_table(spark, "embedding", ML.tune(train, valid, "logistic", 10, TRIALS, _score10))
-    return history.withColumn("scored", F.col("score").between(0, 1)).drop("score")
-
-
-def _score10(predicted):
-    judged = decide.argmax(predicted, levels=[str(k) for k in range(10)]).withColumn("model", F.lit("m")).withColumn("true_ord", F.col("ord"))
-    return float(M.accuracy(M.confusion(judged, ("model",)), ("model",)).first()["accuracy"])
+    """Fifty settings in one descent on the texts; the winner is fitted on all rows, stored, loaded and asked."""
+    vectors = text_vectors(spark, sf)
+    train, valid = _halves(vectors, 0.2)
+    history = ML.tune_together(train, valid, TRIALS)
+    best = ML.best_trial(history)
+    path = fresh_path(spark, "tuned")
+    ML.save_models(spark, {"best": ML.refit_best(vectors, "logistic", N, history)}, path)
+    loaded = ML.load_models(spark, path)["best"]
+    right = loaded.predict(vectors).agg(F.count_if(F.expr("array_position(p, array_max(p)) - 1 = ord")) / F.count(F.lit(1))).first()[0]
+    stored = loaded.params["c"] == best["params"]["c"] and right > 0
+    table_ = ML.history_table(spark, f"{TEXT.key}_tfidf", history)
+    return table_.withColumn("scored", F.col("score").between(0, 1)).withColumn("stored", F.lit(bool(stored))).drop("score")
 
 
 @query("two_stage_selection")
@@ -256,7 +262,6 @@ def two_stage_selection(spark, sf):
     """Screening and tuning over two vocabularies of the documents."""
     s = samples(spark, sf).select("sample_id", "text", F.col("true_ord").alias("ord"))
     sets = {}
-    for params in (TF.TfidfParams(200, (1, 1)), TF.TfidfParams(400, (1, 2))):
-        sets[params.name] = written(G.training_vectors(s, TF.fit_vocab(s, params), params), "vectors")
-    trials = [{"c": 0.5}, {"c": 5.0}]
-    return rounded_out(SEL.two_stage(spark, sets, "logistic", N, trials=trials, top_k=1))
+    for params in (TF.TfidfParams(1000, (1, 1)), TEXT):
+        sets[params.name] = G.training_vectors(s, written(TF.fit_vocab(s, params), "vocab"), params)
+    return rounded_out(SEL.two_stage(spark, sets, "logistic", N, trials=ML.draw_params("logistic", 3), top_k=1))

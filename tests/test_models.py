@@ -5,7 +5,6 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gradeloom.operators import decide, models as ML, tfidf
-from gradeloom.operators.features import as_vectors
 from gradeloom.operators.screening import screen
 from gradeloom.plans import grading
 
@@ -35,10 +34,16 @@ def test_same_seed_same_forest(rows):
     assert a == b
 
 
-def test_sparse_vectors(spark):
-    df = spark.createDataFrame([(1, 4, 0.25), (1, 0, 1e-17), (2, 3, -2.5), (2, 1, 0.0)], "sample_id int, idx int, value double")
-    got = {r["sample_id"]: r["features"] for r in as_vectors(df, 6).collect()}
-    assert got[1] == Vectors.sparse(6, [0, 4], [1e-17, 0.25]) and got[2] == Vectors.sparse(6, [3], [-2.5])
+def test_vectors_without_exchange(spark):
+    corpus = spark.createDataFrame([(1, "one two two", 3), (2, None, 4), (3, "none known", 5)], "sample_id int, text string, ord int")
+    params = tfidf.TfidfParams(max_features=7, ngram_range=(1, 2), min_df=1, max_df=1.0)
+    vocab = tfidf.fit_vocab(corpus.filter("sample_id = 1"), params)
+    got = {r["sample_id"]: r for r in tfidf.vectors(corpus, vocab, params).collect()}
+    rows = {(r["sample_id"], r["idx"]): r["value"] for r in tfidf.transform(corpus, vocab, params).collect()}
+    assert got[2]["features"] == got[3]["features"] == Vectors.sparse(7, [], []) and got[3]["ord"] == 5
+    assert {(1, int(i)): v for i, v in zip(got[1]["features"].indices, got[1]["features"].values)} == rows and len(rows) == 4
+    plan = tfidf.transform(corpus, vocab, params)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_rounding_is_half_even_and_clipped(spark):

@@ -5,8 +5,9 @@ as one where there are fewer words). Two documents link when
 ``100 * |A & B| >= threshold * |A | B|``. The join is exact:
 
 1. Every document's set gets a 128-bit key; equal sets are one class from here
-   on, so a group of copies, however large, is one set. Over all documents a
-   sketch of fixed size counts the shingles.
+   on, so a group of copies, however large, is one set. A sketch counts the shingles of
+   all documents; its cells grow with the bytes of the texts, to a bound, and tasks
+   send theirs compressed.
 2. Shingles are ordered from rare to frequent by the sketch, ties by hash. Two
    sets that link share a shingle among the first ``|A| - ceil(t |A|) + 1`` of
    each in this order; only those are sent out. A shingle that a large share of all
@@ -39,19 +40,22 @@ result has its own columns, so input columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm.common import discard, pieces, require, ship_code, written, written_at
 
 WORDS = 5
 THRESHOLD = 75
-SKETCH_BITS = 20
-SKETCH_BLOCKS = 16
+SKETCH_BITS = (20, 27)  # least and most; a cell is a byte in the tasks and on the driver
+SKETCH_LOAD = 4  # shingles a cell, as far as the most bits allow
+SKETCH_BLOCK = 1 << 18  # cells that one row holds
 BITMAP_WORDS = 32
 LINK_WORDS = 256  # where the sets are at hand, wide bitmaps leave few intersections that fail
 TILE_SETS = 2000
@@ -66,7 +70,7 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _WordHashes(dict):
-    def __init__(self, most: int = 500_000, longest: int = 64):
+    def __init__(self, most: int = 100_000, longest: int = 64):
         super().__init__()
         self.most, self.longest = most, longest
 
@@ -108,40 +112,61 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def _keys(k: int):
+def sketch_bits(n_bytes: int) -> int:
+    """Bits of a cell's number for texts of so many bytes, at about six bytes a shingle."""
+    least, most = SKETCH_BITS
+    return min(max(math.ceil(math.log2(max(n_bytes, 1) / 6 / SKETCH_LOAD)), least), most)
+
+
+def _keys(k: int, bits: int):
     names = ["id", "n_shingles", "key", "short_key", "signature", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch = _WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+        hashes, sketch = _WordHashes(), np.zeros(1 << bits, np.uint8)
         ids = None
         for batch in pieces(batches, "text"):
             sets = [shingle_set(t, hashes, k) for t in batch.column("text").to_pylist()]
             keys = [set_key(s) for s in sets]
-            sketch += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=len(sketch))
+            cells, times = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+            sketch[cells] = np.minimum(sketch[cells] + times, 255)  # a task's count ends there: frequent is frequent
             ids, n = batch.column("id"), len(sets)
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([_short(key) for key in keys], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if ids is not None:
-            m = SKETCH_BLOCKS
-            parts = [part.astype(np.int64).tobytes() for part in np.split(sketch, m)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names)
+            pack = zstandard.ZstdCompressor(level=1).compress
+            for block, part in enumerate(np.split(sketch, len(sketch) // SKETCH_BLOCK)):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([block], pa.int32()), pa.array([pack(part.tobytes())], pa.binary())], names)
 
     return run
 
 
-def _adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            part = np.frombuffer(counts, np.int64)
-            sums[block] = sums[block] + part if block in sums else part
-    yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "counts"])
+def _classing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, counts) sorted by block to each block's frequency classes, six for each doubling."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    now, total = None, None
 
+    def ended() -> pa.RecordBatch:
+        classes = np.minimum(6 * np.log2(1.0 + total), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(classes.tobytes())], pa.binary())], ["block", "classes"])
 
-def _classes(sketch: list) -> np.ndarray:
-    """Frequency class of each cell: 0 up to four times the mean, then one for each doubling."""
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(sketch, key=lambda r: r["block"])]) if sketch else np.zeros(1 << SKETCH_BITS)
-    usual = max(4 * counts.mean(), 16)
-    return np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.uint8)
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts")):
+            if block != now:
+                if now is not None:
+                    yield ended()
+                now, total = block, np.zeros(SKETCH_BLOCK, np.int64)
+            total += np.frombuffer(unpack(counts.as_py()), np.uint8)
+    if now is not None:
+        yield ended()
+
+
+def _classes(sketch: list, bits: int) -> np.ndarray:
+    """Frequency class of each cell."""
+    out = np.zeros(1 << bits, np.uint8)
+    unpack = zstandard.ZstdDecompressor().decompress
+    for r in sketch:
+        out[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(unpack(r["classes"]), np.uint8)
+    return out
 
 
 # -------------------------------------------------- pass 2: prefixes and tiles
@@ -154,6 +179,7 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
 def _prefixes(shared, k: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, frequency = _WordHashes(), shared.value
+        shift = np.uint64(64 - int(math.log2(len(frequency))))
         seen: set[bytes] = set()  # equal sets of this task; the keys of a task, not of the table
         for batch in pieces(batches, "text"):
             tokens, keys, sizes = [], [], []
@@ -163,7 +189,7 @@ def _prefixes(shared, k: int, threshold: int):
                     continue
                 seen.add(key)
                 # The set is sorted by hash, and a stable sort keeps that order in a class.
-                order = np.argsort(frequency[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")
+                order = np.argsort(frequency[s >> shift], kind="stable")
                 first = s[order[: prefix_length(len(s), threshold)]]
                 tokens.append(first)
                 keys.append(np.full(len(first), _short(key), np.int64))
@@ -407,15 +433,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def laid_out(members: DataFrame, tile_sets: int) -> DataFrame:
-    """Tiles as pairs of blocks of about ``tile_sets`` sets: ``leader, band, one, two, short_key, half``; ``half``: in the first block."""
-    blocks = members.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / tile_sets).cast("int").alias("blocks"))
-    placed = members.join(blocks, ["leader", "band"]).withColumn("block", F.pmod(F.xxhash64("short_key"), F.col("blocks")).cast("int"))
+    """Tiles as pairs of blocks of about ``tile_sets`` sets: ``leader, band, one, two, short_key, half``; ``half``: in the first block.
+
+    Only tiles of more than one block are listed, which are few; all others need no look-up of their size.
+    """
+    blocks = members.groupBy("leader", "band").agg(F.ceil(F.count(F.lit(1)) / tile_sets).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = members.join(written(blocks, "join-blocks"), ["leader", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("short_key"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two")))
     laid = placed.select("leader", "band", "short_key", "block", F.inline(pairs))
     return laid.withColumn("half", F.col("block") == F.col("one")).drop("block")
 
 
-def gathered(members: DataFrame, hops: int = HOPS) -> DataFrame:
+def gathered(members: DataFrame, path: str, hops: int = HOPS) -> tuple[DataFrame, str]:
     """Fewer tiles with the same sets together: a tile goes where its leader meets a smaller one, with all its sets.
 
     A leader is a member of its own tile only if the screening left it there; a tile whose leader meets none stays.
@@ -423,8 +453,10 @@ def gathered(members: DataFrame, hops: int = HOPS) -> DataFrame:
     for _ in range(hops):
         parents = members.groupBy(F.col("short_key").alias("leader"), "band").agg(F.min("leader").alias("parent"))
         moved = members.join(parents, ["leader", "band"], "left").select(F.least("parent", "leader").alias("leader"), "band", "short_key")
-        members = written(moved.distinct(), "join-meetings")
-    return members
+        following, new = written_at(moved.distinct(), "join-meetings")
+        discard(members.sparkSession, path)
+        members, path = following, new
+    return members, path
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, threshold: int = THRESHOLD, tile_sets: int = TILE_SETS) -> DataFrame:
@@ -433,11 +465,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     spark = docs.sparkSession
     ship_code(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = written(texts.mapInArrow(_keys(k), "id bigint, n_shingles bigint, key binary, short_key bigint, signature binary, block int, counts binary"), "join-keys")
+    bits = sketch_bits(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    found = written(texts.mapInArrow(_keys(k, bits), "id bigint, n_shingles bigint, key binary, short_key bigint, signature binary, block int, counts binary"), "join-keys")
     keyed = found.filter("block is null").drop("block", "counts")
-    parts = found.filter("block is not null").select("block", "counts").repartition(SKETCH_BLOCKS, "block")
-    sketch = parts.mapInArrow(_adding, "block int, counts binary").collect()  # 2 ** SKETCH_BITS counters
-    shared = spark.sparkContext.broadcast(_classes(sketch))
+    parts = found.filter("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block")
+    sketch = parts.mapInArrow(_classing, "block int, classes binary").collect()  # 2 ** bits bytes at most, compressed
+    shared = spark.sparkContext.broadcast(_classes(sketch, bits))
+    del sketch
     shingles = keyed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * (100 - threshold) // 100 // POSTINGS_A_TASK)
 
@@ -447,15 +481,21 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     postings = texts.filter("id is not null").mapInArrow(_prefixes(shared, k, threshold), "token bigint, short_key bigint, size int")
     members = postings.repartition(tasks, "token").mapInArrow(_tiling(threshold), "leader bigint, band bigint, short_key bigint").distinct()
     tile = ["leader", "band", "one", "two"]
-    signed = laid_out(written(members, "join-meetings"), tile_sets).join(reps.select("short_key", "size", "signature"), "short_key")
+    met, met_path = written_at(members, "join-meetings")
+    shared.unpersist()
+    signed = laid_out(met, tile_sets).join(reps.select("short_key", "size", "signature"), "short_key")
     screened = signed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_screening(threshold), "leader bigint, band bigint, short_key bigint")
-    members = gathered(written(screened.distinct(), "join-meetings"))
+    kept, kept_path = written_at(screened.distinct(), "join-meetings")
+    discard(spark, met_path)
+    members, kept_path = gathered(kept, kept_path)
     laid = laid_out(members, tile_sets).join(reps.select("short_key", "rep", "key"), "short_key")
     wanted = laid.groupBy("rep").agg(F.collect_list(F.struct("leader", "band", "one", "two", "key", "half")).alias("tiles"))
     source = texts.join(wanted, texts["id"] == wanted["rep"]).select("rep", "text", F.inline("tiles"))
     tiles = source.repartition(*tile).sortWithinPartitions(*tile)
-    edges = tiles.mapInArrow(_linking(k, threshold), "a bigint, b bigint")
+    edges, edges_path = written_at(tiles.mapInArrow(_linking(k, threshold), "a bigint, b bigint"), "join-links")
+    discard(spark, kept_path)
     found_components = components(edges)
+    discard(spark, edges_path)
     classes = reps.join(found_components, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return keyed.drop("signature").join(classes, "key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 

@@ -6,10 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.llm import exact_dedup, jaccard_join, suffix_dedup
+from gradeloom.llm.common import written_at
 from tests.llm.conftest import invented, texts
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -117,7 +120,8 @@ def test_jaccard_join_with_passages_of_dissimilar_documents(spark):
 def test_gathered_keeps_all_members(spark):
     """Tiles whose leader is no member stay, and sets that share a tile share one afterwards."""
     tiles = [(1, 0, 5), (1, 0, 6), (5, 0, 5), (5, 0, 7), (6, 1, 7), (6, 1, 8)]
-    got = {tuple(r) for r in jaccard_join.gathered(spark.createDataFrame(tiles, "leader bigint, band bigint, short_key bigint")).collect()}
+    stored = written_at(spark.createDataFrame(tiles, "leader bigint, band bigint, short_key bigint"), "tiles")
+    got = {tuple(r) for r in jaccard_join.gathered(*stored)[0].collect()}
     assert got == {(1, 0, 5), (1, 0, 6), (1, 0, 7), (6, 1, 7), (6, 1, 8)}
 
 
@@ -188,3 +192,20 @@ def test_empty_tables(nothing):
     assert suffix_dedup.removed(nothing).count() == 0
     assert jaccard_join.linked(nothing).count() == 0
     assert exact_dedup.classes(nothing).count() == 0
+
+
+def test_sketch_orders_by_frequency():
+    """Cells hold what all tasks counted, and grow with the bytes of the texts within their bounds."""
+    counts = np.zeros(jaccard_join.SKETCH_BLOCK, np.uint8)
+    counts[:5] = [1, 2, 3, 200, 255]
+    packed = zstandard.ZstdCompressor().compress(counts.tobytes())
+    rows = pa.RecordBatch.from_arrays([pa.array([3, 3], pa.int32()), pa.array([packed, packed], pa.binary())], ["block", "counts"])
+    (out,) = jaccard_join._classing(iter([rows]))
+    classes = jaccard_join._classes(out.to_pylist(), 20)[3 * jaccard_join.SKETCH_BLOCK :][:6].astype(int)
+    assert (np.diff(classes[:5]) > 0).all() and classes[5] == 0
+    assert [jaccard_join.sketch_bits(n) for n in (0, 24 << 22, 1 << 40)] == [20, 22, 27]
+
+
+def test_names_of_the_input_stay(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 10), (2, "a", "y", 20)], "doc_id long, text string, __file string, __row int")
+    assert [tuple(r) for r in exact_dedup.keep_one(rows).collect()] == [(2, "a", "y", 20)]

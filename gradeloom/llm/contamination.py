@@ -17,9 +17,9 @@ candidates, and the rarest one finds the fewest:
    item-sized window of the document are then compared exactly.
 
 The benchmark is a stated query set: the index is sent to the tasks in blocks
-of at most ``block_windows`` windows, and each block runs over all documents, so
-neither driver nor tasks hold more than one block, whatever the benchmark's
-size. Documents are not shuffled; a row depends on nothing but its own text, so
+of at most ``block_windows`` windows, and each block runs over all documents and writes
+what it found before the next one begins, so tasks hold one block and the driver
+two, whatever the benchmark's size. Documents are not shuffled; a row depends on nothing but its own text, so
 neither hot groups nor repeated rows matter, and a lost task is simply repeated.
 
 Defined cases: null and empty texts have no words and no hits; an empty
@@ -185,9 +185,14 @@ def matches(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
     )
     schema = StructType([StructField("record", rows.schema["record"].dataType), StructField("text", StringType()), *FOUND.fields])
     index = index_of(documents, benchmark, text_col, block_windows)
-    blocks = list(_broadcasts(spark, index, block_windows)) or [spark.sparkContext.broadcast([])]
-    for shared in blocks:
-        rows = rows.mapInArrow(_joining(shared), schema)
+    blocks = _broadcasts(spark, index, block_windows)
+    shared = next(blocks, None) or spark.sparkContext.broadcast([])
+    while shared is not None:
+        rows, following = rows.mapInArrow(_joining(shared), schema), next(blocks, None)
+        if following is not None:  # a block's stage ends before the next one's begins
+            rows = written(rows, "contamination-block")
+            shared.unpersist()
+        shared = following
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["end"] - s["start"]))
     return rows.withColumn("n_hit", n_hit)
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from gradeloom.llm.common import fresh_path, require, text_or_empty, written, written_at
+from gradeloom.llm.common import free_name, fresh_path, require, text_or_empty, written, written_at
 
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -126,6 +126,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     spark = docs.sparkSession
     rows, path = written_at(docs, "exact-dedup-rows")
     found = classes_of_files(spark, path, rows.schema, id_col, text_col, digest).filter("kept")
-    stay = found.select(F.col("locator.file").alias("__file"), F.col("locator.row").alias("__row"))
-    at = rows.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
-    return at.join(stay, ["__file", "__row"], "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    file, row = free_name(docs, "__file"), free_name(docs, "__row")
+    stay = found.select(F.col("locator.file").alias(file), F.col("locator.row").alias(row))
+    at = rows.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    return at.join(stay, [file, row], "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -5,7 +5,8 @@ normalised to lower-case words and compared to the templates by the Dice
 coefficient of their sets of word bigrams, 2 |A & B| / (|A| + |B|). A coefficient
 of at least t is only possible for sizes |B| t / (2 - t) <= |A| <= |B| (2 - t) / t.
 Each template is listed under all sizes it admits, and a part meets only the
-templates listed under its own size.
+templates listed under its own size. Only texts are looked at that hold one of the templates' cue words, without
+which no part of a text can match.
 
 Runs of consecutive lines, so of paragraphs too, are compared as well: a run that
 matches shares at least |B| t / (2 - t) bigrams with the template, so only texts that
@@ -28,6 +29,8 @@ has its own columns, so input columns cannot clash.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.lets import int_range, let
@@ -74,6 +77,25 @@ def admitted(size: Column, least: float) -> tuple[Column, Column]:
     return low, high
 
 
+def cue_words(templates: list[list[str]], least: float) -> list[str]:
+    """Words of which every match of a template holds at least one.
+
+    A match shares |B| t / (2 - t) bigrams with the template, so it can't miss all
+    bigrams of a choice of more than the rest; the longest words are chosen, as they are rare.
+    """
+    out: set[str] = set()
+    for words in templates:
+        own = set(zip(words, words[1:]))
+        missed = len(own) - math.ceil(len(own) * least / (2 - least) - 1e-9)
+        touched: set[tuple[str, str]] = set()
+        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+            if len(touched) > missed:
+                break
+            touched |= {b for b in own if word in b}
+            out.add(word)
+    return sorted(out)
+
+
 def runs_in_rows(rows: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """``id, row, license_id, dice`` of the runs of lines that match; ``rows``: ``id, row, text``, normalised."""
     words = lambda t: F.filter(F.split(t, "[ \n]+"), lambda w: w != "")
@@ -124,6 +146,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
 
     text = normalised(text_or_empty(text_col))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    listed = spark.createDataFrame([(t,) for _, t in templates], "text string").select(F.split(normalised(F.col("text")), "[ \n]+").alias("w")).collect()  # one row per template
+    cues = cue_words([[w for w in r["w"] if w] for r in listed], least)
+    rows = rows.filter(F.arrays_overlap(F.split("text", "[ \n]+"), F.array(*[F.lit(w) for w in cues]).cast("array<string>")))
     lines, paragraphs = F.split("text", "\n"), F.split("text", "\n( ?\n)+")
     several = lambda parts: F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
     parts = F.concat(F.array("text"), several(paragraphs), several(lines))

@@ -55,7 +55,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s\"'<>\[\]{}()|\\^`]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}")
-_NUMBER = re.compile(r"(?:\s*(?:no|number|nr|num)\b\.?)?[\s:#=]*(?=[A-Z0-9-]*[0-9])([A-Z0-9](?:-?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+_NUMBER = re.compile(r"(?:\s*(?:no|number|nr|num)\b\.?)?[\s:#=]*(?=[A-Z0-9-]{0,67}[0-9])([A-Z0-9](?:-?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
 
 
 def _automaton() -> ahocorasick.Automaton:

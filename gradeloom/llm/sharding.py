@@ -51,7 +51,12 @@ def shuffled(docs: DataFrame, text_col: str = "text", seed: int = 7, bucket_byte
 
 def shards(docs: DataFrame, n_shards: int, text_col: str = "text", seed: int = 7, bucket_bytes: int = 16 << 20,
            shard_name: str = "shard", slot_name: str = "slot") -> DataFrame:
-    """The columns of the input, with each row's shard and its slot there (gapless from 0)."""
+    """The columns of the input, with each row's shard and its slot there (gapless from 0).
+
+    An input column of one of the two names is refused; choose others.
+    """
+    if clash := {c for c in docs.columns if c.lower() in (shard_name.lower(), slot_name.lower())}:
+        raise ValueError(f"the input has columns {sorted(clash)}; choose other names")
     mixed = shuffled(docs, text_col, seed, bucket_bytes)
     counts = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     # One row per bucket.
@@ -63,7 +68,7 @@ def shards(docs: DataFrame, n_shards: int, text_col: str = "text", seed: int = 7
     at = mixed.join(starts, "bucket").join(F.broadcast(whole)).withColumn("at", F.col("start") + F.col("place"))  # one row
     at = at.withColumn("in_shard", F.expr(f"({n_shards} * (at + 1) - 1) div whole"))
     slot = F.col("at") - F.expr(f"(in_shard * whole) div {n_shards}")
-    own = [F.col(f"record.`{c}`").alias(c) for c in docs.columns if c.lower() not in (shard_name.lower(), slot_name.lower())]
+    own = [F.col(f"record.`{c}`").alias(c) for c in docs.columns]
     return at.select(*own, F.col("in_shard").cast("int").alias(shard_name), slot.alias(slot_name))
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -284,3 +285,28 @@ def test_licenses_over_several_paragraphs(spark):
     got = {(r.id, r.license_id): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert set(got) == {(2 * k + j, n) for k, n in enumerate(full) for j in (0, 1)}
     assert all(d > 0.99 for d in got.values())
+
+
+def test_every_licence_match_holds_a_cue_word():
+    words = [t.lower().replace(".", " ").split() for _, t in licenses.TEMPLATES]
+    cues = set(licenses.cue_words(words, 0.8))
+    r = random.Random(4)
+    for own in words:
+        pairs = list(zip(own, own[1:]))
+        distinct = set(pairs)
+        for _ in range(50):
+            part = [w for w in own if r.random() < 0.9]
+            shared = len(set(zip(part, part[1:])) & distinct)
+            if 2 * shared >= 0.8 * (len(set(zip(part, part[1:]))) + len(distinct)):
+                assert cues & set(part)
+
+
+def test_shard_names_that_clash_are_refused(spark):
+    with pytest.raises(ValueError):
+        sharding.shards(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, Slot int"), 3)
+
+
+def test_account_cues_in_linear_time():
+    start = time.time()
+    pii.find_spans("ACCOUNT-" * 40_000, pii._automaton())
+    assert time.time() - start < 10

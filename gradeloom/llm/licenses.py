@@ -113,7 +113,10 @@ def runs_in_rows(rows: DataFrame, known: DataFrame, least: float) -> DataFrame:
         x["i"].alias("i"), F.coalesce(F.when((k > 0) & (F.get(b, F.greatest(k - 1, F.lit(0)))["g"] == x["g"]), F.get(b, F.greatest(k - 1, F.lit(0)))["i"]), F.lit(-1)).alias("prev"), F.array_contains("own", x["g"]).alias("hit"),
     ))
     placed = near.select("id", "row", "license_id", "own", F.array_distinct(sums).alias("edges"), F.array_sort(let(by_gram, before)).alias("places"))
-    begun = placed.select("*", F.explode("edges").alias("start"))
+    # A run without hits in its first line, or behind its last hit, has no larger coefficient than without that line.
+    hit_at = F.transform(F.filter("places", lambda x: x["hit"]), lambda x: x["i"])
+    starts = F.filter("edges", lambda e, k: F.exists("hit_at", lambda h: (h >= e) & (h < F.coalesce(F.get("edges", k + 1), F.lit(1 << 30)))) & (F.size(F.filter("hit_at", lambda h: h >= e)) >= low))
+    begun = placed.withColumn("hit_at", hit_at).select("*", F.explode_outer(starts).alias("start")).filter("start IS NOT NULL")
     zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(-1).alias("stop"))
 
     def step(acc, x):
@@ -123,7 +126,7 @@ def runs_in_rows(rows: DataFrame, known: DataFrame, least: float) -> DataFrame:
         better = (a >= low) & (a <= high) & (dice > acc["dice"]) & F.array_contains("edges", x["i"] + 2)
         return F.struct(a.alias("a"), c.alias("c"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, x["i"]).otherwise(acc["stop"]).alias("stop"))
 
-    best = begun.withColumn("best", F.aggregate(F.slice("places", F.col("start") + 1, F.greatest(F.size("places"), F.lit(1))), zero, step))
+    best = begun.withColumn("best", F.aggregate(F.slice("places", F.col("start") + 1, F.greatest(F.array_max("hit_at") - F.col("start") + 1, F.lit(1))), zero, step))
     found = best.filter(F.col("best.dice") >= least - 1e-12).select("id", "row", F.struct("license_id", "start", "best.stop", "best.dice").alias("run"))
     runs = found.groupBy("id", "row").agg(F.collect_list("run").alias("runs"))
     closer = lambda x, y: (y["license_id"] != x["license_id"]) & (y["start"] <= x["stop"]) & (x["start"] <= y["stop"]) & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["license_id"] < x["license_id"])))

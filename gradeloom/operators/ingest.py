@@ -9,21 +9,16 @@ from gradeloom.functions.lets import let
 from gradeloom.functions.levels import LEVELS, ordinal
 from gradeloom.functions.probs import from_map, one_hot
 from gradeloom.operators.scale import require
-from gradeloom.sources.readers import read_whole_texts
+from gradeloom.sources.ranges import read_json_entries
+from gradeloom.sources.readers import file_stem, read_whole_texts
 
 
-def soft_rows(texts: DataFrame, column: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(keys..., sample_id, label, prob)`` from JSON objects ``id -> {label: prob}``."""
-    parsed = F.from_json(F.col(column), "map<string,map<string,double>>")
-    by_id = texts.select(*keys, F.explode(parsed).alias("sample_id", "probs"))
-    return by_id.select(*keys, "sample_id", F.explode("probs").alias("label", "prob"))
-
-
-def soft_arrays(texts: DataFrame, column: str = "value", levels=LEVELS, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``(keys..., sample_id, p)`` with probabilities in scale order."""
-    parsed = F.from_json(F.col(column), "map<string,map<string,double>>")
-    by_id = texts.select(*keys, F.explode(parsed).alias("sample_id", "probs"))
-    return by_id.select(*keys, "sample_id", from_map(F.col("probs"), levels).alias("p"))
+def soft_file_rows(spark: SparkSession, paths, levels=LEVELS) -> DataFrame:
+    """``(model, sample_id, p)`` from files that hold one object ``id -> {label: prob}`` each, read by byte ranges; the model is the file's folder or, without one, its stem."""
+    entries = read_json_entries(spark, paths, "map<string,double>")
+    folder = F.regexp_extract("file", r"model=([^/]+)/", 1)
+    model = F.when(folder != "", folder).otherwise(file_stem(F.col("file")))
+    return entries.select(model.alias("model"), F.col("id").alias("sample_id"), from_map(F.col("value"), levels).alias("p"))
 
 
 def labels_from_answers(answers: DataFrame, answer: str = "answer", levels=LEVELS) -> DataFrame:

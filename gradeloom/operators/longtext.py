@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gradeloom.functions.text import clean_text, word_tokens
 from gradeloom.operators.scale import require
+from gradeloom.session import written
 
 # The three long-text rules.
 STRATEGIES = ("truncate", "sliding_window", "immediate_context")
@@ -61,36 +64,38 @@ def route(texts: DataFrame, max_tokens: int, key: str = "sample_id") -> DataFram
     )
 
 
-def dense_row_numbers(df: DataFrame, group: list[str], key: str, width: int) -> DataFrame:
-    """Adds ``row_idx`` (0-based, by integer ``key``) without one big sort.
+def dense_row_numbers(df: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Adds ``row_idx`` (0-based, per group, by ``key`` of any type; null first) without one big sort.
 
-    Keys are cut into ranges of ``width``; range totals give the offset and only
-    the rows of one range are ranked together.
+    Rows are partitioned by ranges of group and key and written sorted, each with its
+    partition and its place there; the rows that a group has in earlier partitions are
+    its offset. The table of offsets has one row per group and partition that hold rows of
+    each other: at most partitions plus groups, whatever the keys. Rows of equal keys
+    take neighbouring numbers in no fixed order.
     """
-    cut = df.withColumn("_range", F.floor(F.col(key) / width))
-    sums = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    scope = [F.col(g) for g in group] or [F.lit(0)]
-    before = W.partitionBy(*scope).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = W.partitionBy(*scope, F.col("_range")).orderBy(key)
-    ranked = cut.withColumn("_inside", F.row_number().over(inside) - 1)
-    return ranked.join(sums, group + ["_range"]).withColumn("row_idx", F.col("_before") + F.col("_inside")).drop(
-        "_range", "_before", "_inside"
-    )
-
-
-def assign_batches(routed: DataFrame, batch_size: int, width: int = 100_000) -> DataFrame:
+    sorted_ = df.repartitionByRange(*group, key).sortWithinPartitions(*group, key)
+    placed = written(sorted_.select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_place")), "row-numbers")
+    starts = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = W.partitionBy(*([F.col(g) for g in group] or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    keys = [*group, "_part"]
+    starts = starts.select(*[F.col(c).alias(f"_at_{k}") for k, c in enumerate(keys)], offset.alias("_offset"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_at_{k}")) for k, c in enumerate(keys)])
+    return placed.join(starts, same).select(*df.columns, (F.col("_offset") + F.col("_place")).alias("row_idx"))
+
+
+def assign_batches(routed: DataFrame, batch_size: int, key: str = "sample_id") -> DataFrame:
     """Consecutive batches of short texts; each long text is its own batch."""
-    numbered = dense_row_numbers(routed, ["route"], "sample_id", width)
+    numbered = dense_row_numbers(routed, ["route"], key)
     batch = F.when(F.col("route") == "short", F.floor(F.col("row_idx") / batch_size)).otherwise(F.col("row_idx"))
     return numbered.withColumn("batch", batch.cast("bigint")).drop("row_idx")
 
 
-def assign_chunks(df: DataFrame, n_chunks: int, key: str = "sample_id", width: int = 100_000) -> DataFrame:
+def assign_chunks(df: DataFrame, n_chunks: int, key: str = "sample_id") -> DataFrame:
     """Split rows in key order into ``n_chunks`` ranges of ``ceil(N / n)`` rows."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    numbered = dense_row_numbers(df, [], key, width).withColumn("_size", F.ceil(total / F.lit(n_chunks)))
-    return numbered.withColumn("chunk", F.floor(F.col("row_idx") / F.col("_size")).cast("bigint")).drop("_size")
+    numbered = dense_row_numbers(df, [], key)
+    size = F.ceil(F.lit(df.count()) / F.lit(n_chunks))
+    return numbered.withColumn("chunk", F.floor(F.col("row_idx") / size).cast("bigint")).drop("row_idx")
 
 
 def merge_parts(parts: list[DataFrame]) -> DataFrame:

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.text import clean_text, strip
 from gradeloom.operators.scale import require
+from gradeloom.sources.ranges import read_csv
 
 CORPUS_SCHEMA = "sample_id bigint, grp string, label string, text string"
 
-# Texts hold quotes and line breaks, so a CSV file is read as a whole by one
-# task; keep such files small or convert them to parquet once.
+# Texts hold quotes and line breaks. Spark's own reader gives such a file to one
+# task; ``ranges.read_csv`` reads the same format by byte ranges.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA, fmt: str = "csv") -> DataFrame:
     """Labelled texts; a missing text is empty."""
-    reader = spark.read.schema(schema)
-    df = reader.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    df = read_csv(spark, path, schema).drop("file") if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
     require(df, "text")
     return df.withColumn("text", clean_text(F.col("text")))
 
@@ -29,11 +29,13 @@ def file_stem(path: Column) -> Column:
 def read_corpus_dir(spark: SparkSession, folders: list[str], schema: str = CORPUS_SCHEMA, fmt: str = "csv") -> DataFrame:
     """All files of one or more folders in one read; ``dataset`` is the folder
     name for partitioned data and else the file stem."""
-    reader = spark.read.schema(schema)
-    df = reader.options(**CSV_OPTIONS).csv(folders) if fmt == "csv" else reader.format(fmt).load(folders)
-    parent = F.regexp_extract(F.input_file_name(), r"dataset=([^/]+)/", 1)
-    name = F.when(parent != "", parent).otherwise(file_stem(F.input_file_name()))
-    return df.withColumn("dataset", name).withColumn("text", clean_text(F.col("text")))
+    if fmt == "csv":
+        df = read_csv(spark, folders, schema)
+    else:
+        df = spark.read.schema(schema).format(fmt).load(folders).withColumn("file", F.input_file_name())
+    parent = F.regexp_extract("file", r"dataset=([^/]+)/", 1)
+    name = F.when(parent != "", parent).otherwise(file_stem(F.col("file")))
+    return df.withColumn("dataset", name).withColumn("text", clean_text(F.col("text"))).drop("file")
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from gradeloom.functions import answers as AN, probs as P
 from gradeloom.functions.levels import LEVELS, label_at, ordinal
@@ -99,17 +99,22 @@ soft AS (SELECT model, dataset, sample_id::VARCHAR AS sample_id, p FROM probs)""
 
 
 def _soft_json(spark, sf):
-    """Each document's probabilities as the JSON object an external tool writes."""
+    """Each model's probabilities as the one object ``{id: {level: prob}}`` that an external tool writes: one file a model."""
     from registry.base import probs
 
-    p = probs(spark, sf)
-    text = F.to_json(F.create_map(F.col("sample_id").cast("string"), P.to_map(F.col("p"))))
-    return p.select("model", "dataset", text.alias("value"))
+    path, one = fresh_path(spark, "soft"), W.partitionBy("model").orderBy("sample_id")
+    p = probs(spark, sf).select("model", "sample_id", F.to_json(F.create_map(F.col("sample_id").cast("string"), P.to_map(F.col("p")))).alias("entry"))
+    opening = F.when(F.row_number().over(one) == 1, "{").otherwise(",")
+    closing = F.when(F.lead("sample_id").over(one).isNull(), "}").otherwise("")
+    inner = F.expr("substring(entry, 2, length(entry) - 2)")
+    p.select("model", F.concat(opening, inner, closing).alias("value")).write.partitionBy("model").text(path)
+    return path
 
 
 @query("src_soft_json", with_sql(EXTERNAL_SQL, f"SELECT model, sample_id, {LEVEL_LIST}[i] AS label, round(p[i], 6) AS prob FROM soft, unnest(range(1, 7)) t(i)"))
 def src_soft_json(spark, sf):
-    return rounded_out(I.soft_rows(_soft_json(spark, sf), keys=("model",)))
+    rows = I.soft_file_rows(spark, _soft_json(spark, sf))
+    return rounded_out(rows.select("model", "sample_id", F.explode(P.to_map(F.col("p"))).alias("label", "prob")))
 
 
 @query(
@@ -117,7 +122,7 @@ def src_soft_json(spark, sf):
     with_sql(METRICS_SQL, "SELECT model, dataset, strategy, round(accuracy, 6) AS accuracy, round(adjacent_accuracy, 6) AS adjacent_accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1, round(micro_f1, 6) AS micro_f1, n_samples FROM metrics"),
 )
 def eval_external(spark, sf):
-    probs = I.soft_arrays(_soft_json(spark, sf), keys=("model",))
+    probs = I.soft_file_rows(spark, _soft_json(spark, sf))
     truth = samples(spark, sf).select(F.col("sample_id").cast("string").alias("sample_id"), "dataset", "true_ord")
     judged = decide.both_strategies(probs.join(truth, "sample_id"))
     return rounded_out(M.report_metrics(M.confusion(judged)))

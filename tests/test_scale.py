@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -5,7 +6,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from gradeloom.operators import scale as SC, split as S
-from gradeloom.operators.longtext import assign_batches, assign_chunks, route
+from gradeloom.operators.longtext import assign_batches, assign_chunks, dense_row_numbers, route
 
 
 def test_skew_join_equals_plain_join(spark):
@@ -65,9 +66,22 @@ def test_stratified_split_keeps_shares(spark):
 def test_batches_and_chunks(spark):
     texts = spark.createDataFrame([(i, "x" * (40 if i % 4 else 4000)) for i in range(101)], "sample_id bigint, text string")
     routed = route(texts, 512)
-    rows = assign_batches(routed, 16, width=10).collect()
+    rows = assign_batches(routed, 16).collect()
     short = Counter(r["batch"] for r in rows if r["route"] == "short")
     long = Counter(r["batch"] for r in rows if r["route"] == "long")
     assert sorted(short.values(), reverse=True) == [16] * 4 + [11] and set(long.values()) == {1}
-    chunks = assign_chunks(texts, 4, width=7).collect()
+    chunks = assign_chunks(texts, 4).collect()
     assert [Counter(r["chunk"] for r in chunks)[k] for k in range(4)] == [26, 26, 26, 23]
+
+
+def test_row_numbers_of_text_keys(spark):
+    rows = [(g, hashlib.md5(f"{g}{i}".encode()).hexdigest()) for g, n in (("a", 900), ("b", 3), (None, 40)) for i in range(n)] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, k string").repartition(13)
+    for group in (["g"], []):
+        got = [(r.g if group else None, r.row_idx, r.k) for r in dense_row_numbers(df, group, "k").collect()]
+        want = []
+        for g in {r[0] for r in rows} if group else [None]:
+            keys = sorted((k for h, k in rows if not group or h == g), key=lambda k: (k is not None, k or ""))
+            want += [(g, i, k) for i, k in enumerate(keys)]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert dense_row_numbers(df.filter("k = 'none'"), ["g"], "k").count() == 0

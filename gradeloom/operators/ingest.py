@@ -45,9 +45,9 @@ def parse_totals(labelled: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def answers_from_folder(spark: SparkSession, path: str, levels=LEVELS) -> DataFrame:
-    """``(name, answer, label, parsed)``, one row per file of the folder; the name is the file's stem.
+    """``(name, answer, label, parsed)`` and the folder's partition columns, one row per file; the name is the file's stem.
 
     ``parse_totals`` counts the rows; the names with ``parsed`` false are the files that failed.
     """
-    files = read_whole_texts(spark, path).select("name", F.col("text").alias("answer"))
+    files = read_whole_texts(spark, path).withColumnRenamed("text", "answer")
     return labels_from_answers(files, "answer", levels)

@@ -143,15 +143,9 @@ def eval_answers(spark, sf):
     return rounded_out(M.accuracy(M.confusion(judged, ("src",)), ("src",)))
 
 
-@query(
-    "ingest_llm_dir",
-    with_sql(
-        LABELS_SQL,
-        "SELECT label, count(*)::BIGINT AS n_total, count(*) FILTER (parsed)::BIGINT AS n_parsed, count(label)::BIGINT AS n_labelled, count(*) FILTER (NOT parsed)::BIGINT AS n_failed FROM labelled GROUP BY label",
-    ),
-)
+@query("ingest_llm_dir", with_sql(LABELS_SQL, "SELECT answer_id, label, parsed FROM labelled"))
 def ingest_llm_dir(spark, sf):
-    """A folder with one file per answer, read back and parsed."""
+    """A folder with one file per answer, read back and parsed: every answer by id, with what was read or that it failed."""
     path = fresh_path(spark, "answers")
-    _answers(spark, sf).select("answer").write.option("maxRecordsPerFile", "1").text(path)
-    return I.parse_totals(I.answers_from_folder(spark, path), ["label"])
+    _answers(spark, sf).select("answer_id", "answer").write.partitionBy("answer_id").text(path)
+    return I.answers_from_folder(spark, path).select(F.col("answer_id").cast("bigint").alias("answer_id"), "label", "parsed")

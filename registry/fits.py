@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from gradeloom.functions.levels import LEVELS
 from gradeloom.functions.text import clean_text
 from gradeloom.operators import decide, joins as J, metrics as M, models as ML, split as S, tfidf as TF
-from gradeloom.plans import grading as G, selection as SEL
+from gradeloom.plans import grading as G, selection as SEL, stored as ST
 from gradeloom.session import fresh_path, written
 from registry.base import LEVEL_LIST, SAMPLES_SQL, query, rounded_out, samples, table, with_sql
-from registry.tfidf import PAT, TF12_SQL
+from registry.tfidf import PAT, TF12_SQL, TF_SQL
 
 TEXT = TF.TfidfParams()
 N = len(LEVELS)
@@ -188,53 +188,87 @@ def train_all(spark, sf):
     return ML.load_registry(spark, path).drop("cuts")
 
 
-NB_NAME = f"documents_multinomialnb_{TEXT.key}_tfidf"
+UNI = TF.TfidfParams(ngram_range=(1, 1))
+NB_NAMES = tuple(f"documents_multinomialnb_{p.key}_tfidf" for p in (TEXT, UNI))
+FITTED = tuple(f"documents_{kind}_{TEXT.key}_tfidf" for kind in ("logistic", "mord-lr"))
+GRADED = "model string, dataset string, sample_id bigint, pred_label string"
 
 
-def stored_graders(spark, sf) -> dict[str, G.BayesGrader]:
-    """The grader of the documents, stored and loaded again."""
-    path = fresh_path(spark, "graders")
-    G.save_bayes(G.train_bayes(samples(spark, sf), TEXT), f"{path}/{NB_NAME}")
-    return {NB_NAME: G.load_bayes(spark, f"{path}/{NB_NAME}")}
+_STORED: dict[tuple[str, str], str] = {}  # where this session has stored the models of a data folder
 
 
-def graded_rows(spark, graders, corpus):
-    """Labels from every stored grader for the datasets that its features have."""
-    keys = spark.createDataFrame([(name, ML.m_key(name)) for name in graders], "model string, feature_key string")
-    have = corpus.select("dataset").distinct().crossJoin(F.broadcast(keys.select("feature_key").distinct()))  # one row per key
+def stored_models(spark, sf) -> ST.Stored:
+    """Naive Bayes on two feature sets and two fitted kinds on one, stored once a session and loaded for each query."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _STORED:
+        s = samples(spark, sf)
+        graders = [G.train_bayes(s, p) for p in (TEXT, UNI)]
+        sets = [ST.FeatureSet(g.params, g.vocab) for g in graders]
+        models = {name: (fs.key, g) for name, fs, g in zip(NB_NAMES, sets, graders)}
+        rows = G.training_vectors(s.select("sample_id", "text", F.col("true_ord").alias("ord")), sets[0].vocab, TEXT)
+        fits = ML.train_all({sets[0].key: rows}, {"logistic": {}, "mord-lr": {}}, N, "documents")
+        path = fresh_path(spark, "stored-models")
+        ST.save(spark, path, sets, models | {name: (sets[0].key, fit) for name, fit in fits.items()})
+        _STORED[at] = path
+    return ST.load(spark, _STORED[at])
+
+
+def graded_rows(stored, corpus):
+    """Labels from every stored model for the datasets that its features have."""
+    keys = stored.names
+    have = corpus.select("dataset").distinct().crossJoin(F.broadcast(keys.select("feature_key").distinct()))  # one row per feature set
     jobs = J.match_models(keys, keys, have, corpus.select("dataset", F.lit(None).cast("string").alias("label_file")).distinct())
-    return decide.argmax(G.grade_jobs(jobs, graders, corpus)).drop("p")
+    return decide.argmax(stored.grade(corpus, jobs)).select("model", "dataset", "sample_id", "pred_label")
+
+
+def per_label(graded):
+    """Rows by model, dataset and label; SQL can tell the label for the closed form only, so fitted kinds are counted without it."""
+    label = F.when(F.col("model").isin(*NB_NAMES), F.col("pred_label"))
+    return graded.groupBy("model", "dataset", label.alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+NB_UNI_SQL = NB_SQL.replace(TF12_SQL, TF_SQL)
+ASKED_DOCS = "asked AS (SELECT sample_id, dataset FROM samples)"
+ASKED_TURNS = "asked AS (SELECT conv_id * 1000 + turn AS sample_id, role AS dataset, coalesce(text, '') AS text FROM conversations)"
 
 
-PER_LABEL = f"SELECT '{NB_NAME}' AS model, dataset, {LEVEL_LIST}[pred_ord + 1] AS pred_label, count(*)::BIGINT AS n FROM graded JOIN asked USING (sample_id) GROUP BY ALL"
-ASKED_DOCS = ", asked AS (SELECT sample_id, dataset FROM samples)"
+def per_label_sql(asked: str, first: str, second: str) -> str:
+    """The two closed-form models by label (``first`` and ``second`` give ``graded``), the others by dataset."""
+    by = [with_sql(f"{sql}", f"SELECT '{name}' AS model, dataset, {LEVEL_LIST}[pred_ord + 1] AS pred_label, count(*)::BIGINT AS n FROM graded JOIN asked USING (sample_id) GROUP BY ALL") for name, sql in zip(NB_NAMES, (first, second))]
+    names = ", ".join(f"('{n}')" for n in FITTED)
+    rest = with_sql(f"{SAMPLES_SQL}, {asked}", f"SELECT model, dataset, NULL::VARCHAR AS pred_label, count(*)::BIGINT AS n FROM asked CROSS JOIN (VALUES {names}) m(model) GROUP BY ALL")
+    return " UNION ALL ".join(f"SELECT * FROM ({q})" for q in [*by, rest])
 
 
-@query("predict_batch", with_sql(NB_SQL + ASKED_DOCS, PER_LABEL))
+PER_LABEL_SQL = per_label_sql(ASKED_DOCS, f"{NB_SQL}, {ASKED_DOCS}", f"{NB_UNI_SQL}, {ASKED_DOCS}")
+
+
+@query("predict_batch", PER_LABEL_SQL)
 def predict_batch(spark, sf):
-    out = graded_rows(spark, stored_graders(spark, sf), samples(spark, sf).select("sample_id", "dataset", "text"))
-    return out.groupBy("model", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+    return per_label(graded_rows(stored_models(spark, sf), samples(spark, sf).select("sample_id", "dataset", "text")))
 
 
-# The same tables, asked for the conversations.
-ASKED_TURNS_SQL = (
-    NB_SQL.replace("raw AS (", "asked_raw AS (").split("asked_raw AS (")[0]
-    + f"""asked AS (SELECT conv_id * 1000 + turn AS sample_id, role AS dataset, coalesce(text, '') AS text FROM conversations),
+def asked_turns(nb: str, terms: str) -> str:
+    """The tables of ``nb``, asked for the conversations."""
+    return (
+        nb.split("raw AS (")[0]
+        + f"""{ASKED_TURNS},
 atoks AS (SELECT sample_id, regexp_extract_all(lower(text), '{PAT}') AS ts FROM asked),
-atf AS (SELECT sample_id, term, count(*)::BIGINT AS tf FROM (
-  SELECT sample_id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS term FROM atoks) GROUP BY ALL),
+atf AS (SELECT sample_id, term, count(*)::BIGINT AS tf FROM (SELECT sample_id, unnest({terms}) AS term FROM atoks) GROUP BY ALL),
 afeat AS (SELECT sample_id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY sample_id)) AS v FROM (SELECT sample_id, idx, (ln(tf::DOUBLE) + 1.0) * idf AS w FROM atf JOIN vocab USING (term))),
 raw AS (SELECT x.sample_id, p.ord, p.log_prior + coalesce(sum(f.v * c.lp), 0) AS score FROM asked x CROSS JOIN prior p LEFT JOIN afeat f ON f.sample_id = x.sample_id LEFT JOIN cells c ON c.ord = p.ord AND c.idx = f.idx GROUP BY x.sample_id, p.ord, p.log_prior),
 graded AS (SELECT sample_id, arg_min(ord, [-score, ord]) AS pred_ord FROM raw GROUP BY sample_id)"""
-)
+    )
+
+
+WITH_PAIRS = "list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))"
 
 
-@query("add_test_set", with_sql(ASKED_TURNS_SQL, PER_LABEL))
+@query("add_test_set", per_label_sql(ASKED_TURNS, asked_turns(NB_SQL, WITH_PAIRS), asked_turns(NB_UNI_SQL, "ts")))
 def add_test_set(spark, sf):
     """A new dataset, the conversations, graded by the stored models."""
     turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), F.col("role").alias("dataset"), clean_text(F.col("text")).alias("text"))
-    out = graded_rows(spark, stored_graders(spark, sf), turns)
-    return out.groupBy("model", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+    return per_label(graded_rows(stored_models(spark, sf), turns))
 
 
 TRIALS = ML.draw_params("logistic", 50)

@@ -9,7 +9,7 @@ from gradeloom.operators import decide
 from gradeloom.session import fresh_path
 from gradeloom.streaming import runlog as RL, scoring as SC
 from registry.base import PREDICTIONS_SQL, SCORERS, _peaked, query, rounded_out, table, with_sql
-from registry.fits import ASKED_DOCS, NB_SQL, PER_LABEL, graded_rows, stored_graders
+from registry.fits import GRADED, PER_LABEL_SQL, graded_rows, per_label, stored_models
 from registry.metrics import LOG_SQL, to_log
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -79,13 +79,12 @@ def latest_status(spark, sf):
     return newest(to_log(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")))
 
 
-@query("stream_add_test_set", with_sql(NB_SQL + ASKED_DOCS, PER_LABEL))
+@query("stream_add_test_set", PER_LABEL_SQL)
 def stream_add_test_set(spark, sf):
-    """New files graded by every stored model, batch by batch."""
-    graders = stored_graders(spark, sf)
+    """New files graded by every stored model, batch by batch; only committed batches are read."""
+    stored = stored_models(spark, sf)
     sink, check = fresh_path(spark, "test-sets"), fresh_path(spark, "test-sets-checkpoint")
     schema = spark.createDataFrame([], DOCS).schema
     corpus = lambda docs: docs.select(F.col("doc_id").alias("sample_id"), F.col("source").alias("dataset"), clean_text(F.col("text")).alias("text"))
-    SC.add_test_sets(spark, _arrivals(spark, sf, 2), schema, lambda docs: graded_rows(spark, graders, corpus(docs)), sink, check, max_files=1)
-    out = spark.read.parquet(sink)
-    return out.groupBy("model", "dataset", "pred_label").agg(F.count(F.lit(1)).alias("n"))
+    SC.add_test_sets(spark, _arrivals(spark, sf, 2), schema, lambda docs: graded_rows(stored, corpus(docs)), sink, check, max_files=1)
+    return per_label(SC.read_committed(spark, sink, GRADED))

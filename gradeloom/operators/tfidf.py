@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from gradeloom.functions.lets import let
 from gradeloom.functions.text import ngrams, term_frequencies, word_tokens
 from gradeloom.operators.scale import bounded, require, skew_join, top_n_per_group
-from gradeloom.session import fresh_path
+from gradeloom.session import fresh_path, written
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,8 @@ def fit_grouped(corpus: DataFrame, group: str, params: TfidfParams = TfidfParams
     """One vocabulary per group value: ``(grp, term, df, cf, n_docs, idf, idx)``."""
     require(corpus, group)
     docs = corpus.withColumn("grp", F.col(group).cast("string"))
-    sizes = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs"))
+    sizes = written(docs.groupBy("grp").agg(F.count(F.lit(1)).alias("n_docs")), "group-sizes")
+    sizes = bounded(sizes, sizes.count())  # a join on few keys would put a group into one task
     stats = term_stats(document_terms(docs, params.ngram_range, ("grp",)), ["grp"]).join(sizes, "grp")
     kept = stats.filter((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(float(params.max_df)) * F.col("n_docs")))
     top = top_n_per_group(kept, ["grp"], [F.col("cf").desc(), F.col("term")], params.max_features, ["term"]).drop("rank")

@@ -7,17 +7,20 @@ trained jointly in numpy, with labels at documents only. A misspelling that was
 never seen shares most n-grams with the word it stands for.
 
 The model is fitted on a bounded sample of labelled rows (``sample_per_class``,
-a documented bound: the first rows of each class in hash order); n-grams that fewer than ``least_docs``
-of them have are not used, and its size is
-fixed by the number of buckets. Scoring covers all rows: the model goes to the
+a documented bound: the first rows of each class in hash order), and its size is
+fixed by the number of buckets. Steps that are scaled by their own gradients are as long for an n-gram
+of one document as for one of all, so rare ones would learn documents by heart: a step is
+weighted by n / (n + ``doubt``) for the n documents that have the n-gram. None is left out.
+The sample's words are counted in the tasks; the driver receives a bag per document, however long
+its text is. Scoring covers all rows: the model goes to the
 tasks, where a word's share of the logit is a number that is computed once and
-kept in a bounded table. Rows are independent, so neither hot groups nor
+kept in a bounded table; very long texts are split into words one at a time. Rows are independent, so neither hot groups nor
 repeated rows matter, and a lost task is repeated.
 
 Defined cases: texts without words (null, empty, punctuation) get the score of
 an average of zero, which is that of the bias alone; labels that are null are not used; of
 several labels of a document the largest counts; without labels of both
-classes every score is the share of toxic labels, or 0 without labels. Input
+classes every score is the share of toxic labels, or 0 without labels; an empty table has no scores. Input
 columns are carried in one nested column, so names cannot clash.
 """
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import filterfalse
 from string import punctuation
@@ -33,7 +36,7 @@ from string import punctuation
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 from gradeloom.llm.common import carried, pieces, require, restored, ship_code
 
@@ -45,7 +48,7 @@ class Params:
     shortest: int = 3
     longest: int = 5
     sample_per_class: int = 1500
-    least_docs: int = 10
+    doubt: float = 5.0
     epochs: int = 40
     rate: float = 0.02
     decay: float = 1e-5
@@ -69,6 +72,12 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (c.strip(punctuation) for c in (text or "").lower().split()) if w]
 
 
+def bag_of(text: str | None) -> tuple[str, bytes]:
+    """The distinct words of a text, with blanks between, and how often each occurs (32-bit numbers)."""
+    bag = Counter(words_of(text))
+    return " ".join(bag), np.fromiter(bag.values(), np.int32, len(bag)).tobytes()
+
+
 def subwords(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's character n-grams, bounds included, and of the word itself: (bucket, number of the word)."""
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -116,44 +125,45 @@ class _Sums:
         return out
 
 
-def fit(texts: list[str], toxic: list[int], p: Params = Params(), prior: float | None = None) -> Model:
-    """``prior`` is the share of toxic rows; its log-odds are the bias, so a text that says nothing is as likely toxic as any."""
+def fit(bags: Iterable[tuple[str, bytes]], toxic: list[int], p: Params = Params(), prior: float | None = None) -> Model:
+    """A model of ``bag_of`` each text. ``prior`` is the share of toxic rows; its log-odds are the bias, so a text that says nothing is as likely toxic as any."""
     y = np.array(toxic)
     if len(y) == 0 or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(p.buckets, np.float32), -30.0 if rate == 0 else 30.0, p)
     number: dict[str, int] = {}
-    bags = [Counter(words_of(t)) for t in texts]
-    n_docs = len(bags)
-    doc = np.repeat(np.arange(n_docs), [len(b) for b in bags])
-    word = np.array([number.setdefault(w, len(number)) for b in bags for w in b])
-    share = np.array([k / (b.total() + p.pad) for b in bags for k in b.values()], np.float32)
+    numbers, shares = [], []
+    for words, counts in bags:
+        own = words.split()
+        numbers.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
+        counts = np.frombuffer(counts, np.int32)
+        shares.append((counts / (counts.sum() + p.pad)).astype(np.float32))
+    n_docs = len(numbers)
+    doc = np.repeat(np.arange(n_docs), [len(x) for x in numbers])
+    word, share = np.concatenate(numbers), np.concatenate(shares)
+    if not number:
+        return Model(np.zeros(p.buckets, np.float32), log_odds(prior if prior is not None else float(y.mean())), p)
     gram, owner = subwords(list(number), p)
     size = np.bincount(owner, minlength=len(number)).astype(np.float32)
-    # Buckets that few documents have stay at zero, as those that none has.
     in_docs = np.zeros(p.buckets, np.int64)
     order = np.argsort(owner, kind="stable")
     ends = np.cumsum(size).astype(np.int64)
-    for b in bags:
-        own = [gram[order[ends[k] - int(size[k]) : ends[k]]] for k in (number[w] for w in b)]
-        if own:
-            in_docs[np.unique(np.concatenate(own))] += 1
-    del order, ends
-    known = in_docs >= p.least_docs
-    row_of = (np.cumsum(known) - 1).astype(np.int32)
-    use = known[gram]
-    gram, owner, n_rows = row_of[gram[use]], owner[use], int(known.sum())
+    for x in numbers:
+        if len(x):
+            in_docs[np.unique(np.concatenate([gram[order[ends[k] - int(size[k]) : ends[k]]] for k in x]))] += 1
+    del order, ends, numbers, shares
+    known = in_docs > 0
+    gram, n_rows = (np.cumsum(known) - 1).astype(np.int32)[gram], int(known.sum())
+    trust = (in_docs[known] / (in_docs[known] + p.doubt)).astype(np.float32)[:, None]
 
     rng = np.random.default_rng(p.seed)
     e = rng.normal(0, 0.1 / p.scale, (n_rows, p.dim)).astype(np.float32)
     w = rng.normal(0, 1.0, (p.dim, 2)).astype(np.float32)
-    prior = min(max(prior if prior is not None else float(y.mean()), 1e-6), 1 - 1e-6)
-    b = np.array([0, math.log(prior / (1 - prior))], np.float32)
+    b = np.array([0, log_odds(prior if prior is not None else float(y.mean()))], np.float32)
     target = np.eye(2, dtype=np.float32)[y]
     weight = np.array([len(y) / (2 * (y == c).sum()) for c in (0, 1)], np.float32)[y] / len(y)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w)]
 
-    del bags
     of_words, of_docs = _Sums(owner, gram, len(number)), _Sums(doc, word, n_docs, share)
     to_words, to_rows = _Sums(word, doc, len(number), share), _Sums(gram, owner, n_rows)
     for epoch in range(1, p.epochs + 1):
@@ -165,10 +175,10 @@ def fit(texts: list[str], toxic: list[int], p: Params = Params(), prior: float |
         d_logits = (probs - target) * weight[:, None]
         d_e = to_rows(to_words(d_logits @ (p.scale * w.T)) / size[:, None]) + p.decay * e
         rate = p.rate * (1 - (epoch - 1) / p.epochs)
-        for x, g, (m, v) in zip((e, w), (d_e, docs.T @ d_logits + p.decay * w), state):
+        for x, g, weigh, (m, v) in zip((e, w), (d_e, docs.T @ d_logits + p.decay * w), (trust, 1), state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            x -= rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
+            x -= rate * weigh * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
         # Embeddings that the gradient doesn't keep pulling the same way shrink to zero.
         norm = np.sqrt((e * e).sum(axis=1, keepdims=True)) + 1e-12
         e *= np.maximum(0, 1 - p.shrink * rate / norm)
@@ -206,6 +216,11 @@ class Scorer:
         return [logistic(self.model.bias + x.real / (x.imag + self.model.params.pad)) for x in sums]
 
 
+def log_odds(share: float) -> float:
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return math.log(share / (1 - share))
+
+
 def logistic(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
@@ -237,10 +252,20 @@ def sample(docs: DataFrame, labels: DataFrame, p: Params, id_col: str = "doc_id"
     return texts.join(few, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("id", "text", "toxic")
 
 
+def _bagging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        words, counts = zip(*map(bag_of, batch.column("text").to_pylist()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(words, pa.string()), pa.array(counts, pa.binary())], ["id", "toxic", "words", "counts"])
+
+
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    rows = sorted(sample(docs, labels, p, id_col, text_col, label_col).collect(), key=lambda r: r["id"])  # 2 * sample_per_class rows at most
+    ship_code(docs.sparkSession)
+    few = sample(docs, labels, p, id_col, text_col, label_col)
+    fields = [few.schema["id"], few.schema["toxic"], StructField("words", StringType()), StructField("counts", BinaryType())]
+    rows = few.select("id", "toxic", "text").mapInArrow(_bagging, StructType(fields)).collect()  # 2 * sample_per_class rows at most
+    rows.sort(key=lambda r: r["id"])
     prior = labels.filter(~held_out(id_col)).agg(F.avg(F.when(F.col(f"`{label_col}`").isin(0, 1), F.col(f"`{label_col}`"))).alias("share")).first()["share"]
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], p, prior)
+    return fit([(r["words"], r["counts"]) for r in rows], [r["toxic"] for r in rows], p, prior)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

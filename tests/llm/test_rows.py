@@ -1,5 +1,6 @@
 """Operators that judge each row alone, and sharding and packing, against brute force."""
 
+import math
 import random
 import re
 import textwrap
@@ -108,7 +109,8 @@ def labelled(n: int, seed: int):
 
 
 def test_toxicity_learns_and_reads_misspellings():
-    model = toxicity.fit(*map(list, zip(*labelled(400, 1))), toxicity.Params(least_docs=3), 0.1)
+    text, toxic = map(list, zip(*labelled(400, 1)))
+    model = toxicity.fit(map(toxicity.bag_of, text), toxic, prior=0.1)
     for seed in (1, 2):
         text, toxic = map(list, zip(*labelled(200, seed)))
         score = np.array(toxicity.Scorer(model).score(text))
@@ -121,7 +123,10 @@ def test_toxicity_tables(spark, docs, nothing):
     rows = [(100 + i, t) for i, (t, _) in enumerate(labelled(200, 1))]
     train = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(100 + i, y) for i, (_, y) in enumerate(labelled(200, 1))] + [(None, 1), (101, None), (100, 0)], "doc_id bigint, toxic int")
-    model = toxicity.train(train, labels, toxicity.Params(least_docs=3))
+    model = toxicity.train(train, labels)
+    clean = {i for i, _ in rows} - {100, *(100 + i for i, (_, y) in enumerate(labelled(200, 1)) if y)}
+    kept = {r.doc_id for r in toxicity.keep_clean(train, labels).collect()}
+    assert len(clean - kept) <= 5 and len(kept - clean) <= 5  # the held-out ones included, at the settings of the query
     scores = toxicity.scored(docs, model).collect()
     assert len(scores) == len(texts()) and all(0 <= r.score <= 1 for r in scores)
     assert toxicity.keep_clean(docs, labels.limit(0)).columns == docs.columns
@@ -130,6 +135,77 @@ def test_toxicity_tables(spark, docs, nothing):
     assert sample.count() == 20 and not sample.select(toxicity.held_out("id").alias("h")).filter("h").count()
 
 
+def test_toxicity_learns_words_that_few_documents_hold():
+    """Every toxic document has an insult, each insult in four documents only: nothing rare is left out."""
+    insults = ["worthless", "idiotic", "scumbag", "moronic", "pathetic", "garbagey"]
+    text = [invented(k, 40) for k in range(240)] + [f"{invented(1000 + k, 20)} {insults[k % 6]} {invented(2000 + k, 20)}" for k in range(24)]
+    toxic = [0] * 240 + [1] * 24
+    scorer = toxicity.Scorer(toxicity.fit(map(toxicity.bag_of, text), toxic))
+    assert ((np.array(scorer.score(text)) >= 0.5) == np.array(toxic)).mean() == 1.0
+    nothing_known = scorer.score([""])[0]  # what an n-gram that is left out adds up to
+    assert all(scorer.score([w])[0] > 1.5 * nothing_known for w in insults)
+
+
+def test_toxicity_bags():
+    text = "You, you YOU are\u00a0so  'so' kind!"
+    words, counts = toxicity.bag_of(text)
+    assert dict(zip(words.split(), np.frombuffer(counts, np.int32).tolist())) == Counter(toxicity.words_of(text)) == {"you": 3, "are": 1, "so": 2, "kind": 1}
+    assert toxicity.bag_of(None) == toxicity.bag_of("...") == ("", b"")
+    silent = toxicity.fit([("", b"")] * 4, [0, 1, 0, 0])
+    assert toxicity.Scorer(silent).score(["anything at all"]) == pytest.approx([0.25])
+
+
+def test_toxicity_trains_as_a_plain_loop_does():
+    """The same steps, one document, word and n-gram at a time."""
+    p = toxicity.Params(buckets=1 << 12, dim=2, epochs=6)
+    text, toxic = ["you are so mean", "so kind you are", "mean mean words", "kind words here", "", "here you are"], [1, 0, 1, 0, 0, 0]
+    model = toxicity.fit(map(toxicity.bag_of, text), toxic, p, 0.2)
+    grams = {w: toxicity.subwords([w], p)[0].tolist() for t in text for w in t.split()}
+    docs_with = Counter(g for t in text for g in {g for w in t.split() for g in grams[w]})
+    rows = sorted(docs_with)
+    rng = np.random.default_rng(p.seed)
+    first = rng.normal(0, 0.1 / p.scale, (len(rows), p.dim)).astype(np.float32).tolist()
+    w = [list(map(float, np.float32(x))) for x in rng.normal(0, 1.0, (p.dim, 2))]
+    e = dict(zip(rows, first))
+    bias = [0.0, math.log(0.2 / 0.8)]
+    moments = {}
+
+    def moved(key, gradient, rate, epoch):
+        m, v = moments.get(key, (0.0, 0.0))
+        m, v = m + 0.1 * (gradient - m), v + 0.01 * (gradient * gradient - v)
+        moments[key] = m, v
+        return rate * (m / (1 - 0.9**epoch)) / (math.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
+
+    for epoch in range(1, p.epochs + 1):
+        rate = p.rate * (1 - (epoch - 1) / p.epochs)
+        d_e, d_w = {g: [0.0] * p.dim for g in rows}, [[0.0, 0.0] for _ in range(p.dim)]
+        for t, y in zip(text, toxic):
+            words = t.split()
+            x = [sum(p.scale * sum(e[g][d] for g in grams[k]) / len(grams[k]) for k in words) / (len(words) + p.pad) for d in range(p.dim)]
+            logits = [sum(x[d] * w[d][c] for d in range(p.dim)) + bias[c] for c in (0, 1)]
+            total = sum(map(math.exp, logits))
+            weight = 1 / (2 * toxic.count(y))
+            slope = [(math.exp(logits[c]) / total - (c == y)) * weight for c in (0, 1)]
+            for d in range(p.dim):
+                back = sum(slope[c] * w[d][c] for c in (0, 1))
+                for c in (0, 1):
+                    d_w[d][c] += x[d] * slope[c]
+                for k in words:
+                    for g in grams[k]:
+                        d_e[g][d] += p.scale * back / (len(words) + p.pad) / len(grams[k])
+        for g in rows:
+            trust = docs_with[g] / (docs_with[g] + p.doubt)
+            e[g] = [e[g][d] - trust * moved((g, d), d_e[g][d] + p.decay * e[g][d], rate, epoch) for d in range(p.dim)]
+            norm = math.sqrt(sum(v * v for v in e[g])) + 1e-12
+            e[g] = [v * max(0.0, 1 - p.shrink * rate / norm) for v in e[g]]
+        w = [[w[d][c] - moved((d, c, "w"), d_w[d][c] + p.decay * w[d][c], rate, epoch) for c in (0, 1)] for d in range(p.dim)]
+    expected = np.zeros(p.buckets)
+    for g in rows:
+        expected[g] = p.scale * sum(e[g][d] * (w[d][1] - w[d][0]) for d in range(p.dim))
+    assert np.abs(expected).max() > 1 and np.allclose(model.share, expected, rtol=2e-3, atol=2e-3 * np.abs(expected).max())
+    assert model.bias == pytest.approx(bias[1], rel=1e-6)
+
+
 # ------------------------------------------------------------------- token counts
 
 

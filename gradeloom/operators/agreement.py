@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.levels import MAX_ORD
 from gradeloom.operators.metrics import KEYS, ratio
-from gradeloom.operators.scale import bounded, running_mass
+from gradeloom.operators.scale import join_per_key, running_mass
 from gradeloom.session import written
 
 
@@ -72,7 +72,7 @@ def continuous_errors(predictions: DataFrame, keys=("model", "dataset")) -> Data
 
 
 BUCKETS = 256
-# Groups that are correlated at once; a table with one row per group is broadcast.
+# The buckets' bounds of up to this many groups (20 MB) are broadcast, counted first.
 MAX_GROUPS = 10_000
 
 
@@ -89,11 +89,13 @@ def spearman(predictions: DataFrame, keys=("model", "dataset"), x: str = "true_o
     )
     pairs = written(pairs, "rank-pairs")  # ranked along both axes and read once more
 
+    n_groups = pairs.select(*keys).distinct().count() if keys else 1
+
     def ranks(column: str) -> DataFrame:
         counted = pairs.groupBy(*keys, column).agg(F.sum("n").alias("n"))
         # Buckets of about as many distinct values each, whatever their range.
         cuts = counted.groupBy(*keys).agg(F.percentile_approx(column, [k / BUCKETS for k in range(1, BUCKETS)]).alias("cuts"))
-        counted = counted.join(bounded(cuts, MAX_GROUPS), keys) if keys else counted.join(F.broadcast(cuts))  # one row
+        counted = join_per_key(counted, cuts, keys, [column], n_groups, "inner", MAX_GROUPS) if keys else counted.join(F.broadcast(cuts))  # one row
         bucket = F.size(F.filter("cuts", lambda cut: cut < F.col(column)))
         ranked = running_mass(counted.withColumn("at", bucket).drop("cuts"), keys, column, "n", F.col("at"))
         average = F.col("above") + (F.col("n") + 1) / 2

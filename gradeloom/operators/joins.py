@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.operators.scale import require
+from gradeloom.operators.scale import BROADCAST_ROWS, require
 
 
 def with_labels(rows: DataFrame, labels: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -59,8 +61,14 @@ def orphan_models(models: DataFrame, feature_sets: DataFrame) -> DataFrame:
 
 
 def grid(*sides: DataFrame) -> DataFrame:
-    """Every combination of a few short configuration lists."""
+    """Every combination of a few short configuration lists.
+
+    They are counted, and refused when one list, or the grid, has more than ``BROADCAST_ROWS`` rows: tables of data are joined by key.
+    """
+    counts = [side.count() for side in sides]
+    if max(*counts, math.prod(counts)) > BROADCAST_ROWS:
+        raise ValueError(f"lists of {counts} rows; at most {BROADCAST_ROWS}, and as many in the grid")
     out = sides[0]
     for side in sides[1:]:
-        out = out.crossJoin(F.broadcast(side))  # configuration lists, a handful of rows each
+        out = out.crossJoin(F.broadcast(side))  # counted above
     return out

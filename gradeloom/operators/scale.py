@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gradeloom.session import written
+
 # A side is hinted for broadcast only when its row count is bounded by at most this.
 BROADCAST_ROWS = 200_000
-# Strata of a split; tables with one row per stratum are broadcast, so wide rows stay where they are.
-MAX_STRATA = 100_000
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -27,6 +27,17 @@ def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
+def join_per_key(rows: DataFrame, table: DataFrame, keys: list[str], spread_by: list[str], n_rows: int, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join to a table with one row per key that has ``n_rows`` rows, as counted.
+
+    Up to ``most`` rows are broadcast, so that wide rows stay where they are; beyond,
+    both sides are shuffled and the rows of frequent keys spread.
+    """
+    if n_rows <= most:
+        return rows.join(F.broadcast(table), keys, how)
+    return skew_join(rows, table, keys, spread_by, how)
+
+
 def skew_join(
     rows: DataFrame,
     table: DataFrame,
@@ -121,19 +132,24 @@ def take_by_hash(df: DataFrame, group: list[str], key: str, quota: DataFrame, se
     A histogram over ``16**prefix`` hash prefixes finds the prefix that holds a
     group's last taken row; only rows of that prefix are ranked to find the row
     itself. The result is one comparison per row: rows are neither shuffled nor
-    read in full more than once. ``quota`` is (group..., quota), one row per group.
+    read in full more than once. ``quota`` is (group..., quota), one row per group; it is
+    written and counted, which decides how it is joined (``join_per_key``).
     """
+    n_groups = 1
+    if group:
+        quota = written(quota, "quotas")
+        n_groups = quota.count()
     hashed = hash_order(seed, F.col(key))
     keyed = df.select(*group, F.col(key).alias("_key"), hashed.alias("_hash")).withColumn("_prefix", F.substring("_hash", 1, prefix))
     hist = keyed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*_grouped(group)).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    hist = hist.join(bounded(quota, MAX_STRATA), group) if group else hist.crossJoin(F.broadcast(quota))  # one-row quota
+    hist = hist.join(bounded(quota, n_groups), group) if group else hist.crossJoin(F.broadcast(quota))  # one-row quota
     cuts = hist.filter((F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("_n") >= F.col("quota")))
     cuts = cuts.select(*group, "_prefix", (F.col("quota") - F.col("_before")).alias("_left"))
     rank = F.row_number().over(W.partitionBy(*group, "_prefix").orderBy("_hash", "_key"))
     last = keyed.join(cuts, [*group, "_prefix"]).withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
     last = last.select(*group, F.struct("_hash", "_key").alias("_last"))
-    marked = df.join(bounded(last, MAX_STRATA), group, "left") if group else df.join(F.broadcast(last), F.lit(True), "left")  # one row
+    marked = join_per_key(df, last, group, [key], n_groups) if group else df.join(F.broadcast(last), F.lit(True), "left")  # one row
     here = F.struct(hashed.alias("_hash"), F.col(key).alias("_key"))
     return marked.withColumn("taken", F.coalesce(here <= F.col("_last"), F.lit(False))).drop("_last")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gradeloom.functions.lets import int_range, let
 from gradeloom.functions.text import word_tokens
 from gradeloom.session import fresh_path, written
-from gradeloom.operators.scale import bounded, count_above, log_bucket, require, skew_join, top_n_per_group
+from gradeloom.operators.scale import BROADCAST_ROWS, bounded, count_above, join_per_key, log_bucket, require, skew_join, top_n_per_group
 
 UNKNOWN = "<UNK>"
 TINY = 1e-10  # keeps the logarithm finite
@@ -29,7 +29,6 @@ TINY = 1e-10  # keeps the logarithm finite
 class LmParams:
     alpha: float = 0.5
     lam: float = 0.7
-    max_models: int = 10_000  # fitted at once; tables with one row per model are broadcast
 
 
 START = ""  # stands before the first token of a text; no token is empty
@@ -348,7 +347,8 @@ def top_continuations(contexts: DataFrame, lm: NgramModels, k: int = 5) -> DataF
     asked = asked.join(lm.heads, ["model", "context"], "left")
     seen = lm.bigrams.join(asked.filter(F.col("n_context").isNotNull()), ["model", "context"]).join(words, ["model", "token"])
     listed = frequent.groupBy("model").agg(F.collect_list(F.struct("token", "pu")).alias("words"))  # k entries per model
-    always = asked.join(bounded(listed, lm.params.max_models), "model").select("model", "context", "n_context", F.inline("words"))
+    listed = written(listed, "frequent-words")
+    always = join_per_key(asked, listed, ["model"], ["context"], listed.count(), "inner", BROADCAST_ROWS // max(k, 1)).select("model", "context", "n_context", F.inline("words"))
     always = always.select("model", "context", "token", F.lit(0).cast("bigint").alias("n"), "n_context", "pu")
     options = seen.select("model", "context", "token", "n", "n_context", "pu").unionByName(always)
     options = options.groupBy("model", "context", "token").agg(

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from gradeloom.session import ship_code, written
 
 RANGE = ["file", "range_start", "range_length"]
+# Byte ranges of one input, whose starts go to all tasks: pieces must stay in file order, so they can't be shuffled to them.
+MAX_RANGES = 2_000_000
 PIECE = "file string, range_start bigint, whole boolean, opens boolean, first boolean, record binary"
 
 
@@ -49,6 +51,9 @@ def _started(pieces: DataFrame) -> DataFrame:
     """``inside``: whether a range begins within a string; a file that ends within one is refused."""
     counts = pieces.groupBy(*RANGE).agg((F.count_if("odd") % 2).alias("odd"))
     counts = written(counts, "range-quotes")  # one row a range
+    n_ranges = counts.count()
+    if n_ranges > MAX_RANGES:
+        raise ValueError(f"{n_ranges} byte ranges, at most {MAX_RANGES}: raise spark.sql.files.maxPartitionBytes")
     torn = counts.groupBy("file").agg((F.sum("odd") % 2).alias("odd")).filter("odd = 1").select("file").first()
     if torn:
         raise ValueError(f"{torn[0]} ends inside a quoted string")
@@ -143,7 +148,7 @@ def records(spark: SparkSession, paths, separator: str, odd: Callable[[Column],
     """
     ship_code(spark)
     pieces = _pieces(spark, paths, separator, odd)
-    known = pieces.join(F.broadcast(_started(pieces)), RANGE, "left")  # one short row for each byte range of the input
+    known = pieces.join(F.broadcast(_started(pieces)), RANGE, "left")  # MAX_RANGES short rows at most
     missing = F.raise_error(F.lit("files were cut differently in two scans; set spark.sql.files.minPartitionNum"))
     known = known.select("file", "range_start", F.col("value").cast("binary").alias("value"), "odd", F.coalesce("inside", missing.cast("boolean")).alias("inside"))
     parts = written(known.mapInArrow(_joiner(separator, True), PIECE), "range-borders")

@@ -61,7 +61,8 @@ def lm_fit(spark, sf):
 @query("lm_unigrams", with_sql(LM_SQL, "SELECT model, token, n, n_total, n_vocab FROM uni JOIN sizes USING (model)"))
 def lm_unigrams(spark, sf):
     lm = S.fit_lm(S.model_rows(samples(spark, sf), "grp"))
-    return lm.unigrams.join(bounded(lm.sizes, lm.params.max_models), "model").select("model", "token", "n", "n_total", "n_vocab")
+    sizes = written(lm.sizes, "sizes")  # a row per model
+    return lm.unigrams.join(bounded(sizes, sizes.count()), "model").select("model", "token", "n", "n_total", "n_vocab")
 
 
 @query("lm_train_split", with_sql(LM_SQL, "SELECT model, count(*)::BIGINT AS n_texts, sum(len(ts))::BIGINT AS n_tokens FROM mrows GROUP BY model"))

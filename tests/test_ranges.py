@@ -68,3 +68,10 @@ def test_json_object_equals_the_whole_parser(spark, tmp_path, small_ranges, inde
     found = R.read_json_entries(spark, str(tmp_path), "map<string,double>").collect()
     assert {r.id: r.value for r in found} == big and len(found) == len(big)
     assert R._pieces(spark, f"{tmp_path}/big.json", "}", R.odd_json_quotes).select("range_start").distinct().count() > 20
+
+
+def test_more_ranges_than_the_list_may_have_are_refused(spark, tmp_path, small_ranges, monkeypatch):
+    (tmp_path / "f.csv").write_text(csv_text([(k, "x" * 50) for k in range(60)], "\n"))
+    monkeypatch.setattr(R, "MAX_RANGES", 3)
+    with pytest.raises(ValueError, match="maxPartitionBytes"):
+        RD.read_corpus(spark, str(tmp_path)).count()

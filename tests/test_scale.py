@@ -3,9 +3,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import scale as SC, split as S
+from gradeloom.operators import agreement as A, joins as J, scale as SC, split as S
 from gradeloom.operators.longtext import assign_batches, assign_chunks, dense_row_numbers, route
 
 
@@ -63,6 +64,30 @@ def test_stratified_split_keeps_shares(spark):
         assert abs(n[(s, "test")] - 0.2 * (n[(s, "test")] + n[(s, "train")])) <= 1
 
 
+def test_one_row_per_key_is_joined_alike_beyond_the_broadcast(spark, monkeypatch):
+    """The same split, ranks and ids whether the tables of strata and groups are broadcast or shuffled."""
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, s string")
+    pairs = spark.createDataFrame([("m" if i % 4 else f"g{i % 3}", i % 6, float(i * 37 % 11)) for i in range(400)], "model string, true_ord int, expected_value double")
+    one = (S.split_stratified(df, "id", "s", 0.25).collect(), A.spearman(pairs, ("model",)).collect())
+    assert {r.split for r in one[0]} == {"train", "test"} and len(one[0]) == 600 and len(one[1]) == 4
+    monkeypatch.setattr(SC.join_per_key, "__defaults__", ("left", 0))
+    monkeypatch.setattr(A, "MAX_GROUPS", 0)
+    assert "_salt" in A.spearman(pairs, ("model",))._jdf.queryExecution().optimizedPlan().toString()
+    two = (S.split_stratified(df, "id", "s", 0.25).collect(), A.spearman(pairs, ("model",)).collect())
+    assert sorted(one[0]) == sorted(two[0])
+    assert {r.model: round(r.spearman, 9) for r in one[1]} == {r.model: round(r.spearman, 9) for r in two[1]}
+
+
+def test_long_lists_are_no_grid(spark):
+    short, long = spark.range(3).toDF("a"), spark.range(100_000).toDF("b")
+    assert J.grid(short, spark.range(4).toDF("b")).count() == 12
+    with pytest.raises(ValueError):
+        J.grid(short, long)
+    with pytest.raises(ValueError):
+        J.grid(short.limit(0), spark.range(300_000).toDF("b"))
+
+
 def test_batches_and_chunks(spark):
     texts = spark.createDataFrame([(i, "x" * (40 if i % 4 else 4000)) for i in range(101)], "sample_id bigint, text string")
     routed = route(texts, 512)

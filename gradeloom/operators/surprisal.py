@@ -278,12 +278,13 @@ def model_features(tokens: DataFrame, tag: Column, n_positions: int = 512) -> Da
 
 
 def token_contexts(texts: DataFrame, width: int = 3) -> DataFrame:
-    """Up to ``width`` tokens before and after each scored token."""
+    """Every scored token with its context and up to ``width`` tokens before and after it, all from its own row."""
     def windows(ts: Column) -> Column:
         return F.transform(
             int_range(1, F.size(ts) - 1),
             lambda i: F.struct(
                 i.alias("pos"),
+                F.get(ts, i - 1).alias("context"),
                 F.get(ts, i).alias("token"),
                 F.slice(ts, F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width))).alias("context_before"),
                 F.slice(ts, i + 2, F.lit(width)).alias("context_after"),

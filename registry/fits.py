@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -81,11 +83,10 @@ def grade_report(spark, sf):
     return rounded_out(M.class_report(M.confusion(graded, ("model",)), ("model",)))
 
 
-def text_vectors(spark, sf, docs=None):
+def text_vectors(spark, sf, params=TEXT):
     """Sparse TF-IDF vectors with the level as target, stored once for the iterations."""
-    s = docs if docs is not None else samples(spark, sf)
-    s = s.select("sample_id", "text", F.col("true_ord").alias("ord"))
-    return G.training_vectors(s, written(TF.fit_vocab(s, TEXT), "vocab"), TEXT)
+    s = samples(spark, sf).select("sample_id", "text", F.col("true_ord").alias("ord"))
+    return G.training_vectors(s, written(TF.fit_vocab(s, params), "vocab"), params)
 
 
 def dense_vectors(spark, sf):
@@ -178,17 +179,27 @@ def fit_bayes_mllib(spark, sf):
 KINDS = {"multinomialnb": {}, "logistic": {}, "mord-lr": {}}
 
 
-@query("train_all")
+UNI = TF.TfidfParams(ngram_range=(1, 1))
+
+
+# What a fit with its own defaults is registered with.
+TRAINED = {"multinomialnb": (1, {"alpha": 1.0}), "logistic": (1, {"c": 1.0, "l1_ratio": 0.0, "max_iter": 100}), "mord-lr": (1, {"alpha": 1.0, "max_iter": 1000})}
+TRAINED_SQL = ", ".join(
+    f"('documents_{kind}_{p.key}_tfidf', '{kind}', '{p.key}_tfidf', {parts}, '{json.dumps(params, sort_keys=True)}')" for p in (TEXT, UNI) for kind, (parts, params) in TRAINED.items()
+)
+
+
+@query("train_all", f"SELECT m.*, {N} AS n_classes, (SELECT count(*) FROM documents)::BIGINT AS n_train FROM (VALUES {TRAINED_SQL}) m(model, kind, feature_key, n_parts, params)")
 def train_all(spark, sf):
-    """Every kind on its feature set, stored; the registry as it is read back."""
-    vectors = text_vectors(spark, sf)
-    models = ML.train_all({TEXT.key + "_tfidf": vectors}, KINDS, N, "documents")
+    """Every kind on each of two feature sets, stored; the registry as it is read back."""
+    sets = {f"{p.key}_tfidf": text_vectors(spark, sf, p) for p in (TEXT, UNI)}
+    models = ML.train_all(sets, KINDS, N, "documents")
     path = fresh_path(spark, "models")
-    ML.save_models(spark, models, path, dict.fromkeys(models, vectors.count()))
+    counts = {key: rows.count() for key, rows in sets.items()}
+    ML.save_models(spark, models, path, {name: counts[ML.m_key(name)] for name in models})
     return ML.load_registry(spark, path).drop("cuts")
 
 
-UNI = TF.TfidfParams(ngram_range=(1, 1))
 NB_NAMES = tuple(f"documents_multinomialnb_{p.key}_tfidf" for p in (TEXT, UNI))
 FITTED = tuple(f"documents_{kind}_{TEXT.key}_tfidf" for kind in ("logistic", "mord-lr"))
 GRADED = "model string, dataset string, sample_id bigint, pred_label string"

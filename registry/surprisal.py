@@ -146,12 +146,35 @@ def token_context(spark, sf):
     return c.select("sample_id", "pos", "token", F.array_join("context_before", " ").alias("context_before"), F.array_join("context_after", " ").alias("context_after"))
 
 
-@query("token_records")
+RECORDS_SQL = (
+    RANK_SQL
+    + TOPK_SQL.removeprefix(GENERAL_SQL)
+    + """,
+ranks AS (SELECT g.context, g.token, (1 + n_all + n_local)::BIGINT AS "rank" FROM g JOIN everywhere USING (seen, prob) JOIN local ON local.context = g.context AND local.prob = g.prob),
+tops AS (SELECT context, string_agg(token, ' ' ORDER BY place) AS top_k, round(max(prob), 9) AS top_prob
+   FROM (SELECT context, token, prob, row_number() OVER (PARTITION BY context ORDER BY prob DESC, token) AS place FROM every) WHERE place <= 5 GROUP BY context),
+around AS (SELECT sample_id, i::INTEGER AS pos, ts[i] AS context, ts[i + 1] AS token, array_to_string(ts[greatest(i - 3, 0) + 1 : i], ' ') AS context_before,
+   array_to_string(ts[i + 2 : i + 4], ' ') AS context_after FROM ttok, unnest(range(1, len(ts))) t(i))"""
+)
+
+
+@query(
+    "token_records",
+    with_sql(
+        RECORDS_SQL,
+        """SELECT sample_id, pos, context, token, model, round(prob, 9) AS prob, "rank", top_k, top_prob, round(-log2(prob + 1e-10::DOUBLE), 6) AS entropy,
+           round(pow(2.0::DOUBLE, -log2(prob + 1e-10::DOUBLE)), 4) AS perplexity, round(-ln(prob), 6) AS loss, context_before, context_after
+           FROM around JOIN (SELECT * FROM probs WHERE model = 'general') USING (context, token) JOIN ranks USING (context, token) JOIN tops USING (context)""",
+    ),
+)
 def token_record_rows(spark, sf):
-    """Every field of a scored token in one row."""
+    """Every field of a scored token in one row; of the alternatives the words by rank, and the probability of the first."""
     r = token_records(turns(spark, sf), _lm(spark, sf, GENERAL), "general")
-    return r.withColumn("top_k", F.to_json("top_k")).withColumn("context_before", F.array_join("context_before", " ")).withColumn(
-        "context_after", F.array_join("context_after", " ")
+    words = F.array_join(F.transform("top_k", lambda w: w["token"]), " ")
+    return r.select(
+        "sample_id", "pos", "context", "token", "model", F.round("prob", 9).alias("prob"), "rank", words.alias("top_k"), F.round(F.get("top_k", F.lit(0))["prob"], 9).alias("top_prob"),
+        F.round("entropy", 6).alias("entropy"), F.round("perplexity", 4).alias("perplexity"), F.round("loss", 6).alias("loss"),
+        F.array_join("context_before", " ").alias("context_before"), F.array_join("context_after", " ").alias("context_after"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.text import token_class
 from gradeloom.operators import longtext as L, surprisal as S
-from gradeloom.plans.surprisal_features import token_records
+from gradeloom.plans.surprisal_features import extract, token_records
 
 TRAIN = [
     (1, "g1", "the cat sat on the mat and the cat ran to the dog"),
@@ -111,3 +111,29 @@ def test_token_records(lm, texts):
     r = next(r for r in rows if r["sample_id"] == 1 and r["pos"] == 2)
     assert (r["token"], r["context_before"], r["context_after"]) == ("ran", ["the", "cat"], ["to", "the"])
     assert len(r["top_k"]) == 2 and r["rank"] >= 1
+
+
+def test_words_need_no_pairs(spark, monkeypatch):
+    rows = S.model_rows(spark.createDataFrame(TRAIN + [(5, "g2", ""), (6, None, "lone cat"), (7, "g3", None)], "sample_id int, grp string, text string"), "grp")
+    labels, keep = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, label: labels.append(label) or keep(df, label))
+    lazy = S.fit_lm(rows)
+    words = Counter({(r["model"], r["token"]): r["n"] for r in lazy.unigrams.collect()})
+    assert "lm-pairs" not in labels
+    stored = S.fitted_lm(rows)
+    assert words == {(r["model"], r["token"]): r["n"] for r in stored.unigrams.collect()}
+    for table in ("bigrams", "heads", "sizes"):
+        have, want = (getattr(m, table) for m in (lazy, stored))
+        assert Counter(map(tuple, have.select(want.columns).collect())) == Counter(map(tuple, want.collect())), table
+
+
+def test_features_read_tokens_scored_once(spark, texts, monkeypatch):
+    train, models = spark.createDataFrame(TRAIN, "sample_id int, grp string, text string"), ["general", "lm_g1", "lm_none"]
+    labels, keep = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, label: labels.append(label) or keep(df, label))
+    got = {(r[0], r[1]): r[2] for r in extract(train, texts, "grp", models).collect()}
+    assert labels.count("scored-tokens") == 1
+    tokens = S.score_texts(texts, S.fitted_lm(S.model_rows(train, "grp")), models)
+    want = {(r[0], r[1]): r[2] for r in S.model_features(tokens, token_class(F.col("token"))).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert {k[1].split("__")[0] for k in got} == {"general", "lm_g1"}

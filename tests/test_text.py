@@ -75,3 +75,15 @@ def test_bad_parameters():
     for bad in (dict(max_features=0), dict(min_df=0), dict(max_df=0.0), dict(ngram_range=(2, 1))):
         with pytest.raises(ValueError):
             TF.TfidfParams(**bad)
+
+
+@pytest.mark.parametrize("ngram_range", [(1, 1), (1, 2), (2, 2)])
+def test_term_statistics_call_no_function_for_each_term(spark, ngram_range):
+    rows = [(1, "a", "red red cat and red cat"), (2, "a", "cat"), (3, "b", ""), (4, None, None), (5, None, "cat and cat"), (1, "a", "cat"), (6, "b", "x")]
+    corpus = spark.createDataFrame(rows, "sample_id int, grp string, text string")
+    for group in ([], ["grp"]):
+        got = TF.corpus_stats(corpus, ngram_range, group)
+        want = TF.term_stats(TF.document_terms(corpus, ngram_range, tuple(group)), group)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "lambda" not in TF.corpus_stats(corpus)._jdf.queryExecution().optimizedPlan().toString()

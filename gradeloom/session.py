@@ -67,6 +67,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gradeloom/{label}-{uuid.uuid4().hex}"
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark resolves it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows as a table in shared storage.
 

@@ -8,6 +8,7 @@ from gradeloom.functions import answers as AN, probs as P
 from gradeloom.functions.levels import LEVELS, label_at, ordinal
 from gradeloom.operators import decide, ingest as I, metrics as M
 from gradeloom.session import fresh_path
+from gradeloom.sources.sinks import write_text_files
 from registry.base import CLASS_SQL, LEVEL_LIST, METRICS_SQL, PREDICTIONS_SQL, PROBS_SQL, query, rounded_out, samples, table, with_sql
 
 ANSWERS_SQL = f"""
@@ -147,5 +148,5 @@ def eval_answers(spark, sf):
 def ingest_llm_dir(spark, sf):
     """A folder with one file per answer, read back and parsed: every answer by id, with what was read or that it failed."""
     path = fresh_path(spark, "answers")
-    _answers(spark, sf).select("answer_id", "answer").write.partitionBy("answer_id").text(path)
-    return I.answers_from_folder(spark, path).select(F.col("answer_id").cast("bigint").alias("answer_id"), "label", "parsed")
+    write_text_files(_answers(spark, sf), path, "answer_id", "answer")
+    return I.answers_from_folder(spark, path).select(F.col("name").try_cast("bigint").alias("answer_id"), "label", "parsed")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.answers import label_from_keys, parse_answer
 from gradeloom.operators import ingest
+from gradeloom.sources import sinks
 
 # Free-text answers and what is read out of them.
 CASES = [
@@ -61,3 +62,20 @@ def test_answer_folder(spark, tmp_path):
     found = ingest.answers_from_folder(spark, str(tmp_path))
     assert {r.name: (r.parsed, r.label) for r in found.collect()} == {"s1": (True, "A1"), "s2": (False, None), "s3": (True, None)}
     assert ingest.parse_totals(found).first().asDict() == {"n_total": 3, "n_parsed": 2, "n_labelled": 1, "n_failed": 1}
+
+
+def test_answer_files(spark, tmp_path):
+    """One file an answer in few folders: a missing id and a missing answer are kept, rows of one id in one task share a file."""
+    rows = [(i, f'{{"score": "B{i % 2 + 1}"}}') for i in range(40)] + [(None, '{"score": "C1"}'), (50, None), (-7, "no"), (60, '{"score": "A1"}'), (60, '{"score": "A1"}')]
+    answers = spark.createDataFrame(rows, "id bigint, answer string").coalesce(2)
+    n = sinks.write_text_files(answers.coalesce(1), str(tmp_path / "one"), "id", "answer")
+    assert n == 44 and len(list((tmp_path / "one").glob("*"))) == 1 and len(list((tmp_path / "one").rglob("*.txt"))) == 44
+    assert not list((tmp_path / "one").rglob(".*"))
+    found = ingest.answers_from_folder(spark, str(tmp_path / "one")).collect()
+    want = [(str(i), f"B{i % 2 + 1}", True) for i in range(40)] + [("null", "C1", True), ("50", None, False), ("-7", None, False), ("60", "A1", True)]
+    assert sorted((r["name"], r["label"], r["parsed"]) for r in found) == sorted(want, key=lambda w: w[0])
+    assert {r["name"]: r["answer"] for r in found}["60"] == '{"score": "A1"}\n{"score": "A1"}\n'
+    assert sinks.write_text_files(answers.limit(0), str(tmp_path / "none"), "id", "answer") == 0
+    assert ingest.answers_from_folder(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="no file name"):
+        sinks.write_text_files(spark.createDataFrame([("a/b", "x")], "id string, answer string"), str(tmp_path / "bad"), "id", "answer")

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,48 @@ def test_features_read_tokens_scored_once(spark, texts, monkeypatch):
     want = {(r[0], r[1]): r[2] for r in S.model_features(tokens, token_class(F.col("token"))).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
     assert {k[1].split("__")[0] for k in got} == {"general", "lm_g1"}
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 22])
+def test_pairs_counted_in_arrays(at_once, monkeypatch):
+    """Runs of any length, many models, missing models, empty and missing token lists: sums over all runs are the plain counts."""
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    texts = [(f"m{k % 7}" if k % 11 else None, None if k % 13 == 5 else [f"w{(k * i) % 9}" for i in range(k % 6)]) for k in range(200)]
+    want = Counter((m, a, b) for m, ts in texts for a, b in zip([S.START, *(ts or [])], ts or []))
+    batch = pa.RecordBatch.from_arrays([pa.array([m for m, _ in texts]), pa.array([ts for _, ts in texts], pa.list_(pa.string()))], ["model", "tokens"])
+    runs = list(S._pair_counting(3)(batch.slice(k, 30) for k in range(0, 200, 30)))
+    assert {b["bucket"].to_pylist()[0] for b in runs} <= {0, 1, 2}
+    rows = sorted((row for b in runs for row in zip(b["bucket"].to_pylist(), b["pairs"].to_pylist())), key=lambda row: row[0])
+    dealt = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["bucket", "pairs"])
+    found = [r for b in S._pairs_added(iter([dealt])) for r in b.to_pylist()]
+    assert len(found) == len(want) and {(r["model"], r["context"], r["token"]): r["n"] for r in found} == want
+    sums = Counter()
+    for b in S._summed(S._pairs_added(iter([dealt]))):
+        for r in b.to_pylist():
+            sums[r["model"], r["context"], r["word"]] += r["n"]
+    words, heads = Counter(), Counter()
+    for (m, a, b), n in want.items():
+        words[m, False, b] += n
+        if a != S.START:
+            heads[m, True, a] += n
+    assert sums == words + heads
+    assert not list(S._pair_counting(3)(iter([batch.slice(0, 0)]))) and not list(S._pairs_added(iter([])))
+
+
+def test_pairs_of_very_many_models(monkeypatch):
+    """Where numbers of models and words don't fit one integer, a run is halved."""
+    tokens = [[f"w{k}", f"w{k + 1}"] for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"m{k % 5}" for k in range(40)]), pa.array(tokens)], ["model", "tokens"])
+    monkeypatch.setattr(S, "KEY_BITS", 12)
+    parts = [pa.ipc.read_record_batch(p.as_buffer(), S.PAIR_SCHEMA) for b in S._counted([batch], 2) for p in b["pairs"]]
+    found = Counter((r["model"], r["context"], r["token"]) for p in parts for r in p.to_pylist() for _ in range(r["n"]))
+    assert found == Counter((f"m{k % 5}", a, b) for k in range(40) for a, b in ((S.START, f"w{k}"), (f"w{k}", f"w{k + 1}")))
+
+
+def test_scores_need_no_sorted_joins(spark, lm, texts):
+    """Large tables of counts and running text meet hashed pairs, and text keys are not counted in hash tables before they are dealt out."""
+    pairs = S.scored_pairs(texts)
+    plan = S.pair_probs(pairs, lm, ["general"])._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [model" in plan and "SortMergeJoin" not in plan
+    counting = S.count_pairs(S.model_rows(spark.createDataFrame(TRAIN, "sample_id int, grp string, text string"), "grp"))
+    assert "HashAggregate" not in counting._jdf.queryExecution().executedPlan().toString()

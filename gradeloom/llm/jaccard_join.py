@@ -12,7 +12,8 @@ as one where there are fewer words). Two documents link when
    sets that link share a shingle among the first ``|A| - ceil(t |A|) + 1`` of
    each in this order; only those are sent out. A shingle that a large share of all
    documents has comes last in the order and is not among them, unless the
-   whole set is frequent.
+   whole set is frequent. With each goes its place in the set: few sets that share one rare
+   shingle by chance can still link, as what stands before the first common one is lost.
 3. Sets that meet at a shingle and whose sizes lie in the same or in
    neighbouring bands form a tile. Bands are as wide as sizes of linked sets can
    differ, and shingles with the same first set share their tile, so a group
@@ -59,6 +60,7 @@ SKETCH_BLOCK = 1 << 18  # cells that one row holds
 BITMAP_WORDS = 32
 LINK_WORDS = 256  # where the sets are at hand, wide bitmaps leave few intersections that fail
 TILE_SETS = 2000
+PAIRED = 8  # sets at a shingle that are looked at in pairs
 HOPS = 3
 POSTINGS_A_TASK = 2_000_000
 
@@ -193,9 +195,9 @@ def _prefixes(shared, k: int, threshold: int):
                 first = s[order[: prefix_length(len(s), threshold)]]
                 tokens.append(first)
                 keys.append(np.full(len(first), _short(key), np.int64))
-                sizes.append(np.full(len(first), len(s), np.int32))
+                sizes.append(len(s) << 32 | np.arange(len(first)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["token", "short_key", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["token", "short_key", "size_place"])
 
     return run
 
@@ -205,21 +207,45 @@ def band_of(size: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     return np.floor(np.log(size) / np.log(100 / threshold) + 1e-9).astype(np.int64)
 
 
+def may_link(token: np.ndarray, size: np.ndarray, place: np.ndarray, threshold: int = THRESHOLD, most: int = PAIRED) -> np.ndarray:
+    """Of sets sorted by shingle, those that may link with another of the shingle, if it is the first that both have.
+
+    What comes before the first common shingle in one of the sets, ``place`` elements, the other lacks. Every link has a
+    first common shingle, so none is lost. Of more than ``most`` sets at a shingle all pass.
+    """
+    begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    counts = np.diff(np.r_[begins, len(token)])
+    of = np.repeat(counts, counts)
+    out, left, a = of > most, size - place, np.flatnonzero((of > 1) & (of <= most))
+    for step in range(1, most):
+        a = a[a + step < len(token)]
+        a = a[token[a + step] == token[a]]
+        b = a + step
+        least = -(-threshold * (size[a] + size[b]) // (100 + threshold))
+        fits = (np.minimum(left[a], left[b]) >= least) & (100 * np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]))
+        out[a[fits]] = out[b[fits]] = True
+    return out
+
+
 def _tiling(threshold: int):
-    """Takes all postings of some shingles, gives (tile, short_key) for sets that meet."""
+    """Takes all postings of some shingles, gives (tile, short_key) for sets that meet and, by their places, may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [b for b in batches if b.num_rows]
         if not some:
             return
-        token, key, size = (np.concatenate([b.column(c).to_numpy() for b in some]) for c in ("token", "short_key", "size"))
+        token, key, size_place = (np.concatenate([b.column(c).to_numpy() for b in some]) for c in ("token", "short_key", "size_place"))
         del some
-        band = band_of(size, threshold)
+        band = band_of(size_place >> 32, threshold)
         order = np.lexsort((key, band, token))
-        token, key, band = token[order], key[order], band[order]
+        token, key, band, size_place = token[order], key[order], band[order], size_place[order]
         fresh = np.ones(len(token), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (band[1:] != band[:-1])
-        token, key, band = token[fresh], key[fresh], band[fresh]
+        token, key, band, size_place = token[fresh], key[fresh], band[fresh], size_place[fresh]
+        fits = may_link(token, size_place >> 32, size_place & 0xFFFFFFFF, threshold)
+        token, key, band = token[fits], key[fits], band[fits]
+        if not len(token):
+            return
         # Runs of one shingle and one band, and which of them have a neighbour above.
         begins = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])])
         sizes = np.diff(np.r_[begins, len(token)])
@@ -478,7 +504,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     reps = keyed.filter("n_shingles > 0 and id is not null").groupBy("key", "short_key").agg(
         F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")
     )
-    postings = texts.filter("id is not null").mapInArrow(_prefixes(shared, k, threshold), "token bigint, short_key bigint, size int")
+    postings = texts.filter("id is not null").mapInArrow(_prefixes(shared, k, threshold), "token bigint, short_key bigint, size_place bigint")
     members = postings.repartition(tasks, "token").mapInArrow(_tiling(threshold), "leader bigint, band bigint, short_key bigint").distinct()
     tile = ["leader", "band", "one", "two"]
     met, met_path = written_at(members, "join-meetings")

@@ -91,6 +91,43 @@ def test_jaccard_join(docs, tile_sets):
     assert {g[2] for g in got if g[0] is None} == {None, 1} or {g[2] for g in got if g[0] is None} == {None}
 
 
+def tiled(sets):
+    """Members of each tile, of sets of numbers whose order is the numbers' own."""
+    columns = [], [], []
+    for key, s in enumerate(sets, 1):
+        for place, token in enumerate(sorted(s)[: jaccard_join.prefix_length(len(s))]):
+            for column, v in zip(columns, (token, key, len(s) << 32 | place)):
+                column.append(v)
+    out = defaultdict(set)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "short_key", "size_place"])
+    for b in jaccard_join._tiling(75)(iter([batch])):
+        for r in b.to_pylist():
+            out[r["leader"], r["band"]].add(r["short_key"])
+    return out
+
+
+def test_tiles_of_few_sets_follow_places():
+    """Linked sets share a tile; sets that meet by chance behind too much of their own make none."""
+    r = random.Random(5)
+    for groups in (1, 4, 12):  # at a shingle: two sets, some, more than are looked at in pairs
+        sets = []
+        for _ in range(25):
+            base = r.sample(range(4000), r.randint(1, 60))
+            for _ in range(groups):
+                sets.append(set(r.sample(base, max(1, len(base) - r.randint(0, 8)))) | set(r.sample(range(4000), r.randint(0, 6))))
+        sets = [set(s) for s in {frozenset(s) for s in sets}]
+        tiles, linked = tiled(sets), 0
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    linked += 1
+                    assert any({a + 1, b + 1} <= t for t in tiles.values())
+        assert linked or groups == 1
+    own = [set(range(100 * k, 100 * k + 79)) for k in range(8)]
+    assert not tiled([s | {99 + 100 * (k | 1)} for k, s in enumerate(own)])  # met at the last place of two sets each
+    assert not tiled([set(range(1000 * k, 1000 * k + 20)) | {9000} | set(range(10000 + 1000 * k, 10059 + 1000 * k)) for k in range(3)])  # within the prefixes, behind 20 of 80
+
+
 def test_jaccard_join_on_many_near_copies(spark):
     r = random.Random(4)
     base = [f"w{r.randint(0, 400)}" for _ in range(80)]

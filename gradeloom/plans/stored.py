@@ -12,19 +12,20 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from gradeloom.functions.lets import double_literals
-from gradeloom.functions.text import ngrams, word_tokens
+from gradeloom.functions.text import word_tokens
 from gradeloom.operators import tfidf
 from gradeloom.operators.bayes import softmax
 from gradeloom.operators.models import Fitted
 from gradeloom.operators.scale import bounded, require, skew_join
 from gradeloom.plans.grading import BayesGrader
-from gradeloom.session import written
+from gradeloom.session import ship_code, written
 
 HEAD = "model string, kind string, link string, feature_key string, n_classes int, classes array<int>, bias array<double>, place int, width int"
-# Weights up to this many numbers (64 MB) go to all tasks, counted when they are stored; more are joined in a shuffle.
+# Weights up to this many numbers (64 MB) go to all tasks, which score each text in its row; counted when they are stored, more are joined in a shuffle.
 BROADCAST_NUMBERS = 8_000_000
 
 
@@ -120,19 +121,17 @@ class Stored:
         """
         require(corpus, "sample_id", "dataset", "text")
         keys = sorted({h.feature_key for h in self.heads})
-        entries = self._entries(corpus, keys)
-        one = ["unit", "idx"]
-        unit = reduce(lambda out, k: out.when(F.col("feature_key") == keys[k], k), range(1, len(keys)), F.when(F.col("feature_key") == keys[0], 0))
-        weights = self.weights.select(unit.alias("unit"), "idx", "w").filter("unit is not null")
         if self.n_numbers <= BROADCAST_NUMBERS:
-            known = entries.join(F.broadcast(weights), one, "left")
+            scored = self._in_rows(corpus, keys)
         else:
-            known = skew_join(entries, weights, one, ["sample_id", "dataset"])
-        sums = [
-            F.coalesce(F.sum(F.when(F.col("unit") == keys.index(h.feature_key), F.col("value") * F.get("w", F.lit(h.place + k)))), F.lit(0.0)).alias(f"s{m}_{k}")
-            for m, h in enumerate(self.heads) for k in range(h.width)
-        ]
-        scored = known.groupBy("sample_id", "dataset").agg(*sums)
+            unit = reduce(lambda out, k: out.when(F.col("feature_key") == keys[k], k), range(1, len(keys)), F.when(F.col("feature_key") == keys[0], 0))
+            weights = self.weights.select(unit.alias("unit"), "idx", "w").filter("unit is not null")
+            known = skew_join(self._entries(corpus, keys), weights, ["unit", "idx"], ["sample_id", "dataset"])
+            sums = [
+                F.coalesce(F.sum(F.when(F.col("unit") == keys.index(h.feature_key), F.col("value") * F.get("w", F.lit(h.place + k)))), F.lit(0.0)).alias(f"s{m}_{k}")
+                for m, h in enumerate(self.heads) for k in range(h.width)
+            ]
+            scored = known.groupBy("sample_id", "dataset").agg(*sums)
         rows = [F.struct(F.lit(h.model).alias("model"), _probabilities(h, [F.col(f"s{m}_{k}") for k in range(h.width)]).alias("p")) for m, h in enumerate(self.heads)]
         out = scored.select("sample_id", "dataset", F.inline(F.array(*rows))).select("model", "dataset", "sample_id", "p")
         if jobs is None:
@@ -143,19 +142,37 @@ class Stored:
 
     def _entries(self, corpus: DataFrame, keys: list[str]) -> DataFrame:
         """``(sample_id, dataset, unit, idx, value)``; a sample without known terms has one row of nulls."""
-        rows, parts = corpus.select("sample_id", "dataset", "text"), []
-        for lo, hi in sorted({self.vocabs[k][0].ngram_range for k in keys}):
-            rows = rows.withColumn(f"_tokens{lo}_{hi}", ngrams(word_tokens(F.coalesce("text", F.lit(""))), lo, hi))
-        for k, key in enumerate(keys):
-            params, vocab = self.vocabs[key]
-            rows = vocab.entries(f"_tokens{params.ngram_range[0]}_{params.ngram_range[1]}", f"_unit{k}")(rows)
-            parts.append(_numbered(f"_unit{k}", k))
-        found = rows.select("sample_id", "dataset", F.concat(*parts).alias("entries"))
-        return found.select("sample_id", "dataset", F.inline_outer("entries"))
-
-
-def _numbered(entries: str, unit: int) -> Column:
-    return F.transform(entries, lambda e: F.struct(F.lit(unit).alias("unit"), e["idx"].alias("idx"), e["value"].alias("value")))
+        found = tfidf.entries_of([self.vocabs[k][1] for k in keys], corpus.sparkSession)(word_tokens(F.col("text")))
+        return corpus.select("sample_id", "dataset", found.alias("entries")).select("sample_id", "dataset", F.inline_outer("entries"))
+
+    def _in_rows(self, corpus: DataFrame, keys: list[str]) -> DataFrame:
+        """``(sample_id, dataset, s0_0, ...)``: a text's sums are taken in its row, those of a sample's texts added up."""
+        spark = corpus.sparkSession
+        ship_code(spark)
+        vocabs = [self.vocabs[k][1] for k in keys]
+        widths = [max((h.place + h.width for h in self.heads if h.feature_key == k), default=0) for k in keys]
+        numbers = [np.zeros((max(len(v.terms), 1), n)) for v, n in zip(vocabs, widths)]
+        for r in self.weights.filter(F.col("feature_key").isin(*keys)).collect():  # n_numbers, counted when stored
+            if r["idx"] < len(numbers[keys.index(r["feature_key"])]):
+                numbers[keys.index(r["feature_key"])][r["idx"], : len(r["w"])] = r["w"]
+        shared, ready = spark.sparkContext.broadcast((vocabs, numbers)), []
+
+        def sums(texts: pa.Array) -> pa.Array:
+            vocabs, numbers = shared.value
+            if not ready:
+                ready.append(tfidf.TermIndex(vocabs))
+            parts = []
+            for (rows, idx, value), weights in zip(ready[0].entries(texts), numbers):
+                value = np.nan_to_num(value, nan=0.0)
+                parts += [np.bincount(rows, value * w[idx], len(texts)) for w in np.ascontiguousarray(weights.T)]
+            cells = np.array(parts).reshape(len(parts), len(texts)).T
+            ends = np.arange(len(texts) + 1, dtype=np.int32) * len(parts)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(cells).ravel(), pa.float64()))
+
+        scored = corpus.select("sample_id", "dataset", F.arrow_udf(sums, "array<double>")(word_tokens(F.col("text"))).alias("s"))
+        first = dict(zip(keys, np.cumsum([0, *widths])))
+        columns = [F.sum(F.get("s", F.lit(int(first[h.feature_key]) + h.place + k))).alias(f"s{m}_{k}") for m, h in enumerate(self.heads) for k in range(h.width)]
+        return scored.groupBy("sample_id", "dataset").agg(*columns)
 
 
 def _sigmoid(x: Column) -> Column:

@@ -87,3 +87,25 @@ def test_term_statistics_call_no_function_for_each_term(spark, ngram_range):
         assert got.dtypes == want.dtypes
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "lambda" not in TF.corpus_stats(corpus)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_are_counted_in_arrays(spark, monkeypatch):
+    """No row per occurrence is made: tasks send counted terms, also in many small runs, of any length, for any group."""
+    rows = [(k, ["a", "b", None][k % 3], "red cat and red cat " * (k % 4) + "the end") for k in range(30)]
+    corpus = spark.createDataFrame(rows, "sample_id int, grp string, text string").repartition(2)
+    assert "Generate" not in TF.corpus_stats(corpus, (1, 2))._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(TF, "AT_ONCE", 7)
+    for group in ([], ["grp"]):
+        want = TF.term_stats(TF.document_terms(corpus, (1, 4), tuple(group)), group)
+        assert sorted(map(str, TF.corpus_stats(corpus, (1, 4), group).collect())) == sorted(map(str, want.collect()))
+
+
+def test_long_terms_are_found_in_rows(spark):
+    docs = spark.createDataFrame([(1, "red cat and red cat and"), (2, "cat red"), (3, None)], "sample_id int, text string")
+    params = TF.TfidfParams(50, (2, 4), 1, 1.0, False)
+    got = {(r["sample_id"], r["term"]): r["value"] for r in TF.transform(docs, TF.fit_vocab(docs, params), params).collect()}
+    counts = {(r["sample_id"], r["term"]): r["tf"] for r in TF.document_terms(docs, (2, 4)).collect()}
+    assert set(got) == set(counts) and got[2, "cat red"] == 1.0
+    idf = {t: math.log(4 / 2) + 1 for _, t in counts}
+    norm = math.sqrt(sum((n * idf[t]) ** 2 for (i, t), n in counts.items() if i == 1))
+    assert all(got[i, t] == pytest.approx(n * idf[t] / norm) for (i, t), n in counts.items() if i == 1)

@@ -9,6 +9,7 @@ from gradeloom.operators.decide import argmax
 from gradeloom.operators.models import FITS, draw_params, history_table, tune
 from gradeloom.operators.screening import best_trials, final_ranking, screen, survivors
 from gradeloom.operators.split import split_stratified
+from gradeloom.session import written
 
 
 def score_predictions(predicted: DataFrame, metric: str) -> float:
@@ -35,7 +36,7 @@ def two_stage(
     """Screen all feature sets with base settings, tune the survivors, rank them."""
     parts, scores = {}, []
     for name, rows in feature_sets.items():
-        split = split_stratified(rows, "sample_id", "ord", valid_share)
+        split = written(split_stratified(rows, "sample_id", "ord", valid_share), "split")
         parts[name] = (split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split"))
         fitted = FITS[kind](parts[name][0], n_classes, **(base or {}))
         scores.append((name, score_predictions(fitted.predict(parts[name][1]), metric)))

@@ -110,3 +110,14 @@ def test_row_numbers_of_text_keys(spark):
             want += [(g, i, k) for i, k in enumerate(keys)]
         assert sorted(map(str, got)) == sorted(map(str, want))
     assert dense_row_numbers(df.filter("k = 'none'"), ["g"], "k").count() == 0
+
+
+def test_counts_above_shuffle_the_masses_once(spark):
+    data = spark.createDataFrame([("a", 0.5, 1), ("a", 0.5, 2), ("a", 0.1, 4), ("b", 0.9, 8)], "g string, v double, n int")
+    asked = spark.createDataFrame([("a", 0.1), ("a", 0.1), ("a", 0.5), ("b", 0.2)], "g string, v double")
+    out = SC.count_above(data, asked, ["g"], "v", "n", SC.log_bucket(F.col("v")))
+    assert sorted(map(tuple, out.collect())) == [("a", 0.1, 3), ("a", 0.5, 0), ("b", 0.2, 8)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [g" in plan
+    physical = SC.count_above(data, asked, ["g"], "v", "n", SC.log_bucket(F.col("v")))._jdf.queryExecution().sparkPlan().toString()
+    assert physical.count("REPARTITION_BY_COL") <= 2

@@ -173,3 +173,15 @@ def test_scores_need_no_sorted_joins(spark, lm, texts):
     assert "ShuffledHashJoin [model" in plan and "SortMergeJoin" not in plan
     counting = S.count_pairs(S.model_rows(spark.createDataFrame(TRAIN, "sample_id int, grp string, text string"), "grp"))
     assert "HashAggregate" not in counting._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_pairs_are_written_once(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(1, "a", "one two three one two"), (2, "b", "two three one"), (3, "b", None)], "sample_id int, grp string, text string")
+    monkeypatch.setattr(S, "written", lambda *_: pytest.fail("pairs were written twice"))
+    S.store_lm(S.model_rows(texts, "grp"), str(tmp_path), "general")
+    got = {(r["model"], r["context"], r["token"]): r["n"] for r in S.load_pairs(spark, str(tmp_path)).collect()}
+    whole = {}
+    for (model, context, token), n in got.items():
+        if model != "general":
+            whole[context, token] = whole.get((context, token), 0) + n
+    assert {(c, t): n for (m, c, t), n in got.items() if m == "general"} == whole and whole["two", "three"] == 2
